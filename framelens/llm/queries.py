@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelens.llm import exact_dedup, license_scan, mixing, secret_scan, sharding, url_filter
+from framelens.llm import byte_bpe, exact_dedup, license_scan, mixing, quality, secret_scan, sharding, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,10 +19,19 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.encode_and_decode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"), shards=40).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "source")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(_table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"), power=0.7).select("doc_id", "source", "copy", "n_copies", "shuffle_key", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
@@ -99,7 +109,7 @@ FROM pg a JOIN flags f ON a.host = f.host JOIN fit ON fit.host = a.host AND fit.
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op3_sharding, op5_mixing, op7_license_scan, op8_secret_scan, op10_url_filter)
+    f.__name__: f for f in (op1_exact_dedup, op2_byte_bpe, op3_sharding, op4_quality_rules, op5_mixing, op7_license_scan, op8_secret_scan, op10_url_filter)
 }
 
 ORACLE_SQL: dict[str, str] = {

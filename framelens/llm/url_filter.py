@@ -159,7 +159,7 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str,
     levels = cascade(listed, universe)
     flag = listed_flag(levels, pages.sparkSession)
     keys = domains(F.col("host"))
-    hashes = [F.transform(keys, lambda k, i=i: F.xxhash64(F.lit(i), k)) for i in (1, 2)]
+    hashes = [F.transform(keys, lambda k: F.xxhash64(F.lit(1), k)), F.transform(keys, lambda k: F.xxhash64(F.lit(2), k))]
     judged = at.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("listed", flag(*hashes))
     return judged.select(
         "page_id", "host", "path", F.col("_rule.rule").alias("rule"),
