@@ -2,33 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A key is hot when it holds at least one of so many parts of all rows. So at most this many keys are
-#: hot, whatever the input's size: that is the bound of every table of hot keys that is broadcast.
-HOT_PARTS = 1000
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared place that the session names; a temporary one only where none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
+from framelens.operators.shared import HOT_PARTS, hot_join, scratch, stored
 
-def stored(df: DataFrame, into: str | None = None) -> DataFrame:
-    """The same rows as a table in the shared folder: it ends the lineage and outlives lost executors."""
-    spark = df.sparkSession
-    path = into or scratch(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["HOT_PARTS", "hot_join", "md5_number", "n_buckets", "scratch", "stored", "text_of"]
 
 
 def text_of(column: str = "text") -> Column:
@@ -44,20 +23,6 @@ def n_buckets(rows: int, per_bucket: int = 20_000, least: int = 64, most: int =
     return n
 
 
-def hot_join(left: DataFrame, right: DataFrame, keys: Sequence[str], total: int, n: str = "_n") -> DataFrame:
-    """Inner equi-join of ``left`` with one row a key of ``right``, safe for keys with very many rows in ``left``.
-
-    ``right[n]`` is the number of rows that the key has in ``left``; ``total`` is their sum. The keys with at
-    least a ``HOT_PARTS``-th of all rows (``HOT_PARTS`` keys at most, so their broadcast is bounded) are joined
-    where the rows are; the others, none of which can fill a task, are joined by a shuffle.
-    """
-    hot = right.filter(F.col(n) * HOT_PARTS >= F.lit(total))
-    cold = right.filter(F.col(n) * HOT_PARTS < F.lit(total))
-    near = left.join(F.broadcast(hot), list(keys))
-    far = left.join(F.broadcast(hot.select(*keys)), list(keys), "left_anti").join(cold, list(keys))
-    return near.unionByName(far)
-
-
 def md5_number(*parts: Column) -> Column:
     """A uniform whole number below 2^60 made of the first 15 hexadecimal digits of an MD5; the same in any engine."""
     joined = F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("~")) for p in parts])

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelens.llm import byte_bpe, exact_dedup, license_scan, mixing, quality, secret_scan, sharding, url_filter
+from framelens.llm import byte_bpe, exact_dedup, license_scan, mixing, ngram_join, quality, secret_scan, sharding, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"), power=0.7).select("doc_id", "source", "copy", "n_copies", "shuffle_key", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_strings(_table(spark, sf_dir, "documents"), length=100)
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_groups(_table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = spark.createDataFrame([(x,) for x in url_filter.LISTED], "key string")
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"), listed)
@@ -109,7 +117,7 @@ FROM pg a JOIN flags f ON a.host = f.host JOIN fit ON fit.host = a.host AND fit.
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_byte_bpe, op3_sharding, op4_quality_rules, op5_mixing, op7_license_scan, op8_secret_scan, op10_url_filter)
+    f.__name__: f for f in (op1_exact_dedup, op2_byte_bpe, op3_sharding, op4_quality_rules, op5_mixing, op6_suffix_dedup, op7_license_scan, op8_secret_scan, op9_ngram_join, op10_url_filter)
 }
 
 ORACLE_SQL: dict[str, str] = {
