@@ -194,8 +194,8 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, data binary")
 
 
-def encode_and_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """A row for each document: doc_id, n_tokens, ids_sha256 and decoded_sha256 after a round trip.
+def encode_and_decode(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+    """A row for each document: doc_id, n_tokens, ids_sha256 and decoded_sha256 after a round trip, and ids if wanted.
 
     The digests are of the decimal ids joined by commas and of the decoded bytes. A null text counts as empty:
     no ids, no bytes. Repeated rows are encoded alike; an empty table gives no rows. Other columns are ignored.
@@ -206,15 +206,13 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         coder = Coder(ranks.value, pattern)
         for block in _blocks(batches, len, "text"):
             ids = coder.encode(block["text"].tolist())
-            data = coder.decode(ids)
-            yield pd.DataFrame(
-                {
-                    "doc_id": _whole(block["doc_id"]),
-                    "n_tokens": [len(x) for x in ids],
-                    "ids_sha256": [hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in ids],
-                    "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in data],
-                }
-            )
+            out = {
+                "doc_id": _whole(block["doc_id"]),
+                "n_tokens": [len(x) for x in ids],
+                "ids_sha256": [hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in ids],
+                "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in coder.decode(ids)],
+            }
+            yield pd.DataFrame(out | ({"ids": [np.array(x, dtype=np.int32) for x in ids]} if with_ids else {}))
 
     slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of().alias("text"))
-    return slim.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return slim.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
