@@ -1,5 +1,8 @@
 """All registered queries with their SQL twins."""
 
-QUERIES = {}
-ORACLE_SQL = {}
-FLAGSHIP = "phase_fractions"
+from framelens.plans import frame_queries  # noqa: F401
+from framelens.plans.catalog import ORACLE_SQL, QUERIES
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
+
+FLAGSHIP = "pressure_summary"
