@@ -1,8 +1,8 @@
 """All registered queries with their SQL twins."""
 
-from framelens.plans import frame_queries  # noqa: F401
+from framelens.plans import frame_queries, peak_queries  # noqa: F401
 from framelens.plans.catalog import ORACLE_SQL, QUERIES
 
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
 
-FLAGSHIP = "pressure_summary"
+FLAGSHIP = "phase_fractions"
