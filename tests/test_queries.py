@@ -1,9 +1,8 @@
 """Every registered query runs; those with SQL give what DuckDB gives."""
 
 import pytest
-from conftest import TABLES
 
-from compare import assert_same, database
+from compare import TABLES, assert_same, database
 from framelens.plans import registry
 
 
