@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelens.operators.shared import HOT_PARTS, hot_join, scratch, stored
 
-__all__ = ["HOT_PARTS", "hot_join", "md5_number", "n_buckets", "scratch", "stored", "text_of"]
+__all__ = ["HOT_PARTS", "hot_join", "md5_number", "n_buckets", "scratch", "set_aside", "stored", "text_of"]
 
 
 def text_of(column: str = "text") -> Column:
@@ -15,6 +15,12 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def set_aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its columns under names that clash with none of ours, and what each column is called now."""
+    names = [f"in{i}__" for i in range(len(docs.columns))]
+    return docs.toDF(*names), dict(zip(docs.columns, names))
+
+
 def n_buckets(rows: int, per_bucket: int = 20_000, least: int = 64, most: int = 1 << 20) -> int:
     """A power of two of buckets that hold about ``per_bucket`` of ``rows`` each."""
     n = least

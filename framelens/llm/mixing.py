@@ -14,7 +14,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelens.llm.common import hot_join, md5_number, stored
+from framelens.llm.common import hot_join, md5_number, set_aside, stored
 
 #: Uniform numbers have so many bits.
 BITS = 60
@@ -68,13 +68,15 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, powe
     table, or weights that are all 0, give no rows. Columns of ``docs`` with the names of results are replaced.
     """
     own = [c for c in docs.columns if c not in ("copy", "n_copies", "shuffle_key")]
-    keyed = docs.select(*[F.col(f"`{c}`") for c in own], F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("~")).alias("_stratum"))
+    safe, at = set_aside(docs.select(*[F.col(f"`{c}`") for c in own]))
+    doc_id = F.col(at["doc_id"])
+    keyed = safe.withColumn("_stratum", F.coalesce(F.concat(F.lit("="), F.col(at["source"]).cast("string")), F.lit("~")))
     table = stored(rates(keyed, weights, power, rows))
     total = table.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).first()["n"]
-    uniform = md5_number(F.lit(seed), F.col("doc_id")) / F.lit(float(1 << BITS))
+    uniform = md5_number(F.lit(seed), doc_id) / F.lit(float(1 << BITS))
     drawn = hot_join(keyed, table, ["_stratum"], max(1, total)).withColumn("n_copies", poisson_count(F.col("rate"), uniform))
     copies = drawn.filter("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
-    keyed_out = copies.withColumn("shuffle_key", md5_number(F.lit(seed), F.lit("at"), F.col("doc_id"), F.col("copy")))
+    keyed_out = copies.withColumn("shuffle_key", md5_number(F.lit(seed), F.lit("at"), doc_id, F.col("copy")))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = keyed_out.repartition(parts, "shuffle_key").sortWithinPartitions("shuffle_key")
-    return dealt.select(*[F.col(f"`{c}`") for c in own], "copy", "n_copies", "shuffle_key")
+    return dealt.select(*[F.col(at[c]).alias(c) for c in own], "copy", "n_copies", "shuffle_key")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelens.llm.common import hot_join, md5_number, n_buckets, stored, text_of
+from framelens.llm.common import hot_join, md5_number, n_buckets, set_aside, stored, text_of
 
 #: Random numbers are below 2 to the power of this.
 RANDOM_BITS = 60
@@ -27,7 +27,7 @@ def row_bytes(column: str = "text") -> Column:
 
 
 def interleaved(docs: DataFrame, strata: str = "source", seed: int = 17) -> DataFrame:
-    """All columns of ``docs``, with ``_position`` (0 to rows - 1) in the interleaved order and ``_rows``.
+    """All columns of ``docs``, with ``position__`` (0 to rows - 1) in the interleaved order and ``rows__``.
 
     A source (null is one too) starts at a random phase, so that small sources don't meet at one place. Ties
     are ordered by checksum, size and doc_id; rows that tie in all of them are copies of each other.
@@ -35,8 +35,10 @@ def interleaved(docs: DataFrame, strata: str = "source", seed: int = 17) -> Data
     rows = max(1, docs.count())
     buckets = n_buckets(rows)
     bits = buckets.bit_length() - 1
-    keyed = docs.withColumn("_stratum", F.coalesce(F.concat(F.lit("="), F.col(strata).cast("string")), F.lit("~"))).withColumn("_random", md5_number(F.lit(seed), F.col("doc_id"), F.crc32(text_of())))
-    keyed = keyed.withColumn("_crc", F.crc32(text_of())).withColumn("_size", row_bytes()).withColumn("_bucket", F.shiftright("_random", RANDOM_BITS - bits))
+    own, at = set_aside(docs)
+    doc_id, crc = F.col(at["doc_id"]), F.crc32(text_of(at["text"]))
+    keyed = own.withColumn("_stratum", F.coalesce(F.concat(F.lit("="), F.col(at[strata]).cast("string")), F.lit("~"))).withColumn("_random", md5_number(F.lit(seed), doc_id, crc))
+    keyed = keyed.withColumn("_crc", crc).withColumn("_size", row_bytes(at["text"])).withColumn("_bucket", F.shiftright("_random", RANDOM_BITS - bits))
 
     # A row for each source and bucket: small, so its windows are.
     counts = stored(keyed.groupBy("_stratum", "_bucket").agg(F.count(F.lit(1)).alias("_n")))
@@ -46,7 +48,7 @@ def interleaved(docs: DataFrame, strata: str = "source", seed: int = 17) -> Data
         .withColumn("_before", F.sum("_n").over(of_source.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)))
         .select("_stratum", "_bucket", "_n", "_of", F.coalesce("_before", F.lit(0)).alias("_before"))
     )
-    tie = ["_random", "_crc", "_size", "doc_id"]
+    tie = ["_random", "_crc", "_size", at["doc_id"]]
     within = Window.partitionBy("_stratum", "_bucket").orderBy(*tie)
     ranked = hot_join(keyed, offsets, ["_stratum", "_bucket"], rows).withColumn("_rank", F.col("_before") + F.row_number().over(within) - 1)
     phase = md5_number(F.lit(seed), F.lit("phase"), F.col("_stratum")) / float(1 << RANDOM_BITS)
@@ -58,7 +60,7 @@ def interleaved(docs: DataFrame, strata: str = "source", seed: int = 17) -> Data
     in_slice = Window.partitionBy("_slice").orderBy("_fraction", "_stratum", *tie)
     # At most 2^20 slices of two numbers: the broadcast is bounded.
     done = placed.withColumn("_at", F.row_number().over(in_slice)).join(F.broadcast(ahead), "_slice").withColumn("_position", F.col("_ahead") + F.col("_at") - 1)
-    return done.select(*[F.col(f"`{c}`") for c in docs.columns], "_crc", "_size", "_position", F.lit(rows).cast("long").alias("_rows"))
+    return done.select(*[F.col(n).alias(c) for c, n in at.items()], F.col("_crc").alias("crc__"), F.col("_size").alias("size__"), F.col("_position").alias("position__"), F.lit(rows).cast("long").alias("rows__"))
 
 
 def shard(docs: DataFrame, shards: int = 40, strata: str = "source", seed: int = 17) -> DataFrame:
@@ -71,12 +73,12 @@ def shard(docs: DataFrame, shards: int = 40, strata: str = "source", seed: int =
     """
     own = [c for c in docs.columns if c not in ("size", "text_crc32", "law", "shard", "slot", "grown_shard")]
     # Shard s holds the positions from ceil(s * rows / shards); whole numbers only, to be exact at any size.
-    which = F.expr(f"(_position * {shards}) div _rows")
-    placed = interleaved(docs.select(*[F.col(f"`{c}`") for c in own]), strata, seed).withColumn("_shard", which)
-    first = F.expr(f"(_shard * _rows + {shards - 1}) div {shards}")
+    which = F.expr(f"(position__ * {shards}) div rows__")
+    placed = interleaved(docs.select(*[F.col(f"`{c}`") for c in own]), strata, seed).withColumn("shard__", which)
+    first = F.expr(f"(shard__ * rows__ + {shards - 1}) div {shards}")
     return placed.select(
-        *[F.col(f"`{c}`") for c in own], F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), F.lit("rows").alias("law"),
-        F.col("_shard").cast("int").alias("shard"), (F.col("_position") - first).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+        *[F.col(f"`{c}`") for c in own], F.col("size__").alias("size"), F.col("crc__").alias("text_crc32"), F.lit("rows").alias("law"),
+        F.col("shard__").cast("int").alias("shard"), (F.col("position__") - first).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
 
 
