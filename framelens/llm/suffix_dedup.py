@@ -14,11 +14,11 @@ rows: only their first occurrence is compared, and every later one is removed as
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,7 +86,9 @@ def owners(data: np.ndarray, length: int, k: int = K) -> tuple[np.ndarray, np.nd
     places, hashes = [], []
     for begin in range(0, n, CHUNK):
         part = data[begin : min(begin + CHUNK, n) + length - 1]
-        h = _mixed(string_hashes(prefix_hashes(part), np.arange(len(part) - k + 1), k))
+        prefix = prefix_hashes(part)
+        with np.errstate(over="ignore"):
+            h = _mixed((prefix[k:] - prefix[:-k]) * _power(_INVERSE, len(prefix))[: len(part) - k + 1])
         # The upper 42 bits order the k-grams; the position decides ties, which the content decides alike.
         keys = (h & ~np.uint64((1 << 22) - 1)) | np.arange(len(h), dtype=np.uint64)
         at = (_sliding_least(keys, length - k + 1) & np.uint64((1 << 22) - 1)).astype(np.int64)
@@ -123,44 +125,55 @@ def _anchors(length: int):
 
 def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Texts as compressed bytes, for the shuffles by document."""
+    pack = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
         for begin in range(0, len(batch), 500):
             part = batch.iloc[begin : begin + 500]
-            yield pd.DataFrame({"doc_id": part["doc_id"], "packed": [zlib.compress(t.encode("utf-8", "surrogatepass"), 6) for t in part["text"]]})
+            yield pd.DataFrame({"doc_id": part["doc_id"], "packed": [pack(t.encode("utf-8", "surrogatepass")) for t in part["text"]]})
 
 
 def _around(length: int):
     def around(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """hash, bytes around, bytes before the anchor, document and place: the first of equal ones in the batch."""
+        """hash, bytes around, bytes before the anchor, document and place: the first of equal ones in the batch.
+
+        The bytes are those of the strings that belong to the anchor, so their starts are all but the last length - 1.
+        """
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             firsts: dict[tuple[int, bytes, int], tuple[int, int]] = {}
             for doc_id, packed, places in zip(batch["doc_id"], batch["packed"], batch["places"]):
-                raw = zlib.decompress(packed)
-                if len(raw) < length:
+                raw = unpack(packed)
+                at, h = owners(np.frombuffer(raw, dtype=np.uint8), length)
+                own = np.flatnonzero(np.isin(at, np.asarray(places, dtype=np.int64)))
+                if not len(own):
                     continue
-                places = np.unique(np.asarray(places, dtype=np.int64))
-                places = places[places <= len(raw) - K]
-                h = _mixed(string_hashes(prefix_hashes(np.frombuffer(raw, dtype=np.uint8)), places, K)).view(np.int64)
-                for p, x in zip(places.tolist(), h.tolist()):
-                    begin = max(0, p - (length - K))
-                    key = (x, raw[begin : p + length], p - begin)
+                # The starts of an anchor follow each other.
+                first = own[np.concatenate([[True], at[own[1:]] != at[own[:-1]]])]
+                last = own[np.concatenate([at[own[1:]] != at[own[:-1]], [True]])]
+                for p, x, lo, hi in zip(at[first].tolist(), h[first].tolist(), first.tolist(), last.tolist()):
+                    key = (x, raw[lo : hi + length], p - lo)
                     if key not in firsts or (doc_id, p) < firsts[key]:
                         firsts[key] = (doc_id, p)
             if firsts:
-                yield pd.DataFrame([(*k, *v) for k, v in firsts.items()], columns=["hash", "around", "before", "doc_id", "place"])
+                keys, values = list(zip(*firsts)), list(zip(*firsts.values()))
+                yield pd.DataFrame({"hash": keys[0], "around": keys[1], "before": keys[2], "doc_id": values[0], "place": values[1]})
 
     return around
 
 
 def common_extension(h: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     """The number of equal bytes, ``most`` at most, of the suffixes at a and b: a binary search over hashes."""
-    lo, hi = np.zeros(len(a), dtype=np.int64), np.full(len(a), most, dtype=np.int64)
-    while (open_ := lo < hi).any():
-        mid = np.where(open_, (lo + hi + 1) // 2, lo)
-        same = string_hashes(h, a, mid) == string_hashes(h, b, mid)
-        lo = np.where(open_ & same, mid, lo)
-        hi = np.where(open_ & ~same, mid - 1, hi)
-    return lo
+    out = np.full(len(a), most, dtype=np.int64)
+    differ = np.flatnonzero(string_hashes(h, a, most) != string_hashes(h, b, most))
+    x, y = a[differ], b[differ]
+    lo, hi = np.zeros(len(x), dtype=np.int64), np.full(len(x), most - 1, dtype=np.int64)
+    for _ in range(most.bit_length()):
+        mid = (lo + hi + 1) // 2
+        same = string_hashes(h, x, mid) == string_hashes(h, y, mid)
+        lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
+        hi = np.maximum(lo, hi)
+    out[differ] = lo
+    return out
 
 
 def suffix_sort(data: np.ndarray, h: np.ndarray, starts: np.ndarray, lists: np.ndarray, most: int) -> np.ndarray:
@@ -203,43 +216,44 @@ def _compare(rows: pd.DataFrame, length: int) -> pd.DataFrame:
     """For the first occurrence of each surrounding of whole groups: the starts that an earlier string repeats."""
     rows = rows.sort_values(["doc_id", "place"], kind="stable").drop_duplicates(["hash", "around", "before"]).reset_index(drop=True)
     texts = rows["around"].tolist()
-    size = np.array([len(t) for t in texts])
+    size = np.array([len(t) for t in texts], dtype=np.int64)
     base = np.cumsum(size) - size
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    group = rows["hash"].to_numpy(np.int64)
-    alone = rows.groupby("hash")["hash"].transform("size").to_numpy() < 2
-    row, start, offset = [], [], []
-    before = rows["before"].to_numpy(np.int64)
-    for i in np.flatnonzero(~alone):
-        at, _ = owners(data[base[i] : base[i] + size[i]], length)
-        own = np.flatnonzero(at == before[i])
-        row.append(np.full(len(own), i))
-        start.append(base[i] + own)
-        offset.append(before[i] - own)
-    gone: list[list[int]] = [[] for _ in texts]
-    if row:
-        row, start, offset = np.concatenate(row), np.concatenate(start), np.concatenate(offset)
+    place, before = rows["place"].to_numpy(np.int64), rows["before"].to_numpy(np.int64)
+    _, group, members = np.unique(rows["hash"].to_numpy(np.int64), return_inverse=True, return_counts=True)
+    # Strings of surroundings whose group has others; equal ones stand alike to their anchors.
+    own = np.where(members[group] > 1, size - length + 1, 0)
+    row = np.repeat(np.arange(len(rows)), own)
+    inside = np.arange(len(row)) - np.repeat(np.cumsum(own) - own, own)
+    start, offset = base[row] + inside, before[row] - inside
+    starts: list = [()] * len(rows)
+    if len(row):
         by = np.lexsort((row, offset, group[row]))
         row, start, offset = row[by], start[by], offset[by]
         lists = np.cumsum(np.concatenate([[0], (np.diff(group[row]) != 0) | (np.diff(offset) != 0)]))
+        several = np.bincount(lists)[lists] > 1
+        row, start, lists = row[several], start[several], lists[several]
+    if len(row):
         h = prefix_hashes(data)
         order = suffix_sort(data, h, start, lists, length)
         row, start, lists = row[order], start[order], lists[order]
         equal = np.zeros(len(row), dtype=bool)
         pair = np.flatnonzero(lists[1:] == lists[:-1])
-        pair = pair[common_extension(h, start[pair], start[pair + 1], length) >= length]
+        pair = pair[string_hashes(h, start[pair], length) == string_hashes(h, start[pair + 1], length)]
         span = np.arange(length)
-        for part in np.array_split(pair, max(1, len(pair) // 50_000)):
+        for part in np.array_split(pair, len(pair) // 50_000 + 1):
             equal[part + 1] = (data[start[part][:, None] + span] == data[start[part + 1][:, None] + span]).all(axis=1)
-        classes = np.cumsum(~equal) - 1
-        if len(classes):
-            # Rows are in (document, place) order and the strings of a list stand alike to their anchors.
-            low = np.minimum.reduceat(row, np.flatnonzero(~equal))[classes]
-            for r, s in zip(row[row > low].tolist(), start[row > low].tolist()):
-                gone[r].append(s)
-    place = rows["place"].to_numpy(np.int64)
-    starts = [[int(place[i] - before[i] + s - base[i]) for s in sorted(g)] for i, g in enumerate(gone)]
-    return pd.DataFrame({"doc_id": rows["doc_id"], "place": place, "starts": starts})
+        # Rows are in (document, place) order: the lowest row of a class has its first string.
+        heads = np.flatnonzero(~equal)
+        low = np.minimum.reduceat(row, heads)[np.cumsum(~equal) - 1]
+        late = np.flatnonzero(row > low)
+        late = late[np.lexsort((start[late], row[late]))]
+        at = row[late]
+        where = place[at] - before[at] + start[late] - base[at]
+        cuts = np.flatnonzero(np.diff(at)) + 1
+        for r, found in zip(at[np.concatenate([[0], cuts])].tolist() if len(at) else [], np.split(where, cuts)):
+            starts[r] = found
+    return pd.DataFrame({"doc_id": rows["doc_id"], "place": place, "starts": [np.asarray(x, dtype=np.int32) for x in starts]})
 
 
 def _compared(length: int):
@@ -273,12 +287,12 @@ def _groups(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         begin = end
 
 
-def removed_bytes(raw: bytes, length: int, places: list[int], firsts: dict[int, list[int]]) -> np.ndarray:
+def removed_bytes(raw: bytes, length: int, places: list[int], firsts: dict) -> np.ndarray:
     """Which bytes go: all strings of a repeated anchor, but for a first surrounding only those that were found."""
     data = np.frombuffer(raw, dtype=np.uint8)
     at, _ = owners(data, length)
     gone = np.isin(at, np.array([p for p in places if p not in firsts], dtype=np.int64))
-    found = np.array([s for p in places for s in firsts.get(p, ())], dtype=np.int64)
+    found = np.concatenate([np.asarray(firsts.get(p, ()), dtype=np.int64) for p in places] or [np.zeros(0, dtype=np.int64)])
     gone[found[found < len(gone)]] = True
     edge = np.zeros(len(data) + 1, dtype=np.int64)
     starts = np.flatnonzero(gone)
@@ -287,20 +301,21 @@ def removed_bytes(raw: bytes, length: int, places: list[int], firsts: dict[int,
     return np.cumsum(edge[:-1]) > 0
 
 
-def _finish(length: int):
+def _finish(length: int, with_bytes: bool):
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             rows = []
             for doc_id, packed, places, firsts in zip(batch["doc_id"], batch["packed"], batch["places"], batch["firsts"]):
-                raw = zlib.decompress(packed)
+                raw = unpack(packed)
                 kept, n_removed, n_spans = raw, 0, 0
                 if places is not None and len(raw) >= length:
-                    known = {} if firsts is None else {x["place"]: list(x["starts"]) for x in firsts}
+                    known = {} if firsts is None else {x["place"]: x["starts"] for x in firsts}
                     gone = removed_bytes(raw, length, [int(p) for p in places], known)
                     kept = np.frombuffer(raw, dtype=np.uint8)[~gone].tobytes()
                     n_removed, n_spans = int(gone.sum()), int((gone & ~np.concatenate([[False], gone[:-1]])).sum())
-                rows.append((doc_id, len(raw), n_removed, n_spans, hashlib.sha256(kept).hexdigest(), kept))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                rows.append((doc_id, len(raw), n_removed, n_spans, hashlib.sha256(kept).hexdigest(), *[kept] * with_bytes))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_bytes])
 
     return finish
 
@@ -326,7 +341,7 @@ def remove_repeated(docs: DataFrame, length: int = 100, with_bytes: bool = True)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     firsts = stored(around.repartition(parts, "hash").sortWithinPartitions("hash").mapInPandas(_compared(length), "doc_id long, place int, starts array<int>"))
     found = firsts.groupBy("doc_id").agg(F.collect_list(F.struct("place", "starts")).alias("firsts"))
-    result = packed.join(hits.join(found, "doc_id", "left"), "doc_id", "left").mapInPandas(_finish(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    result = packed.join(hits.join(found, "doc_id", "left"), "doc_id", "left").mapInPandas(_finish(length, with_bytes), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes)
     own_id = F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id")
     return result.select(own_id, "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_bytes)
 
