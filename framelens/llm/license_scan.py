@@ -3,12 +3,14 @@
 Each line of a document, and the document as a whole, is normalised (ASCII letters in lower case, everything
 but letters and digits a space) and turned into its set of word bigrams. Dice is twice the shared bigrams over
 the sum of both sizes, so a template can reach the threshold t only if its size lies between t / (2 - t) and
-(2 - t) / t times the size of the text's set: these bounds leave few templates for each line, and none for
-most. All is done within the row by array functions; nothing is shuffled.
+(2 - t) / t times the size of the text's set: these bounds leave few templates for each line. They also mean that a
+match has most of the template's bigrams, so it has one of a few trigger words; texts and lines without any are passed over
+by byte searches. All is done within the row by array functions; nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -54,6 +56,34 @@ def template_grams(templates: Sequence[tuple[str, str]] = TEMPLATES) -> list[tup
     return out
 
 
+def trigger_words(templates: Sequence[tuple[str, str]], threshold: float) -> list[str]:
+    """Words of which every text that reaches the threshold with any template has at least one.
+
+    Such a text has t / (2 - t) of a template's bigrams, so it suffices that the bigrams without a trigger are fewer.
+    Long words that many templates need are taken first.
+    """
+    grams = [[g.split() for g in grams] for _, _, grams in template_grams(templates)]
+    need = [len(g) - math.ceil(len(g) * threshold / (2 - threshold) - 1e-9) + 1 for g in grams]
+    chosen: list[str] = []
+
+    def missing(words: list[str]) -> list[int]:
+        return [max(0, n - sum(any(w in words for w in g) for g in own)) for own, n in zip(grams, need)]
+
+    while any(left := missing(chosen)):
+        words = sorted({w for own, n in zip(grams, left) if n for g in own for w in g} - {*chosen})
+        gain = {w: sum(a - b for a, b in zip(left, missing([*chosen, w]))) for w in words}
+        chosen.append(max(words, key=lambda w: (gain[w] > 0, len(w) >= 5, gain[w], len(w), -sum(w in g for own in grams for g in own))))
+    return chosen
+
+
+def _has_trigger(text: Column, triggers: Sequence[str]) -> Column:
+    lower = F.lower(text)
+    out = F.lit(False)
+    for w in triggers:
+        out = out | lower.contains(w)
+    return out
+
+
 def _words(text: Column) -> Column:
     lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return F.filter(F.split(lower, "[^a-z0-9]+"), lambda w: w != "")
@@ -92,10 +122,15 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
     """
     known = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(name).alias("name"), F.lit(len(grams)).alias("n"), F.array(*map(F.lit, grams)).alias("grams")) for i, name, grams in template_grams(templates)])
     text = text_of()
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: _found(x, known, threshold)), lambda m: m.isNotNull())
-    whole = F.when((F.instr(text, "\n") > 0), _found(text, known, threshold))
+    triggers = trigger_words(templates, threshold)
+    kind = "struct<dice:double,rank:int,licence:string>"
+    near = F.filter(F.split(text, "\n"), lambda x: _has_trigger(x, triggers))
+    matches = F.filter(F.transform(near, lambda x: _found(x, known, threshold)), lambda m: m.isNotNull())
+    any_at_all = _has_trigger(text, triggers)
+    lines = F.when(any_at_all, matches).otherwise(F.array().cast(f"array<{kind}>"))
+    whole = F.when(any_at_all & (F.instr(text, "\n") > 0), _found(text, known, threshold))
     found = docs.select("doc_id", lines.alias("lines"), whole.alias("all"))
-    best = F.array_max(F.concat("lines", F.when(F.col("all").isNotNull(), F.array("all")).otherwise(F.array().cast("array<struct<dice:double,rank:int,licence:string>>"))))
+    best = F.array_max(F.concat("lines", F.when(F.col("all").isNotNull(), F.array("all")).otherwise(F.array().cast(f"array<{kind}>"))))
     return found.select(
         "doc_id", best["licence"].alias("licence"), F.round(best["dice"], 6).alias("dice"), F.size("lines").cast("long").alias("n_matches"),
         F.array_join(F.array_sort(F.array_distinct(F.transform("lines", lambda m: m["licence"]))), ",").alias("licences"), F.col("all").isNotNull().alias("whole"),
