@@ -2,9 +2,9 @@
 
 A document is its set of word n-grams (64-bit hashes). If two sets are similar enough, then in any global order
 of the tokens their prefixes share a token early enough: that holds for every order at once, so a pair is
-a candidate only if it passes under each of them. The first order puts rare tokens first, by a sketch
-of their frequencies (a table of fixed size; being only an order, it need not be exact), the others break its
-ties differently. Survivors are verified on their whole sets.
+a candidate only if it passes under each of them. The first order begins with a fixed share of all tokens, chosen
+by hash and large enough to hold nearly all prefixes, with rare tokens first: so only these tokens need a count.
+The other orders are by other hashes. Survivors are verified on their whole sets.
 
 The result is the connected components, so copies and large groups need no list of pairs. Equal sets are one
 node. Then each node is compared with one central node of the lists that it shares, which joins most of a
@@ -20,14 +20,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelens.llm.common import hot_join, stored, text_of
 from framelens.operators.components import connected_components
 
-#: Counters of the frequency sketch: 2 MB as 64-bit numbers, whatever the corpus.
-SKETCH_BITS = 18
+#: The counted share of all tokens, in prefix shares: most tokens of a text are unique, so unique ones fill its prefix.
+COUNTED = 1.6
 #: The id that stands for a null doc_id.
 NO_ID = -(1 << 63)
 STAR_ROUNDS = 2
@@ -64,81 +64,61 @@ def shingles(text: str, n: int, seen: dict[bytes, int] | None = None) -> np.ndar
     return np.unique(out)
 
 
-def required(a, b, percent: int):
-    """The least overlap of sets of sizes a and b with a Jaccard similarity of ``percent`` hundredths or more."""
-    return -(-percent * (a + b) // (100 + percent))
-
-
-def ordered(tokens: np.ndarray, sketch: np.ndarray, order: int) -> np.ndarray:
-    """The tokens in a global order: rare ones first by the sketch, ties by a hash of the order's own."""
-    return tokens[np.lexsort((_mixed(tokens, 101 + order), sketch[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))]
-
-
 def prefix_length(n: int, percent: int) -> int:
     """So many first tokens of a set of size n meet those of any similar set."""
     return n - -(-percent * n // 100) + 1
 
 
-def _bytes_batches(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, str]]:
-    for batch in batches:
-        yield from zip(batch["doc_id"], batch["text"])
+def counted_below(percent: int) -> np.uint64:
+    """Tokens below this bound are counted and come first in the first order."""
+    return np.uint64(min((1 << 64) - 1, int((1 << 64) * COUNTED * (100 - percent) / 100)))
 
 
-def _facts(n: int) -> Callable:
-    def facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """A row for each document with the digest of its set, and at the end the task's sketch."""
-        counts, seen, rows = np.zeros(1 << SKETCH_BITS, dtype=np.int64), {}, []
-        for doc_id, text in _bytes_batches(batches):
-            s = shingles(text, n, seen)
-            np.add.at(counts, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-            rows.append((doc_id, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), len(s)))
-            if len(rows) >= 5000:
-                yield pd.DataFrame(rows, columns=["doc_id", "class_key", "n"]).assign(bucket=None)
-                rows = []
-        if rows:
-            yield pd.DataFrame(rows, columns=["doc_id", "class_key", "n"]).assign(bucket=None)
-        at = np.flatnonzero(counts)
-        if len(at):
-            yield pd.DataFrame({"doc_id": None, "class_key": None, "n": counts[at], "bucket": at})
+def hash_prefix(tokens: np.ndarray, percent: int, order: int) -> np.ndarray:
+    """The prefix under the order of another hash, as 32-bit numbers: a collision only lets a pair pass."""
+    keys = np.sort(_mixed(tokens, 101 + order))[: prefix_length(len(tokens), percent)]
+    return (keys >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
-    return facts
 
+def _facts(n: int, percent: int) -> Callable:
+    bound = counted_below(percent)
 
-def _prefixes(n: int, percent: int, sketch) -> Callable:
-    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[bytes, int] = {}
-        tokens, ids, places, size = [], [], [], 0
-
-        def block() -> pd.DataFrame:
-            return pd.DataFrame({"token": np.concatenate(tokens).view(np.int64), "doc_id": np.concatenate(ids), "place": np.concatenate(places)})
+    def facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A row for each document (digest of its set, size, counted tokens), and one for each token that may stand in its prefix.
 
-        for doc_id, text in _bytes_batches(batches):
-            s = shingles(text, n, seen)
-            if len(s):
-                first = ordered(s, sketch.value, 1)[: prefix_length(len(s), percent)]
-                tokens.append(first)
-                ids.append(np.full(len(first), doc_id, dtype=np.int64))
-                places.append(np.arange(len(first), dtype=np.int32))
-                size += len(first)
-            if size >= 200_000:
-                yield block()
-                tokens, ids, places, size = [], [], [], 0
-        if size:
-            yield block()
+        The place of a counted token is known only after the count; the others follow in the order of their hashes.
+        """
+        seen: dict[bytes, int] = {}
+        for batch in batches:
+            for begin in range(0, len(batch), 1000):
+                part = batch.iloc[begin : begin + 1000]
+                rows, tokens, ids, places = [], [], [], []
+                for doc_id, text in zip(part["doc_id"], part["text"]):
+                    s = shingles(text, n, seen)
+                    low = int(np.searchsorted(s, bound))
+                    most = max(low, prefix_length(len(s), percent)) if len(s) else 0
+                    rows.append((doc_id, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), len(s), low))
+                    tokens.append(s[:most].view(np.int64))
+                    ids.append(np.full(min(most, len(s)), doc_id, dtype=np.int64))
+                    place = np.arange(min(most, len(s)), dtype=np.int32)
+                    place[:low] = -1
+                    places.append(place)
+                yield pd.DataFrame(rows, columns=["doc_id", "class_key", "n", "low"]).assign(token=pd.array([None] * len(rows), dtype="Int64"), place=-1)
+                out = pd.DataFrame({"doc_id": np.concatenate(ids), "token": np.concatenate(tokens), "place": np.concatenate(places)})
+                yield out.assign(class_key=None, n=0, low=0)[["doc_id", "class_key", "n", "low", "token", "place"]]
 
-    return prefixes
+    return facts
 
 
-def _sets(n: int, percent: int, sketch) -> Callable:
+def _sets(n: int, percent: int) -> Callable:
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The set of each document, and the hashes (32 bits: a collision only lets a pair pass) of two more prefixes."""
+        """The set of each document and its prefixes under two more orders."""
         seen: dict[bytes, int] = {}
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
                 s = shingles(text, n, seen)
-                p = prefix_length(len(s), percent)
-                rows.append((doc_id, len(s), s.view(np.int64), *((ordered(s, sketch.value, k)[:p] >> np.uint64(5)).astype(np.uint32).view(np.int32) for k in (2, 3))))
+                rows.append((doc_id, len(s), s.view(np.int64), hash_prefix(s, percent, 2), hash_prefix(s, percent, 3)))
             yield pd.DataFrame(rows, columns=["node", "n", "tokens", "second", "third"])
 
     return sets
@@ -150,10 +130,11 @@ def _close(na: Column, nb: Column, pa: Column, pb: Column, percent: int) -> Colu
     return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (F.least(na - pa, nb - pb) >= need)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that pass the filters of the other orders and whose sets are similar."""
-    slim = sets.select("node", "n", "second", "third")
-    left, right = (slim.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "second", "third")]) for x in "ab")
+def _verified(pairs: DataFrame, slim: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that pass the filters of the other orders and whose sets are similar; sets are made for their nodes only."""
+    wanted = stored(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
+    sets = stored(slim.join(wanted, "doc_id", "left_semi").mapInPandas(_sets(n, percent), "node long, n long, tokens array<long>, second array<int>, third array<int>"))
+    left, right = (sets.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("second", "third")]) for x in "ab")
     met = stored(
         pairs.join(left, "a").join(right, "b")
         .filter(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b"))
@@ -185,31 +166,28 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     with the same doc_id are one node, as are all rows with a null doc_id, which comes before all others.
     An empty table gives no rows. Other columns are ignored.
     """
-    spark = docs.sparkSession
     slim = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("doc_id"), text_of().alias("text"))
-    facts = stored(slim.mapInPandas(_facts(n), "doc_id long, class_key binary, n long, bucket int"))
-    table = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-    # As many rows as counters at most.
-    rows = facts.filter("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    table[rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
-    sketch = spark.sparkContext.broadcast(table)
+    facts = stored(slim.mapInPandas(_facts(n, percent), "doc_id long, class_key binary, n long, low long, token long, place int"))
 
     # Equal sets are one node, named by their smallest doc_id.
-    own = facts.filter("bucket is null").drop("bucket")
+    own = facts.filter("token IS NULL").select("doc_id", "class_key", "n", "low")
     classes = stored(own.filter("n > 0").groupBy("class_key").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("_n")))
     total = max(1, classes.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).first()["n"])
-    nodes = stored(hot_join(own.filter("n > 0"), classes, ["class_key"], total).select("doc_id", "node", "n"))
+    nodes = stored(hot_join(own.filter("n > 0"), classes, ["class_key"], total).select("doc_id", "node", "n", "low"))
 
-    # Tokens that stand in the prefixes of several documents, and then of several nodes.
-    prefixes = slim.mapInPandas(_prefixes(n, percent, sketch), "token long, doc_id long, place int")
-    shared = stored(prefixes.groupBy("token").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("_n")).filter("lo < hi").select("token", "_n"))
+    # Tokens of several documents. The others, one document's alone, come first in the order and need no row.
+    tokens = facts.filter("token IS NOT NULL").select("token", "doc_id", "place")
+    shared = stored(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"))
     n_shared = max(1, shared.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).first()["n"])
-    met = stored(hot_join(prefixes, shared, ["token"], n_shared).select("token", "doc_id", "place"))
-    of_node = nodes.filter("doc_id = node").select("doc_id", "n").distinct()
-    lists = stored(met.join(of_node, "doc_id").select("token", F.col("doc_id").alias("node"), "place", "n").distinct())
-
-    wanted = _labelled(lists, None).select(F.col("node").alias("doc_id")).distinct()
-    sets = stored(slim.join(wanted, "doc_id", "left_semi").mapInPandas(_sets(n, percent, sketch), "node long, n long, tokens array<long>, second array<int>, third array<int>"))
+    of_node = nodes.filter("doc_id = node").select("doc_id", "n", "low").distinct()
+    met = hot_join(tokens, shared, ["token"], n_shared).select("token", "doc_id", "place", F.col("_n").alias("df")).join(of_node, "doc_id")
+    # A document's shared counted tokens by rarity: its place is after all tokens that it has alone.
+    counted = Window.partitionBy("doc_id", F.col("place") < 0)
+    rank = F.row_number().over(counted.orderBy("df", "token"))
+    alone = F.col("low") - F.count(F.lit(1)).over(counted)
+    placed = met.withColumn("place", F.when(F.col("place") < 0, (alone + rank - 1).cast("int")).otherwise(F.col("place")))
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    lists = stored(placed.filter(F.col("place") < prefix).select("token", F.col("doc_id").alias("node"), "place", "n").distinct())
 
     twins = nodes.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("a", "b")
     links, components = stored(twins), None
@@ -217,8 +195,7 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
         mixed = _labelled(lists, components)
         if mixed.isEmpty():
             break
-        sizes = mixed.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.count(F.lit(1)).alias("_n"))
-        sizes = stored(sizes)
+        sizes = stored(mixed.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.count(F.lit(1)).alias("_n")))
         in_all = max(1, sizes.agg(F.sum("_n")).first()[0])
         weights = hot_join(mixed, sizes, ["token"], in_all).groupBy("node").agg(F.sum("size").alias("weight"))
         weighed = stored(mixed.join(weights, "node"))
@@ -228,7 +205,7 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
         # One pair a node: with the centre that it shares most tokens with.
         votes = near.groupBy("node", "centre").agg(F.count(F.lit(1)).alias("votes"))
         pairs = votes.groupBy("node").agg(F.max(F.struct("votes", "centre")).alias("best")).select(F.col("node").alias("a"), F.col("best.centre").alias("b"))
-        links = stored(links.unionByName(_verified(stored(pairs), sets, percent)))
+        links = stored(links.unionByName(_verified(stored(pairs), slim, n, percent)))
         components = stored(connected_components(links))
 
     mixed = _labelled(lists, components)
@@ -236,7 +213,7 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     right = mixed.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("component").alias("cb"))
     fits = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _close(F.col("na"), F.col("nb"), F.col("pa"), F.col("pb"), percent)
     rest = stored(left.join(right, "token").filter(fits).select("a", "b").distinct())
-    links = stored(links.unionByName(_verified(rest, sets, percent)))
+    links = stored(links.unionByName(_verified(rest, slim, n, percent)))
     components = stored(connected_components(links))
 
     of_doc = nodes.groupBy("doc_id").agg(F.min("node").alias("node")).join(components, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
