@@ -1,14 +1,16 @@
 """Quality rules: surface counts, and perplexity under a character n-gram model of the corpus itself.
 
-For each language Spark counts the character trigrams of all documents. A modified Kneser-Ney model is made of
-the counts (three discounts an order, continuation counts below the highest order) and kept as sorted arrays
-of packed n-grams with their log probabilities; a document is scored by binary search in them. From the scores
-of all documents a histogram is counted for each language, and its quartiles give the band of perplexities, far
-below the first and far above the third quartile, outside which a document is rejected.
-
-Characters are mapped to 128 symbols (printable ASCII as it is, white space to a space, all others to 31
-classes), so a model has 2^21 trigrams at most, whatever the corpus: that bounds what is broadcast. A language
-has a model of its own if it makes at least one in ``LANGUAGE_PARTS`` of all documents; the others share one.
+For each language Spark counts the trigrams of whole code points (21 bits each, so a trigram is exactly one long;
+only white space is made alike) of all documents. The model is a table, as large as the corpus makes it: for each
+trigram its count and those of its shorter ends, with the number and kinds of symbols after each context. It is
+never gathered: documents lie in blocks of some megabytes, and each block is sent the rows of its own trigrams.
+
+Probabilities are interpolated by Witten and Bell's rule down to a uniform choice of any code point. A document is
+scored by the counts of all other documents: its own are taken off counts, totals and kinds exactly, or else the rare
+characters of noise, which only the document itself has, would seem certain. From the scores a histogram is counted
+for each language, and its quartiles give the band of perplexities, far below the first and far above the third
+quartile, outside which a document is rejected. Every language, however rare, has counts and a band of its own; a null
+language is one of them.
 """
 
 from __future__ import annotations
@@ -19,15 +21,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelens.llm.common import stored, text_of
+from framelens.llm.common import hot_join, stored, text_of
 
+#: The in-memory model of 128 symbols below.
 SYMBOL_BITS = 7
 START, END, BLANK = 0, 127, 32
-LANGUAGE_PARTS = 32
-OTHERS = "~"
+
+#: A code point's bits, what stands before and after a text (no text has them), and the number of choices.
+POINT_BITS = 21
+BEFORE, AFTER, POINTS = 0x1FFFFE, 0x1FFFFF, 1 << 21
+TWO, ONE = (1 << (2 * POINT_BITS)) - 1, (1 << POINT_BITS) - 1
 
 #: Symbols that count as junk: fixed values.
 JUNK = b"#*$%&|<>"
@@ -41,8 +49,8 @@ REACH = 4.0
 #: The least quartile distance: one language may have scores that hardly differ.
 LEAST_IQR = 0.03
 
-#: Bytes of text handled at once in a task.
-BLOCK_BYTES = 4 << 20
+#: Characters of a block of documents, beyond the last document; and those scored at once.
+BLOCK_CHARS, SCORED_CHARS = 4 << 20, 1 << 20
 
 
 # --- surface counts
@@ -88,7 +96,103 @@ def repeated_words(words: list[bytes], n: int = WINDOW) -> int:
     return int(covered.sum())
 
 
-# --- the model
+# --- the counts
+
+
+def points_of(text: str) -> np.ndarray:
+    """The code points of a text, two BEFORE and one AFTER it; runs of white space are one blank."""
+    out = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    blank = (out <= BLANK) | (out == 160)
+    out = np.where(blank, BLANK, out)
+    out = out[~(blank & np.concatenate([[False], blank[:-1]]))] if len(out) else out
+    return np.concatenate([[BEFORE, BEFORE], out, [AFTER]]).astype(np.int64)
+
+
+def point_trigrams(text: str) -> np.ndarray:
+    s = points_of(text)
+    return (s[:-2] << (2 * POINT_BITS)) | (s[1:-1] << POINT_BITS) | s[2:]
+
+
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows with compressed texts and the number of their block: neighbours of a task, BLOCK_CHARS or one document."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    block, size = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        numbers, packed = [], []
+        for text in batch["text"]:
+            if size >= BLOCK_CHARS:
+                block, size = block + 1, 0
+            size += len(text)
+            numbers.append(block)
+            packed.append(pack(text.encode("utf-8", "surrogatepass")))
+        yield batch.drop(columns="text").assign(block=numbers, packed=packed)[["doc_id", "row_key", "model_lang", "block", "packed"]]
+
+
+def _unpacked(packed: bytes) -> str:
+    return zstandard.ZstdDecompressor().decompress(packed).decode("utf-8", "surrogatepass")
+
+
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for each block, language and trigram of the texts at hand: Spark's own aggregation adds them up."""
+    for batch in batches:
+        for (block, lang), packed in batch.groupby(["block", "model_lang"])["packed"]:
+            waiting, size = [], 0
+            for i, p in enumerate(packed):
+                waiting.append(point_trigrams(_unpacked(p)))
+                size += len(waiting[-1])
+                if size >= SCORED_CHARS or i == len(packed) - 1:
+                    grams, n = np.unique(np.concatenate(waiting), return_counts=True)
+                    yield pd.DataFrame({"block": block, "model_lang": lang, "gram": grams, "n": n})
+                    waiting, size = [], 0
+
+
+def model_table(counts: DataFrame) -> DataFrame:
+    """model_lang, gram, and for the trigram and its last two and last symbols c (count), t and k (symbols after the context, and kinds)."""
+    lang = "model_lang"
+    c3 = counts.groupBy(lang, "gram").agg(F.sum("n").alias("c3")).withColumn("context2", F.shiftright("gram", POINT_BITS))
+    c3 = stored(c3.withColumn("two", F.col("gram").bitwiseAND(F.lit(TWO))))
+    c2 = stored(c3.groupBy(lang, "two").agg(F.sum("c3").alias("c2")).withColumn("context1", F.shiftright("two", POINT_BITS)).withColumn("one", F.col("two").bitwiseAND(F.lit(ONE))))
+    c1 = c2.groupBy(lang, "one").agg(F.sum("c2").alias("c1"))
+
+    def after(rows: DataFrame, keys: list[str], i: int) -> DataFrame:
+        return rows.groupBy(*keys).agg(F.sum(f"c{i}").alias(f"t{i}"), F.count(F.lit(1)).alias(f"k{i}"))
+
+    whole = c2.join(after(c2, [lang, "context1"], 2), [lang, "context1"]).join(c1, [lang, "one"]).join(after(c1, [lang], 1), lang)
+    own = c3.join(after(c3, [lang, "context2"], 3), [lang, "context2"]).join(whole.drop("context1", "one"), [lang, "two"])
+    return own.select(lang, "gram", *[f"{x}{i}" for i in (3, 2, 1) for x in "ctk"])
+
+
+# --- scores by all other documents
+
+
+def _level(keys: np.ndarray, bits: int, n: np.ndarray, c: np.ndarray, t: np.ndarray, k: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """Probabilities of a document's n-grams (sorted, distinct ``keys`` of n each) without its own counts, given the lower order's."""
+    context = keys >> bits
+    new = np.concatenate([[True], context[1:] != context[:-1]])
+    group = np.cumsum(new) - 1
+    own_t = np.bincount(group, n)[group]
+    own_k = np.bincount(group, n == c)[group]  # kinds that only this document has
+    total, kinds = t - own_t, k - own_k
+    return np.where(total > 0, (c - n + kinds * lower) / np.maximum(total + kinds, 1), lower)
+
+
+def document_score(grams: np.ndarray, table: dict[str, np.ndarray]) -> float:
+    """The mean negative log probability of a text's trigrams by all other texts of the model's rows in ``table``."""
+    keys, n = np.unique(grams, return_counts=True)
+    at = np.searchsorted(table["gram"], keys)
+    two, first, back2 = np.unique(keys & TWO, return_index=True, return_inverse=True)
+    one, first1, back1 = np.unique(two & ONE, return_index=True, return_inverse=True)
+    n2 = np.bincount(back2, n)
+    n1 = np.bincount(back1, n2)
+    at2 = at[first]
+    at1 = at2[first1]
+    p1 = _level(one, POINT_BITS, n1, *[table[x][at1] for x in ("c1", "t1", "k1")], np.full(len(one), 1.0 / POINTS))
+    p2 = _level(two, POINT_BITS, n2, *[table[x][at2] for x in ("c2", "t2", "k2")], p1[back1])
+    p3 = _level(keys, POINT_BITS, n, *[table[x][at] for x in ("c3", "t3", "k3")], p2[back2])
+    return -float((n * np.log(p3)).sum()) / len(grams)
+
+
+# --- a small model in memory, over 128 symbols: for comparisons, no operator uses it
 
 
 def symbols_of(text: str) -> np.ndarray:
@@ -106,30 +210,6 @@ def trigrams_of(text: str) -> np.ndarray:
     return (s[:-2] << (2 * SYMBOL_BITS)) | (s[1:-1] << SYMBOL_BITS) | s[2:]
 
 
-def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A row for each language and trigram of a block of texts: Spark's own aggregation adds them up."""
-    for batch in batches:
-        for lang, texts in batch.groupby("model_lang")["text"]:
-            total, size = np.zeros(1 << (3 * SYMBOL_BITS), dtype=np.int64), 0
-            waiting: list[np.ndarray] = []
-            for t in texts:
-                waiting.append(trigrams_of(t))
-                size += len(waiting[-1])
-                if size >= BLOCK_BYTES:
-                    total += np.bincount(np.concatenate(waiting), minlength=len(total))
-                    waiting, size = [], 0
-            if waiting:
-                total += np.bincount(np.concatenate(waiting), minlength=len(total))
-            at = np.flatnonzero(total)
-            yield pd.DataFrame({"model_lang": lang, "gram": at, "n": total[at]})
-
-
-def count_trigrams(docs: DataFrame) -> DataFrame:
-    """model_lang, gram, n over all documents (model_lang, text)."""
-    parts = docs.mapInPandas(_counted, "model_lang string, gram long, n long")
-    return parts.groupBy("model_lang", "gram").agg(F.sum("n").alias("n"))
-
-
 @dataclass(frozen=True)
 class Model:
     """Modified Kneser-Ney of order 3: for each order the sorted n-grams with log probabilities and back-off weights."""
@@ -212,86 +292,74 @@ def build_model(grams: np.ndarray, counts: np.ndarray) -> Model:
     return Model(grams, np.log(p3), all2, log2, spread(all2, context2, left2), all1, log1, back1, math.log(left0[0] * flat))
 
 
-def models_of(counts: DataFrame) -> dict[str, Model]:
-    """The models by language, at most LANGUAGE_PARTS + 1 of at most 2^21 trigrams each."""
-    out = {}
-    for (lang,) in counts.select("model_lang").distinct().collect():
-        rows = counts.filter(F.col("model_lang") == lang).select("gram", "n").toPandas().sort_values("gram")
-        out[lang] = build_model(rows["gram"].to_numpy(np.int64), rows["n"].to_numpy(np.int64))
-    return out
-
-
 # --- scores and bands
 
 
-def with_model_lang(docs: DataFrame) -> DataFrame:
-    """``docs`` with model_lang: lang where it has its share of all documents, else OTHERS."""
-    lang = F.coalesce(F.col("lang").cast("string"), F.lit(OTHERS))
-    counts = docs.groupBy(lang.alias("l")).agg(F.count(F.lit(1)).alias("n"))
-    total = max(1, docs.count())
-    # Languages with such a share are LANGUAGE_PARTS at most.
-    own = [r["l"] for r in counts.filter(F.col("n") * LANGUAGE_PARTS >= total).select("l").collect()]
-    return docs.withColumn("model_lang", F.when(lang.isin(own), lang).otherwise(F.lit(OTHERS)) if own else F.lit(OTHERS))
-
-
 FEATURES = "doc_id long, row_key binary, model_lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_ppl double"
 
 
-def features(docs: DataFrame, models: dict[str, Model]) -> DataFrame:
+def _scored(rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+    """The features of a block's documents by the model's rows of its trigrams."""
+    tables = {}
+    for lang, own in model.groupby("model_lang"):
+        own = own.sort_values("gram")
+        tables[lang] = {c: own[c].to_numpy(np.int64) for c in ("gram", *[f"{x}{i}" for i in (3, 2, 1) for x in "ctk"])}
+    found = []
+    for lang, packed in zip(rows["model_lang"], rows["packed"]):
+        text = _unpacked(packed)
+        base = surface(text)
+        found.append((*base, document_score(point_trigrams(text), tables[lang]) if base[0] else None))
+    out = pd.DataFrame(found, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_ppl"])
+    for c in ("row_key", "model_lang"):
+        out[c] = rows[c].to_numpy()
+    out["doc_id"] = rows["doc_id"].to_numpy()
+    return out[["doc_id", "row_key", "model_lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_ppl"]]
+
+
+def features(docs: DataFrame) -> DataFrame:
     """The surface counts and the log perplexity (null without words) of each document (doc_id, row_key, model_lang, text)."""
-    sent = {k: docs.sparkSession.sparkContext.broadcast(m) for k, m in models.items()}
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for lang, text in zip(batch["model_lang"], batch["text"]):
-                base = surface(text)
-                grams = trigrams_of(text) if base[0] else None
-                rows.append((*base, -float(sent[lang].value.score(grams).sum()) / len(grams) if base[0] else None))
-            out = pd.DataFrame(rows, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_ppl"])
-            for c in ("doc_id", "row_key", "model_lang"):
-                out[c] = batch[c].to_numpy()
-            out["doc_id"] = batch["doc_id"].astype("Int64").to_numpy() if batch["doc_id"].isna().any() else batch["doc_id"].to_numpy()
-            yield out[["doc_id", "row_key", "model_lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_ppl"]]
-
-    return docs.mapInPandas(score, FEATURES)
+    # Kept: the blocks must stay as they are. Null ids and long ids don't go through pandas as floats: doc_id travels as text.
+    slim = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "row_key", "model_lang", "text")
+    blocks = stored(slim.mapInPandas(_blocks, "doc_id string, row_key binary, model_lang string, block long, packed binary"))
+    counts = stored(blocks.mapInPandas(_counted, "block long, model_lang string, gram long, n long"))
+    sent = counts.select("block", "model_lang", "gram").distinct().join(model_table(counts), ["model_lang", "gram"])
+    scored = blocks.groupBy("block").cogroup(sent.groupBy("block")).applyInPandas(_scored, FEATURES.replace("doc_id long", "doc_id string"))
+    return scored.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def base_failed() -> Column:
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
 
 
-def bands(scored: DataFrame, reach: float = REACH) -> dict[str, tuple[float, float]]:
-    """The lower and upper log perplexity of each language, from a histogram over all documents that pass the base."""
-    bins = scored.filter(~base_failed() & F.col("log_ppl").isNotNull()).groupBy("model_lang", F.floor(F.col("log_ppl") / BIN).alias("bin")).count()
-    out = {}
+def bands(scored: DataFrame, reach: float = REACH) -> DataFrame:
+    """model_lang, low and high log perplexity of each language, from a histogram over all documents that pass the base."""
+    bins = scored.filter(~base_failed() & F.col("log_ppl").isNotNull()).groupBy("model_lang", F.floor(F.col("log_ppl") / BIN).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     # Log perplexities lie between 0 and some 40, so a language has some 20,000 bins at most.
-    for lang, rows in bins.toPandas().sort_values("bin").groupby("model_lang"):
-        up = rows["count"].cumsum().to_numpy()
-        q1, q3 = ((rows["bin"].to_numpy()[np.searchsorted(up, q * up[-1])] + 0.5) * BIN for q in (0.25, 0.75))
-        wide = max(q3 - q1, LEAST_IQR)
-        out[lang] = (q1 - reach * wide, q3 + reach * wide)
-    return out
+    up = F.sum("n").over(Window.partitionBy("model_lang").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+    own = bins.withColumn("up", up).withColumn("all", F.sum("n").over(Window.partitionBy("model_lang")))
+    q1, q3 = ((F.min(F.when(F.col("up") >= q * F.col("all"), F.col("bin"))) + 0.5) * BIN for q in (0.25, 0.75))
+    wide = F.greatest(F.col("q3") - F.col("q1"), F.lit(LEAST_IQR))
+    return own.groupBy("model_lang").agg(q1.alias("q1"), q3.alias("q3")).select("model_lang", (F.col("q1") - reach * wide).alias("low"), (F.col("q3") + reach * wide).alias("high"))
 
 
 def judged(docs: DataFrame, reach: float = REACH) -> DataFrame:
     """The features of each row of ``docs`` with base_failed and kept."""
-    row_key = F.unhex(F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), F.coalesce(F.col("lang").cast("string"), F.lit("~")), text_of()), 256))
-    slim = with_model_lang(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", text_of().alias("text"))).withColumn("row_key", row_key)
-    counts = stored(count_trigrams(slim.select("model_lang", "text")))
-    scored = stored(features(slim.select("doc_id", "row_key", "model_lang", "text"), models_of(counts)))
-    low, high = F.lit(None).cast("double"), F.lit(None).cast("double")
-    for lang, (a, b) in bands(scored, reach).items():
-        low, high = F.when(F.col("model_lang") == lang, a).otherwise(low), F.when(F.col("model_lang") == lang, b).otherwise(high)
-    inside = F.coalesce(F.col("log_ppl").between(low, high), F.lit(False))
-    return scored.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & inside)
+    lang = F.col("lang").cast("string")
+    row_key = F.unhex(F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), F.coalesce(lang, F.lit("~")), text_of()), 256))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.concat(F.lit("="), lang), F.lit("~")).alias("model_lang"), text_of().alias("text"), row_key.alias("row_key"))
+    scored = stored(features(slim))
+    sizes = scored.groupBy("model_lang").agg(F.count(F.lit(1)).alias("_n"))
+    known = stored(sizes.join(bands(scored, reach), "model_lang", "left"))
+    own = hot_join(scored, known, ["model_lang"], scored.count())
+    inside = F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(False))
+    return own.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & inside)
 
 
 def quality_rules(docs: DataFrame, reach: float = REACH) -> DataFrame:
     """A row for each document (doc_id, text, lang): the counts, base_failed, kept and log_ppl.
 
     A null text counts as empty; without words there is no perplexity and the base fails. A null language is
-    one of the languages that share a model. Repeated rows are counted and judged like any other, and an empty
+    a language of its own. Repeated rows are counted and judged like any other, and an empty
     table gives no rows. Other columns are ignored.
     """
     return judged(docs, reach).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("log_ppl", 6).alias("log_ppl"))

@@ -277,3 +277,35 @@ def test_pipeline(spark, odd, clashing, empty):
         last = P.STAGES[-1][1](spark, out, TABLES).collect()
         assert len(last) == out.count()
         assert Counter((r.doc_id, r.decoded_sha256) for r in last) == Counter((r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in out.collect())
+
+
+def test_op4_model_of_whole_code_points(spark):
+    """Scores of each language by all its other documents, against the definition; no symbols are folded."""
+    import math
+
+    rng = random.Random(3)
+    rows = [(i, "".join(rng.choice("абв гдж") for _ in range(60)), "ru") for i in range(6)] + [(10 + i, "".join(rng.choice("ab c") for _ in range(60)), "en") for i in range(90)]
+    rows += [(200, "日本語 " * 9 + "本日", "ja"), (201, "日本 語本 日語 " * 4, "ja"), (202, "x y " * 12, None)]
+
+    def points(t):
+        return ["^", "^", *re.sub(r"\s+", " ", t), "$"]
+
+    def score(own, others):
+        c = Counter(tuple(s[i - k : i + 1]) for s in others for i in range(2, len(s)) for k in range(3))
+        after = defaultdict(dict)
+        for g, n in c.items():
+            after[g[:-1]][g] = n
+
+        def p(g):
+            low = p(g[1:]) if len(g) > 1 else 1 / 2**21
+            seen = after.get(g[:-1])
+            return (c[g] + len(seen) * low) / (sum(seen.values()) + len(seen)) if seen else low
+
+        return -sum(math.log(p(tuple(own[i - 2 : i + 1]))) for i in range(2, len(own))) / (len(own) - 2)
+
+    got = {r.doc_id: r.log_ppl for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()}
+    for i, t, lang in rows:
+        want = score(points(t), [points(u) for j, u, other in rows if other == lang and j != i])
+        assert got[i] == pytest.approx(want, abs=2e-6)
+    cyrillic = quality.point_trigrams("абв")
+    assert len({int(g) & quality.ONE for g in [*cyrillic, *quality.point_trigrams("日")]}) == 5  # four letters and the end
