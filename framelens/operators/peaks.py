@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,16 +125,29 @@ def peak_groups(peaks: DataFrame, k: float = 2.0, most: int = 12) -> DataFrame:
     return own.drop("new")
 
 
-def split_groups(grouped: DataFrame, most: int = 12, rounds: int = 6) -> DataFrame:
-    """Groups above ``most`` peaks cut at their widest gap (the first on ties), ``rounds`` times at most."""
-    own = grouped.withColumn("part", F.lit("0"))
-    for _ in range(rounds):
-        whole = Window.partitionBy("frame", "group", "part")
-        by = whole.orderBy("center", "id")
-        own = own.withColumn("size", F.count(F.lit(1)).over(whole)).withColumn("gap", F.coalesce(F.col("center") - F.lag("center").over(by), F.lit(-1.0))).withColumn("k", F.row_number().over(by))
-        cut = F.max(F.struct("gap", -F.col("k"))).over(whole)
-        own = own.withColumn("cut", -cut["col2"]).withColumn("part", F.when(F.col("size") > most, F.concat("part", F.when(F.col("k") < F.col("cut"), "a").otherwise("b"))).otherwise(F.col("part"))).drop("size", "gap", "k", "cut")
-    return own
+def _parts(centers: list[float], most: int) -> list[str]:
+    """The part of each of the sorted centres: a is left and b right of each cut."""
+    gaps, out, open_ = np.diff(np.asarray(centers, dtype=float)), [""] * len(centers), [(0, len(centers), "0")]
+    while open_:
+        lo, hi, name = open_.pop()
+        if hi - lo <= most:
+            out[lo:hi] = [name] * (hi - lo)
+        else:
+            cut = lo + 1 + int(np.argmax(gaps[lo : hi - 1]))
+            open_ += [(lo, cut, name + "a"), (cut, hi, name + "b")]
+    return out
+
+
+def split_groups(grouped: DataFrame, most: int = 12) -> DataFrame:
+    """Groups above ``most`` peaks cut at their widest gap (the first on ties), and their parts again until none is larger.
+
+    Only the centres of a large group meet, which are of one frame.
+    """
+    own = grouped.withColumn("k", F.row_number().over(Window.partitionBy("frame", "group").orderBy("center", "id")))
+    large = own.groupBy("frame", "group").agg(F.array_sort(F.collect_list(F.struct("k", "center")))["center"].alias("centers")).filter(F.size("centers") > most)
+    parts = F.pandas_udf(lambda s: s.map(lambda c: _parts(c, most)), "array<string>")
+    cut = large.select("frame", "group", parts("centers").alias("parts"))
+    return own.join(cut, ["frame", "group"], "left").withColumn("part", F.coalesce(F.element_at("parts", F.col("k")), F.lit("0"))).drop("k", "parts")
 
 
 def sub_resolution(flag: Column, width: Column, step: float, bins: float = 2.0) -> Column:

@@ -159,3 +159,18 @@ def test_dedupe_of_a_corpus(spark):
     rows = [(0, "X", 1, 10, 100.0, True), (1, "X", 1, 10, 100.4, True), (2, "X", 1, 10, 100.8, True), (3, "X", 2, 10, 100.0, True), (4, "X", 1, 900, 100.0, True), (5, "X", 1, 1, 1.0, False)]
     own = spark.createDataFrame(rows, "file long, formula string, spacegroup int, n_sites long, volume double, parse_ok boolean")
     assert {r.file: r.reason for r in library.corpus_dedupe(own).collect()} == {0: None, 1: "duplicate", 2: None, 3: None, 4: "sites", 5: "parse"}
+
+
+def test_split_groups_until_none_is_larger(spark):
+    """Every widest gap splits off one peak only, so many cuts are needed; against a recursion."""
+    centers = {0: [1.1**k for k in range(30)], 1: [0.1 * k for k in range(30)], 2: [0.1 * k for k in range(12)]}
+
+    def cut(xs, name="0"):
+        if len(xs) <= 12:
+            return {name: len(xs)}
+        at = max(range(1, len(xs)), key=lambda i: (xs[i] - xs[i - 1], -i))
+        return cut(xs[:at], name + "a") | cut(xs[at:], name + "b")
+
+    own = spark.createDataFrame([(f, i, float(x), 0) for f, xs in centers.items() for i, x in enumerate(xs)], "frame long, id long, center double, group int")
+    got = {(r.frame, r.part): r["count"] for r in peaks.split_groups(own.repartition(3)).groupBy("frame", "part").count().collect()}
+    assert got == {(f, part): n for f, xs in centers.items() for part, n in cut(xs).items()}
