@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelens.llm.common import stored, text_of
+from framelens.llm.common import md5_number, stored, text_of
 
 K = 24
 #: Starts of strings that are handled at once in a long text.
@@ -104,8 +104,12 @@ def _bytes(text: str) -> np.ndarray:
 def _anchors(length: int):
     def anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            hashes, ids, places, size = [], [], [], 0
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+            hashes, ids, digests, places, size = [], [], [], [], 0
+
+            def rows() -> pd.DataFrame:
+                return pd.DataFrame({"hash": np.concatenate(hashes), "doc_id": np.concatenate(ids), "digest": np.concatenate(digests), "place": np.concatenate(places)})
+
+            for doc_id, digest, text in zip(batch["doc_id"], batch["digest"], batch["text"]):
                 at, h = owners(_bytes(text), length)
                 if not len(at):
                     continue
@@ -113,12 +117,13 @@ def _anchors(length: int):
                 hashes.append(h[new])
                 places.append(at[new])
                 ids.append(np.full(int(new.sum()), doc_id, dtype=np.int64))
+                digests.append(np.full(len(ids[-1]), digest, dtype=np.int64))
                 size += len(ids[-1])
                 if size >= 200_000:
-                    yield pd.DataFrame({"hash": np.concatenate(hashes), "doc_id": np.concatenate(ids), "place": np.concatenate(places)})
-                    hashes, ids, places, size = [], [], [], 0
+                    yield rows()
+                    hashes, ids, digests, places, size = [], [], [], [], 0
             if size:
-                yield pd.DataFrame({"hash": np.concatenate(hashes), "doc_id": np.concatenate(ids), "place": np.concatenate(places)})
+                yield rows()
 
     return anchors
 
@@ -129,7 +134,7 @@ def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for begin in range(0, len(batch), 500):
             part = batch.iloc[begin : begin + 500]
-            yield pd.DataFrame({"doc_id": part["doc_id"], "packed": [pack(t.encode("utf-8", "surrogatepass")) for t in part["text"]]})
+            yield pd.DataFrame({"doc_id": part["doc_id"], "digest": part["digest"], "packed": [pack(t.encode("utf-8", "surrogatepass")) for t in part["text"]]})
 
 
 def _around(length: int):
@@ -140,8 +145,8 @@ def _around(length: int):
         """
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            firsts: dict[tuple[int, bytes, int], tuple[int, int]] = {}
-            for doc_id, packed, places in zip(batch["doc_id"], batch["packed"], batch["places"]):
+            firsts: dict[tuple[int, bytes, int], tuple[int, int, int]] = {}
+            for doc_id, digest, packed, places in zip(batch["doc_id"], batch["digest"], batch["packed"], batch["places"]):
                 raw = unpack(packed)
                 at, h = owners(np.frombuffer(raw, dtype=np.uint8), length)
                 own = np.flatnonzero(np.isin(at, np.asarray(places, dtype=np.int64)))
@@ -152,11 +157,11 @@ def _around(length: int):
                 last = own[np.concatenate([at[own[1:]] != at[own[:-1]], [True]])]
                 for p, x, lo, hi in zip(at[first].tolist(), h[first].tolist(), first.tolist(), last.tolist()):
                     key = (x, raw[lo : hi + length], p - lo)
-                    if key not in firsts or (doc_id, p) < firsts[key]:
-                        firsts[key] = (doc_id, p)
+                    if key not in firsts or (doc_id, digest, p) < firsts[key]:
+                        firsts[key] = (doc_id, digest, p)
             if firsts:
                 keys, values = list(zip(*firsts)), list(zip(*firsts.values()))
-                yield pd.DataFrame({"hash": keys[0], "around": keys[1], "before": keys[2], "doc_id": values[0], "place": values[1]})
+                yield pd.DataFrame({"hash": keys[0], "around": keys[1], "before": keys[2], "doc_id": values[0], "digest": values[1], "place": values[2]})
 
     return around
 
@@ -214,7 +219,7 @@ def suffix_sort(data: np.ndarray, h: np.ndarray, starts: np.ndarray, lists: np.n
 
 def _compare(rows: pd.DataFrame, length: int) -> pd.DataFrame:
     """For the first occurrence of each surrounding of whole groups: the starts that an earlier string repeats."""
-    rows = rows.sort_values(["doc_id", "place"], kind="stable").drop_duplicates(["hash", "around", "before"]).reset_index(drop=True)
+    rows = rows.sort_values(["doc_id", "digest", "place"], kind="stable").drop_duplicates(["hash", "around", "before"]).reset_index(drop=True)
     texts = rows["around"].tolist()
     size = np.array([len(t) for t in texts], dtype=np.int64)
     base = np.cumsum(size) - size
@@ -253,7 +258,7 @@ def _compare(rows: pd.DataFrame, length: int) -> pd.DataFrame:
         cuts = np.flatnonzero(np.diff(at)) + 1
         for r, found in zip(at[np.concatenate([[0], cuts])].tolist() if len(at) else [], np.split(where, cuts)):
             starts[r] = found
-    return pd.DataFrame({"doc_id": rows["doc_id"], "place": place, "starts": [np.asarray(x, dtype=np.int32) for x in starts]})
+    return pd.DataFrame({"doc_id": rows["doc_id"], "digest": rows["digest"], "place": place, "starts": [np.asarray(x, dtype=np.int32) for x in starts]})
 
 
 def _compared(length: int):
@@ -325,23 +330,25 @@ def remove_repeated(docs: DataFrame, length: int = 100, with_bytes: bool = True)
 
     Each byte is removed that a string of ``length`` bytes covers which also starts earlier: in a document with a
     smaller doc_id, or further left in the same one. Strings don't cross documents and are judged on the input.
-    A null text counts as empty; texts shorter than ``length`` stay. Rows with a null doc_id come first. Rows that
-    share a doc_id are one document for the order, so exact repeats of a row are treated alike. An empty table
+    A null text counts as empty; texts shorter than ``length`` stay. Rows with a null doc_id come first. Different
+    texts that share a doc_id, null too, are different documents, in the order of a digest of their text; exact repeats of
+    a row are one document, so they are treated alike. An empty table
     gives no rows. Other columns are ignored.
     """
-    slim = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("doc_id"), text_of().alias("text"))
-    anchors = slim.mapInPandas(_anchors(length), "hash long, doc_id long, place int")
+    slim = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("doc_id"), md5_number(text_of()).alias("digest"), text_of().alias("text"))
+    row = ["doc_id", "digest"]
+    anchors = slim.mapInPandas(_anchors(length), "hash long, doc_id long, digest long, place int")
     shared = stored(anchors.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash"))
     # One scan of the anchors; partitions with very frequent ones are split by the adaptive join.
-    met = stored(anchors.join(shared.hint("merge"), "hash").select("doc_id", "place"))
-    hits = stored(met.groupBy("doc_id").agg(F.collect_list("place").alias("places")))
+    met = stored(anchors.join(shared.hint("merge"), "hash").select(*row, "place"))
+    hits = stored(met.groupBy(*row).agg(F.collect_set("place").alias("places")))
 
-    packed = slim.mapInPandas(_packed, "doc_id long, packed binary")
-    around = packed.join(hits, "doc_id").mapInPandas(_around(length), "hash long, around binary, before int, doc_id long, place int")
+    packed = slim.mapInPandas(_packed, "doc_id long, digest long, packed binary")
+    around = packed.join(hits, row).mapInPandas(_around(length), "hash long, around binary, before int, doc_id long, digest long, place int")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    firsts = stored(around.repartition(parts, "hash").sortWithinPartitions("hash").mapInPandas(_compared(length), "doc_id long, place int, starts array<int>"))
-    found = firsts.groupBy("doc_id").agg(F.collect_list(F.struct("place", "starts")).alias("firsts"))
-    result = packed.join(hits.join(found, "doc_id", "left"), "doc_id", "left").mapInPandas(_finish(length, with_bytes), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes)
+    firsts = stored(around.repartition(parts, "hash").sortWithinPartitions("hash").mapInPandas(_compared(length), "doc_id long, digest long, place int, starts array<int>"))
+    found = firsts.groupBy(*row).agg(F.collect_list(F.struct("place", "starts")).alias("firsts"))
+    result = packed.join(hits.join(found, row, "left"), row, "left").mapInPandas(_finish(length, with_bytes), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes)
     own_id = F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id")
     return result.select(own_id, "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_bytes)
 

@@ -309,3 +309,27 @@ def test_op4_model_of_whole_code_points(spark):
         assert got[i] == pytest.approx(want, abs=2e-6)
     cyrillic = quality.point_trigrams("абв")
     assert len({int(g) & quality.ONE for g in [*cyrillic, *quality.point_trigrams("日")]}) == 5  # four letters and the end
+
+
+def test_op6_null_and_repeated_ids(spark):
+    """Texts of one doc_id, null too, are documents of their own; exact repeats of a row are one."""
+    length, rng = 40, random.Random(6)
+
+    def noise(n):
+        return "".join(rng.choice("abcdefghij ") for _ in range(n))
+
+    passages = [noise(90) for _ in range(3)]
+    rows = [(rng.choice([None, None, 5, 6]), noise(30 + 7 * i) + passages[i % 3] + noise(200)) for i in range(24)]
+    rows += [(None, None), (None, ""), rows[0], rows[0], (9, passages[0] * 2)]
+    got = {(r.doc_id, r.kept_sha256, r.n_removed) for r in suffix_dedup.remove_repeated(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), length).collect()}
+    seen, want = set(), set()
+    for _, _, _, i, t in sorted({(i is not None, i or 0, int(hashlib.md5((t or "").encode()).hexdigest()[:15], 16), i, t or "") for i, t in rows}, key=lambda x: x[:3]):
+        raw = t.encode()
+        gone = bytearray(len(raw))
+        for s in range(len(raw) - length + 1):
+            w = raw[s : s + length]
+            if w in seen:
+                gone[s : s + length] = b"\1" * length
+            seen.add(w)
+        want.add((i, hashlib.sha256(bytes(x for x, g in zip(raw, gone) if not g)).hexdigest(), sum(gone)))
+    assert got == want
