@@ -33,6 +33,17 @@ def seed_recovery(spark: SparkSession, sf: str) -> DataFrame:
     return T.seed_recovery(own, order, 0.05, 1)
 
 
+@query()
+def seed_recovery_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The seeds of all frames, carried along whole paths; seed_recovery is the form that its SQL expresses."""
+    order = FR.seed_order(view(spark, sf, "v_frames"), "scan", "pressure").withColumn("x", F.col("pressure"))
+    own = view(spark, sf, "v_peaks").select("frame", "center", (F.col("flag").eqNullSafe(0) & (F.col("phase") != "")).alias("good"))
+    lo, hi = own.agg(F.min("center"), F.max("center")).first()
+    if lo is None:
+        lo, hi = 0.0, 0.0
+    return T.carry_seeds(own, order, 0.05, lo, hi, max_axis_gap=5.0).select("frame", *_r("center"), "seeded")
+
+
 @query(r"""WITH l AS (SELECT o_orderkey AS row, 'P_' || ((o_custkey % 500) % 50) || 'p' || ((o_custkey % 500) % 10) || 'GPa_' || (o_custkey % 500) AS stem, o_orderpriority AS label FROM orders)
 SELECT frame, label FROM v_frames JOIN l ON regexp_replace(regexp_extract(filename, '[^/]*$'), '\.[^.]*$', '') = stem QUALIFY row_number() OVER (PARTITION BY frame ORDER BY row) = 1""", "v_frames")
 def label_lookup(spark: SparkSession, sf: str) -> DataFrame:

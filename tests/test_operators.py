@@ -174,3 +174,15 @@ def test_split_groups_until_none_is_larger(spark):
     own = spark.createDataFrame([(f, i, float(x), 0) for f, xs in centers.items() for i, x in enumerate(xs)], "frame long, id long, center double, group int")
     got = {(r.frame, r.part): r["count"] for r in peaks.split_groups(own.repartition(3)).groupBy("frame", "part").count().collect()}
     assert got == {(f, part): n for f, xs in centers.items() for part, n in cut(xs).items()}
+
+
+def test_carry_seeds_along_the_whole_path(spark):
+    """Frames beyond 400, gaps of several frames, extrapolation along the axis, and a new start after a wide step."""
+    order = spark.createDataFrame([(500 + i, "ga", i + 1, float(i)) for i in range(6)] + [(510, "ga", 7, 50.0), (600, "gb", 1, 0.0), (601, "gb", 2, 1.0)], "frame long, path string, step int, x double")
+    rows = [(500, 2.0, True), (500, 3.0, True), (501, 2.04, True), (501, 3.04, True), (502, 2.09, True), (504, 2.17, False), (600, 5.0, True)]
+    own = spark.createDataFrame(rows, "frame long, center double, good boolean")
+    got = {(r.frame, round(r.center, 6), r.seeded) for r in tracks.carry_seeds(own.repartition(3), order.repartition(2), 0.05, 0.0, 9.0, max_axis_gap=5.0).collect()}
+    detected = {(f, c, False) for f, c, good in rows if good}
+    # 502: 3.08 is missed; 503: both; 504: a flagged detection stands near the first (2.19), so only the second is added;
+    # 505: one seed and two before, so it stays; 510 starts anew.
+    assert got == detected | {(502, 3.08, True), (503, 2.14, True), (503, 3.12, True), (504, 3.16, True), (505, 3.16, True), (601, 5.0, True)}
