@@ -188,7 +188,7 @@ def pressure_model(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def reflection_tracks(spark: SparkSession, sf: str) -> DataFrame:
-    identify = view(spark, sf, "v_identify").filter("frame % 3 = 0").withColumn("pressure", F.round("pressure", 0))
+    identify = view(spark, sf, "v_identify").withColumn("pressure", F.round("pressure", 0))
     return O.reflection_tracks(view(spark, sf, "v_frames"), identify, reflections_of(spark, 6), phases(spark)).select("frame", "phase", "line", "pressure", *_r("q"))
 
 
