@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelens.operators.shared import hot_join, stored
+from framelens.operators.shared import Shelf, hot_join
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """One step: every node sends its larger (or smaller) neighbours to the smallest node it knows."""
+def _stars(edges: DataFrame, large: bool, shelf: Shelf) -> tuple[DataFrame, DataFrame]:
+    """One step: every node sends its larger (or smaller) neighbours to the smallest node it knows.
+
+    The new edges, and the table of smallest neighbours that they are read from.
+    """
     if large:
         pairs = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     else:
         pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    least = stored(pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("_n")))
+    least = shelf.put(pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("_n")))
     total = max(1, least.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).first()["n"])
     joined = hot_join(pairs, least, ["u"], total)
     if large:
@@ -22,7 +25,7 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     else:
         own = least.filter("m < u").select(F.col("m").alias("a"), F.col("u").alias("b"))
         out = joined.select(F.col("m").alias("a"), F.col("v").alias("b")).unionByName(own)
-    return out.filter("a <> b").distinct()
+    return out.filter("a <> b").distinct(), least
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -36,12 +39,16 @@ def connected_components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     Alternating large and small stars: the rounds grow with the logarithm of the longest path, every round
     moves the edges once, and each is written to the shared folder, so lost executors cost one round at most.
     """
-    now = stored(edges.filter("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    shelf = Shelf(edges.sparkSession)
+    now = shelf.put(edges.filter("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     before = _state(now)
     for _ in range(most_rounds):
         if not before[0]:
             break
-        now = stored(_stars(stored(_stars(now, True)), False))
+        for large in (True, False):
+            old, (new, least) = now, _stars(now, large, shelf)
+            now = shelf.put(new)
+            shelf.drop(old, least)
         after = _state(now)
         if after == before:
             break

@@ -31,6 +31,28 @@ def stored(df: DataFrame, into: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Shelf:
+    """Intermediate tables of one run in the shared folder, each of which can go as soon as it is used up."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self._paths = spark, scratch(spark), {}
+
+    def put(self, df: DataFrame) -> DataFrame:
+        """The same rows as a stored table."""
+        path = f"{self.root}/{len(self._paths)}"
+        out = stored(df, path)
+        self._paths[len(self._paths)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that no later step reads."""
+        for k, (table, path) in self._paths.items():
+            if any(table is x for x in tables):
+                folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+                self._paths[k] = (None, path)
+
+
 def hot_join(left: DataFrame, right: DataFrame, keys: Sequence[str], total: int, n: str = "_n") -> DataFrame:
     """Inner equi-join of ``left`` with one row a key of ``right``, safe for keys with very many rows in ``left``.
 
