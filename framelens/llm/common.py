@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelens.operators.shared import HOT_PARTS, hot_join, scratch, stored
+from framelens.operators.shared import HOT_PARTS, Shelf, hot_join, scratch, stored
 
-__all__ = ["HOT_PARTS", "hot_join", "md5_number", "n_buckets", "scratch", "set_aside", "stored", "text_of"]
+__all__ = ["HOT_PARTS", "Shelf", "hot_join", "md5_number", "n_buckets", "scratch", "set_aside", "stored", "text_of"]
 
 
 def text_of(column: str = "text") -> Column:

@@ -1,15 +1,19 @@
 """N-gram Jaccard self-join with prefix filters under several global token orders.
 
-A document is its set of word n-grams (64-bit hashes). If two sets are similar enough, then in any global order
-of the tokens their prefixes share a token early enough: that holds for every order at once, so a pair is
-a candidate only if it passes under each of them. The first order begins with a fixed share of all tokens, chosen
-by hash and large enough to hold nearly all prefixes, with rare tokens first: so only these tokens need a count.
-The other orders are by other hashes. Survivors are verified on their whole sets.
+A document is its set of word n-grams (hashes). If two sets are similar enough, then in any global order of the
+tokens their prefixes share a token: that holds for every order at once, so a pair is a candidate only if it passes
+under each of them. In every order the tokens of one set alone come first; then the first order goes on by rarity,
+and the others by other hashes. So a set that has many tokens alone has an empty prefix, and a passage that
+many share stands at the end of the first order.
+
+Counts: texts stay where they are and are read once. A block of documents sends its tokens, five bytes each, to the
+range of hashes that each lies in; the range counts them over all different sets, and returns to each block the shared
+ones and how many each set has alone. A set with too few shared tokens for any partner is out.
 
 The result is the connected components, so copies and large groups need no list of pairs. Equal sets are one
-node. Then each node is compared with one central node of the lists that it shares, which joins most of a
-large group at the cost of one pair a node; after that only pairs of nodes that are still in different
-components are made, by all prefix, position and length filters.
+node. All nodes of a token's list are compared with its centre, the node that has least before this token; that
+joins most of a large group at the cost of one pair a node and list, and the centre is then done in this list. After that
+only pairs across components are made, each of a node outside the centre's component.
 """
 
 from __future__ import annotations
@@ -20,14 +24,20 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelens.llm.common import hot_join, stored, text_of
+from framelens.llm.common import Shelf, hot_join, n_buckets, text_of
 from framelens.operators.components import connected_components
 
-#: The counted share of all tokens, in prefix shares: most tokens of a text are unique, so unique ones fill its prefix.
-COUNTED = 1.6
+#: A block of documents has so many at most, and so many tokens beyond its last document's.
+BLOCK_DOCS, BLOCK_TOKENS = 2048, 2_000_000
+#: Bytes of a token beside the bits of its range, and tokens of a range of hashes.
+TOKEN_BYTES, RANGE_TOKENS = 5, 2_000_000
+#: The pairs of a centre are dealt to so many tasks at most.
+SPREAD = 256
 #: The id that stands for a null doc_id.
 NO_ID = -(1 << 63)
 STAR_ROUNDS = 2
@@ -69,92 +79,227 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def counted_below(percent: int) -> np.uint64:
-    """Tokens below this bound are counted and come first in the first order."""
-    return np.uint64(min((1 << 64) - 1, int((1 << 64) * COUNTED * (100 - percent) / 100)))
+def prefix_of(n: Column, percent: int) -> Column:
+    """:func:`prefix_length` as a column."""
+    return n - F.floor((n * percent + 99) / 100) + 1
 
 
-def hash_prefix(tokens: np.ndarray, percent: int, order: int) -> np.ndarray:
-    """The prefix under the order of another hash, as 32-bit numbers: a collision only lets a pair pass."""
-    keys = np.sort(_mixed(tokens, 101 + order))[: prefix_length(len(tokens), percent)]
-    return (keys >> np.uint64(32)).astype(np.uint32).view(np.int32)
+def _bits(keys: np.ndarray) -> int:
+    """A signature of 64 bits: two sets that share a key share a bit, so it can only let pairs pass."""
+    return int(np.bitwise_or.reduce(np.left_shift(np.uint64(1), keys.astype(np.uint32).astype(np.uint64) & np.uint64(63)), initial=np.uint64(0)).astype(np.int64))
 
 
-def _facts(n: int, percent: int) -> Callable:
-    bound = counted_below(percent)
+# --- blocks of documents and ranges of hashes
 
-    def facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """A row for each document (digest of its set, size, counted tokens), and one for each token that may stand in its prefix.
 
-        The place of a counted token is known only after the count; the others follow in the order of their hashes.
-        """
-        seen: dict[bytes, int] = {}
-        for batch in batches:
-            for begin in range(0, len(batch), 1000):
-                part = batch.iloc[begin : begin + 1000]
-                rows, tokens, ids, places = [], [], [], []
-                for doc_id, text in zip(part["doc_id"], part["text"]):
-                    s = shingles(text, n, seen)
-                    low = int(np.searchsorted(s, bound))
-                    most = max(low, prefix_length(len(s), percent)) if len(s) else 0
-                    rows.append((doc_id, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), len(s), low))
-                    tokens.append(s[:most].view(np.int64))
-                    ids.append(np.full(min(most, len(s)), doc_id, dtype=np.int64))
-                    place = np.arange(min(most, len(s)), dtype=np.int32)
-                    place[:low] = -1
-                    places.append(place)
-                yield pd.DataFrame(rows, columns=["doc_id", "class_key", "n", "low"]).assign(token=pd.array([None] * len(rows), dtype="Int64"), place=-1)
-                out = pd.DataFrame({"doc_id": np.concatenate(ids), "token": np.concatenate(tokens), "place": np.concatenate(places)})
-                yield out.assign(class_key=None, n=0, low=0)[["doc_id", "class_key", "n", "low", "token", "place"]]
-
-    return facts
-
-
-def _sets(n: int, percent: int) -> Callable:
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The set of each document and its prefixes under two more orders."""
+def _packed(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+
+
+def _unpacked(x: bytes, dtype: type) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), dtype=dtype)
+
+
+def _low_bytes(x: np.ndarray) -> bytes:
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES].tobytes()
+
+
+def _from_low_bytes(x: bytes) -> np.ndarray:
+    out = np.zeros((len(x) // TOKEN_BYTES, 8), dtype=np.uint8)
+    out[:, :TOKEN_BYTES] = np.frombuffer(x, dtype=np.uint8).reshape(-1, TOKEN_BYTES)
+    return out.reshape(-1).view("<u8")
+
+
+BLOCKS = "row long, doc_id long, class_key binary, n long, block long, part long, counts binary, tokens binary"
+
+
+def _blocks(n: int, bits: int) -> Callable:
+    """A row for each document (its number ``row``, digest and size of its set), and one for each block and range of hashes.
+
+    ``counts`` has how many tokens each document of the block has in this range, ``tokens`` their lower bytes.
+    """
+    part_of, below = np.uint64(64 - bits), np.uint64(64 - bits - 8 * TOKEN_BYTES)
+    mask = np.uint64((1 << (8 * TOKEN_BYTES)) - 1)
+
+    def block_of(begin: int, ids: list, sets: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+        keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+        sizes = np.array([len(s) for s in sets], dtype=np.int64)
+        rows = pd.DataFrame({"row": begin + np.arange(len(sets)), "doc_id": np.array(ids, dtype=np.int64), "class_key": keys, "n": sizes, "block": begin})
+        yield rows.assign(part=pd.array([None] * len(rows), dtype="Int64"), counts=None, tokens=None)
+        # Of equal sets of a block one is counted; which one stands for all others anywhere is known later.
+        first: dict[bytes, int] = {}
+        own = np.array([first.setdefault(k, i) == i for i, k in enumerate(keys)])
+        all_tokens = np.concatenate([s if o else s[:0] for s, o in zip(sets, own)])
+        owner = np.repeat(np.arange(len(sets)), np.where(own, sizes, 0))
+        parts = (all_tokens >> part_of).astype(np.int64)
+        order = np.argsort(parts.astype(np.uint32), kind="stable")
+        low = (all_tokens[order] >> below) & mask
+        counts = np.bincount(parts * len(sets) + owner, minlength=len(sets) << bits).reshape(1 << bits, len(sets)).astype(np.uint32)
+        ends = np.concatenate([[0], np.cumsum(counts.sum(axis=1, dtype=np.int64))])
+        some = np.flatnonzero(np.diff(ends))
+        out = pd.DataFrame({"part": some, "counts": [_packed(counts[p]) for p in some], "tokens": [_low_bytes(low[ends[p] : ends[p + 1]]) for p in some]})
+        yield out.assign(row=pd.array([None] * len(out), dtype="Int64"), doc_id=pd.array([None] * len(out), dtype="Int64"), class_key=None, n=0, block=begin)[list(rows.columns) + ["part", "counts", "tokens"]]
+
+    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[bytes, int] = {}
+        begin, ids, sets, size = TaskContext.get().partitionId() << 40, [], [], 0
         for batch in batches:
-            rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                s = shingles(text, n, seen)
-                rows.append((doc_id, len(s), s.view(np.int64), hash_prefix(s, percent, 2), hash_prefix(s, percent, 3)))
-            yield pd.DataFrame(rows, columns=["node", "n", "tokens", "second", "third"])
-
-    return sets
-
-
-def _close(na: Column, nb: Column, pa: Column, pb: Column, percent: int) -> Column:
-    """Sizes near enough, and enough tokens left behind the places of the shared token: true for a pair's first one."""
-    need = F.ceil((na + nb) * percent / (100 + percent))
-    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (F.least(na - pa, nb - pb) >= need)
-
-
-def _verified(pairs: DataFrame, slim: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that pass the filters of the other orders and whose sets are similar; sets are made for their nodes only."""
-    wanted = stored(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    sets = stored(slim.join(wanted, "doc_id", "left_semi").mapInPandas(_sets(n, percent), "node long, n long, tokens array<long>, second array<int>, third array<int>"))
-    left, right = (sets.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("second", "third")]) for x in "ab")
-    met = stored(
-        pairs.join(left, "a").join(right, "b")
-        .filter(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b"))
-        .select("a", "b")
-    )
-    left, right = (sets.select(F.col("node").alias(x), F.col("tokens").alias(f"tokens_{x}")) for x in "ab")
+                ids.append(doc_id)
+                sets.append(shingles(text, n, seen))
+                size += len(sets[-1])
+                if size >= BLOCK_TOKENS or len(sets) == BLOCK_DOCS:
+                    yield from block_of(begin, ids, sets)
+                    begin, ids, sets, size = begin + len(sets), [], [], 0
+        if sets:
+            yield from block_of(begin, ids, sets)
+
+    return blocks
+
+
+def _kept_rows(bits: int) -> Callable:
+    def kept_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """For each range of hashes a block's documents that stand for their sets."""
+        for batch in batches:
+            for block, at in zip(batch["block"], batch["at"]):
+                flags = np.zeros(int(max(at)) + 1, dtype=np.uint8)
+                flags[np.asarray(at, dtype=np.int64)] = 1
+                yield pd.DataFrame({"block": block, "part": np.arange(1 << bits), "kept": _packed(flags)})
+
+    return kept_rows
+
+
+COUNTED = "block long, part long, alone binary, shared binary, tokens binary, often binary"
+
+
+def _count(rows: pd.DataFrame) -> pd.DataFrame:
+    """Counts a range's tokens over all different sets: what each block's documents have alone there, and their shared tokens."""
+    kept = {b: _unpacked(x, np.uint8) for b, x in zip(rows["block"], rows["kept"]) if x is not None}
+    owners, tokens, blocks, base = [], [], [], 0
+    for block, counts, data in zip(rows["block"], rows["counts"], rows["tokens"]):
+        if data is None or block not in kept:
+            continue
+        counts = _unpacked(counts, np.uint32)
+        flags = np.zeros(len(counts), dtype=bool)
+        flags[: len(kept[block])] = kept[block].astype(bool)
+        owner = np.repeat(np.arange(len(counts)), counts)
+        stay = flags[owner]
+        owners.append(base + owner[stay])
+        tokens.append(_from_low_bytes(data)[stay])
+        blocks.append((block, base, len(counts)))
+        base += len(counts)
+    if not blocks:
+        return pd.DataFrame({c: [] for c in ("block", "part", "alone", "shared", "tokens", "often")})
+    all_tokens, owner = np.concatenate(tokens), np.concatenate(owners)
+    order = np.argsort(all_tokens, kind="stable")
+    sorted_tokens = all_tokens[order]
+    new = np.concatenate([[True], sorted_tokens[1:] != sorted_tokens[:-1]]) if len(order) else np.zeros(0, dtype=bool)
+    often = np.empty(len(order), dtype=np.uint32)
+    often[order] = np.repeat(np.diff(np.append(np.flatnonzero(new), len(order))), np.diff(np.append(np.flatnonzero(new), len(order)))) if len(order) else 0
+    alone = np.bincount(owner[often == 1], minlength=base).astype(np.uint32)
+    more = often > 1
+    shared = np.bincount(owner[more], minlength=base).astype(np.uint32)
+    all_tokens, often = all_tokens[more], often[more]
+    ends = np.concatenate([[0], np.cumsum(shared, dtype=np.int64)])
+    out = []
+    for block, begin, n in blocks:
+        a, b = ends[begin], ends[begin + n]
+        out.append((block, rows["part"].iloc[0], _packed(alone[begin : begin + n]), _packed(shared[begin : begin + n]), _low_bytes(all_tokens[a:b]), _packed(often[a:b])))
+    return pd.DataFrame(out, columns=["block", "part", "alone", "shared", "tokens", "often"])
+
+
+SETS = "row long, n long, low long, tokens array<long>, second array<int>, third array<int>, second_bits long, third_bits long"
+
+
+def _survivors(percent: int) -> Callable:
+    def survivors(rows: pd.DataFrame) -> pd.DataFrame:
+        """Of a block's sets those that have shared tokens enough for a partner.
+
+        Size, number of tokens alone, the shared ones in the first order, and the prefixes under the others without the tokens alone.
+        """
+        alone = sum(_unpacked(x, np.uint32).astype(np.int64) for x in rows["alone"])
+        per_part = [_unpacked(x, np.uint32) for x in rows["shared"]]
+        shared = sum(x.astype(np.int64) for x in per_part)
+        n = alone + shared
+        stay = (n > 0) & (shared * 100 >= percent * n)
+        owner, tokens, often = [], [], []
+        for part, counts, data, df in zip(rows["part"], per_part, rows["tokens"], rows["often"]):
+            own = np.repeat(np.arange(len(counts)), counts)
+            good = stay[own]
+            owner.append(own[good])
+            tokens.append((_from_low_bytes(data)[good] | (np.uint64(part) << np.uint64(8 * TOKEN_BYTES))).astype(np.int64))
+            often.append(_unpacked(df, np.uint32)[good])
+        owner, tokens, often = map(np.concatenate, (owner, tokens, often))
+        order = np.lexsort((tokens, often, owner))
+        owner, tokens = owner[order], tokens[order]
+        out = []
+        for at in np.flatnonzero(stay):
+            own = tokens[np.searchsorted(owner, at) : np.searchsorted(owner, at, side="right")]
+            most = max(0, prefix_length(int(n[at]), percent) - int(alone[at]))
+            second, third = ((np.sort(_mixed(own.view(np.uint64), 101 + k))[:most] >> np.uint64(32)).astype(np.uint32) for k in (2, 3))
+            out.append((rows["block"].iloc[0] + at, n[at], alone[at], own, second.view(np.int32), third.view(np.int32), _bits(second), _bits(third)))
+        return pd.DataFrame(out, columns=["row", "n", "low", "tokens", "second", "third", "second_bits", "third_bits"])
+
+    return survivors
+
+
+# --- pairs
+
+
+def _close(a: str, b: str, percent: int) -> Column:
+    """What a pair's first shared token must fulfil: sizes near enough, enough tokens left behind its places, signatures of the other orders that meet."""
+    na, nb, pa, pb = (F.col(f"{x}{s}") for x in ("n", "place") for s in (a, b))
+    need = F.floor(((na + nb) * percent + (99 + percent)) / (100 + percent))
+    meet = [F.col(f"{c}{a}").bitwiseAND(F.col(f"{c}{b}")) != 0 for c in ("second_bits", "third_bits")]
+    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (F.least(na - pa, nb - pb) >= need) & meet[0] & meet[1]
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that pass the filters of the other orders and whose sets are similar. ``b`` may be the same in very many."""
+    dealt = pairs.withColumn("deal", F.pmod(F.xxhash64("a"), F.lit(SPREAD)))
+    left = dealt.join(sets.select(F.col("node").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("n", "tokens", "second", "third")]), "a")
+    right = dealt.select("b", "deal").distinct().join(sets.select(F.col("node").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("n", "tokens", "second", "third")]), "b")
     both = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    return met.join(left, "a").join(right, "b").filter(both * 100 >= (F.size("tokens_a") + F.size("tokens_b") - both) * percent).select("a", "b")
+    passed = left.join(right, ["b", "deal"]).filter(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b"))
+    return passed.filter(both * 100 >= (F.col("n_a") + F.col("n_b") - both) * percent).select("a", "b")
+
+
+def _total(counted: DataFrame) -> int:
+    return max(1, counted.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).first()["n"])
 
 
-def _labelled(lists: DataFrame, components: DataFrame | None) -> DataFrame:
-    """The lists with the component of each node, without those whose nodes are all in one."""
-    if components is None:
-        out = lists.withColumn("component", F.col("node"))
-    else:
-        out = lists.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    out = stored(out)
-    mixed = stored(out.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("_n")))
-    total = max(1, mixed.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).first()["n"])
-    return stored(hot_join(out, mixed.filter("lo < hi").select("token", "_n"), ["token"], total).drop("_n"))
+LIST = ["token", "node", "n", "place", "second_bits", "third_bits"]
+
+
+def _components_of(lists: DataFrame, sets: DataFrame, links: DataFrame, percent: int, shelf: Shelf) -> DataFrame:
+    """The components of the nodes that are linked by ``links`` or similar; lists is used up."""
+    components = shelf.put(connected_components(links))
+    for last in [False] * STAR_ROUNDS + [True]:
+        marked = shelf.put(lists.join(components, "node", "left").withColumn("component", F.coalesce("component", "node")))
+        one = F.struct("place", *[c for c in LIST if c not in ("token", "place")], "component")
+        per_list = marked.groupBy("token").agg(F.min(one).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("_n"))
+        mixed = shelf.put(per_list.filter("lo < hi").select("token", "_n", *[F.col(f"c.{c}").alias(f"{c}_c") for c in (*LIST[1:], "component")]))
+        if mixed.isEmpty():
+            break
+        open_lists = shelf.put(hot_join(marked, mixed, ["token"], _total(mixed)))
+        shelf.drop(lists, marked, mixed)
+        others = open_lists.filter("component <> component_c")
+        if last:
+            # Every pair across components has a node outside the centre's.
+            left = others.select(*[F.col(c).alias(c if c == "token" else f"{c}_a") for c in (*LIST, "component")])
+            right = open_lists.select(*[F.col(c).alias(c if c == "token" else f"{c}_b") for c in (*LIST, "component")])
+            fits = (F.col("component_a") != F.col("component_b")) & _close("_a", "_b", percent)
+            pairs = left.join(right, "token").filter(fits).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+        else:
+            own = others.toDF(*[f"{c}_a" if c in LIST[1:] else c for c in others.columns])
+            pairs = own.filter(_close("_a", "_c", percent)).select(F.col("node_a").alias("a"), F.col("node_c").alias("b"))
+        pairs = shelf.put(pairs.distinct())
+        if not pairs.isEmpty():
+            links = shelf.put(links.unionByName(_verified(pairs, sets, percent)))
+            components = shelf.put(connected_components(links))
+        lists = shelf.put(open_lists.filter("node <> node_c").select(*LIST))
+        shelf.drop(open_lists)
+    return components
 
 
 def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
@@ -163,63 +308,46 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     Sets are of ``n`` lower-cased (A-Z) words; a text with fewer is its whole sequence; one without words, an
     empty and a null text have an empty set and are linked with nothing. Rows are linked if their sets have a
     Jaccard similarity of ``percent`` hundredths or more, and a component is named by its smallest doc_id. Rows
-    with the same doc_id are one node, as are all rows with a null doc_id, which comes before all others.
+    with the same doc_id are linked, as are all rows with a null doc_id, which comes before all others.
     An empty table gives no rows. Other columns are ignored.
+
+    Tokens are compared by 40 bits of their hash and those of the range, whose number grows with the input.
     """
+    shelf = Shelf(docs.sparkSession)
     slim = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("doc_id"), text_of().alias("text"))
-    facts = stored(slim.mapInPandas(_facts(n, percent), "doc_id long, class_key binary, n long, low long, token long, place int"))
-
-    # Equal sets are one node, named by their smallest doc_id.
-    own = facts.filter("token IS NULL").select("doc_id", "class_key", "n", "low")
-    classes = stored(own.filter("n > 0").groupBy("class_key").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("_n")))
-    total = max(1, classes.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).first()["n"])
-    nodes = stored(hot_join(own.filter("n > 0"), classes, ["class_key"], total).select("doc_id", "node", "n", "low"))
-
-    # Tokens of several documents. The others, one document's alone, come first in the order and need no row.
-    tokens = facts.filter("token IS NOT NULL").select("token", "doc_id", "place")
-    shared = stored(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"))
-    n_shared = max(1, shared.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).first()["n"])
-    of_node = nodes.filter("doc_id = node").select("doc_id", "n", "low").distinct()
-    met = hot_join(tokens, shared, ["token"], n_shared).select("token", "doc_id", "place", F.col("_n").alias("df")).join(of_node, "doc_id")
-    # A document's shared counted tokens by rarity: its place is after all tokens that it has alone.
-    counted = Window.partitionBy("doc_id", F.col("place") < 0)
-    rank = F.row_number().over(counted.orderBy("df", "token"))
-    alone = F.col("low") - F.count(F.lit(1)).over(counted)
-    placed = met.withColumn("place", F.when(F.col("place") < 0, (alone + rank - 1).cast("int")).otherwise(F.col("place")))
-    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    lists = stored(placed.filter(F.col("place") < prefix).select("token", F.col("doc_id").alias("node"), "place", "n").distinct())
-
-    twins = nodes.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("a", "b")
-    links, components = stored(twins), None
-    for _ in range(STAR_ROUNDS):
-        mixed = _labelled(lists, components)
-        if mixed.isEmpty():
-            break
-        sizes = stored(mixed.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.count(F.lit(1)).alias("_n")))
-        in_all = max(1, sizes.agg(F.sum("_n")).first()[0])
-        weights = hot_join(mixed, sizes, ["token"], in_all).groupBy("node").agg(F.sum("size").alias("weight"))
-        weighed = stored(mixed.join(weights, "node"))
-        centres = stored(weighed.groupBy("token").agg(F.max(F.struct("weight", -F.col("node"), F.col("n").alias("cn"), F.col("place").alias("cp"), F.col("component").alias("cc"), F.col("node").alias("centre"))).alias("c"), F.count(F.lit(1)).alias("_n")))
-        near = hot_join(weighed, centres.select("token", "c.cn", "c.cp", "c.cc", "c.centre", "_n"), ["token"], in_all)
-        near = near.filter(F.col("component") != F.col("cc")).filter(_close(F.col("n"), F.col("cn"), F.col("place"), F.col("cp"), percent))
-        # One pair a node: with the centre that it shares most tokens with.
-        votes = near.groupBy("node", "centre").agg(F.count(F.lit(1)).alias("votes"))
-        pairs = votes.groupBy("node").agg(F.max(F.struct("votes", "centre")).alias("best")).select(F.col("node").alias("a"), F.col("best.centre").alias("b"))
-        links = stored(links.unionByName(_verified(stored(pairs), slim, n, percent)))
-        components = stored(connected_components(links))
-
-    mixed = _labelled(lists, components)
-    left = mixed.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("component").alias("ca"))
-    right = mixed.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("component").alias("cb"))
-    fits = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _close(F.col("na"), F.col("nb"), F.col("pa"), F.col("pb"), percent)
-    rest = stored(left.join(right, "token").filter(fits).select("a", "b").distinct())
-    links = stored(links.unionByName(_verified(rest, slim, n, percent)))
-    components = stored(connected_components(links))
-
-    of_doc = nodes.groupBy("doc_id").agg(F.min("node").alias("node")).join(components, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
-    named = own.join(of_doc, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    size = slim.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    bits = n_buckets(size // 6, RANGE_TOKENS).bit_length() - 1
+    blocks = shelf.put(slim.mapInPandas(_blocks(n, bits), BLOCKS))
+
+    # Equal sets are one node, the row of their smallest doc_id.
+    own = shelf.put(blocks.filter("row IS NOT NULL").select("row", "doc_id", "class_key", "n", "block"))
+    classes = shelf.put(own.filter("n > 0").groupBy("class_key").agg(F.min(F.struct("doc_id", "row", "block")).alias("rep"), F.count(F.lit(1)).alias("_n")).select("class_key", "_n", F.col("rep.row").alias("node"), "rep.doc_id", F.col("rep.block").alias("block")))
+    nodes = shelf.put(hot_join(own.filter("n > 0").select("doc_id", "class_key"), classes.select("class_key", "_n", "node"), ["class_key"], _total(classes)).groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("_rows")))
+    named = shelf.put(nodes.groupBy("doc_id").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("_n")))
+    twins = named.filter("_n > 1")
+    links = shelf.put(hot_join(nodes.select("doc_id", F.col("node").alias("b")), twins, ["doc_id"], _total(twins)).filter("a <> b").select("a", "b"))
+
+    at = classes.groupBy("block").agg(F.collect_list((F.col("node") - F.col("block")).cast("int")).alias("at"))  # BLOCK_DOCS at most
+    kept = at.mapInPandas(_kept_rows(bits), "block long, part long, kept binary")
+    sent = blocks.filter("part IS NOT NULL").select("part", "block", F.lit(None).cast("binary").alias("kept"), "counts", "tokens")
+    both = sent.unionByName(kept.select("part", "block", "kept", *[F.lit(None).cast("binary").alias(c) for c in ("counts", "tokens")]))
+    counted = both.groupBy("part").applyInPandas(_count, COUNTED)
+    found = counted.groupBy("block").applyInPandas(_survivors(percent), SETS)
+    sets = shelf.put(found.withColumnRenamed("row", "node"))
+    shelf.drop(blocks)
+
+    most = F.greatest(F.lit(0), prefix_of(F.col("n"), percent) - F.col("low")).cast("int")
+    lists = sets.filter(most > 0).select("node", "n", "low", "second_bits", "third_bits", F.posexplode(F.slice("tokens", F.lit(1), most)).alias("rank", "token"))
+    lists = shelf.put(lists.withColumn("place", F.col("low") + F.col("rank")).select(*LIST))
+    components = _components_of(lists, sets, links, percent, shelf)
+
+    of_node = shelf.put(classes.select("node", "doc_id").join(components, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    names = shelf.put(of_node.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("_n")))
+    by_node = hot_join(of_node.select("node", "component"), names, ["component"], _total(names)).select(F.col("node").alias("a"), "component_id")
+    of_doc = named.select("doc_id", "a").join(by_node, "a").select("doc_id", "component_id")
+    out = own.join(of_doc, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     null = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
-    return named.select(null("doc_id"), "n_shingles", null("component_id"))
+    return out.select(null("doc_id"), "n_shingles", null("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -227,6 +355,6 @@ def keep_one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
 
     Of rows that repeat that doc_id all stay. Texts without words are in no group and stay.
     """
-    groups = stored(similar_groups(docs.select("doc_id", "text"), n, percent))
+    groups = similar_groups(docs.select("doc_id", "text"), n, percent)
     gone = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -216,6 +216,32 @@ def test_op9(spark, n, percent):
         for _ in range(rng.randrange(12)):
             own[rng.randrange(len(own))] = f"w{rng.randrange(10_000)}"
         docs[5000 + k] = " ".join(own)
+    _hold_components(spark, docs, n, percent)
+
+
+@pytest.mark.parametrize("n,percent", [(3, 90), (5, 80)])
+def test_op9_hot_groups(spark, n, percent):
+    """A passage that all documents hold, a group of 500 near copies, chains, and a group that no one document is the centre of."""
+    rng = random.Random(19)
+    word = lambda k: f"w{rng.randrange(k)}"
+    passage, base = [word(400) for _ in range(60)], [word(400) for _ in range(90)]
+    docs = {k: " ".join([word(10**6) for _ in range(rng.randrange(5, 60))] + passage) for k in range(150)}
+    for k in range(500):
+        own = list(base)
+        for _ in range(rng.randrange(7)):
+            at = rng.randrange(len(own))
+            own[at : at + rng.randrange(2)] = [word(30)] * rng.randrange(1, 3)
+        docs[1000 + k] = " ".join(own)
+    chain = [word(10**6) for _ in range(80)]
+    for k in range(40):
+        chain[2 * k] = word(10**6)
+        docs[3000 - k] = " ".join(chain)
+    for k in range(60):
+        docs[4000 + k] = " ".join(x for x in base[:80] + passage if rng.random() > 0.02)
+    _hold_components(spark, docs, n, percent)
+
+
+def _hold_components(spark, docs, n, percent):
     lower = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
     sets = {}
     for i, t in docs.items():
