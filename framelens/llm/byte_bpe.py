@@ -5,8 +5,14 @@ byte: (piece, position, token). A recursive query joins neighbouring tokens with
 each piece's leftmost pair of the lowest rank, and repeats until no pair of a piece is in the table. Decoding
 joins (document, position, token) with the vocabulary and concatenates the bytes by an ordered aggregation.
 
+A long piece is encoded in chunks, so its cost grows with its length only. A sequence of tokens is the encoding of its
+bytes if each two neighbours are that of theirs: as long as no contraction has crossed a border, both sides are as they
+would be alone, so the first one to cross it would also cross it in the two neighbours' bytes. So two encodings may be joined
+at a token that both have at the same place, and an encoding of the bytes around the border of two chunks joins them.
+
 Texts are neither shuffled nor gathered; a task holds a block of texts, the vocabulary (its size is a
-parameter of the tokenizer, not of the data), and a cache of pieces of bounded size.
+parameter of the tokenizer, not of the data), and a cache of pieces of bounded size, which the next tasks of the same
+worker go on with.
 """
 
 from __future__ import annotations
@@ -25,11 +31,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 from framelens.llm.common import text_of
 
-#: Bytes of text that are encoded at once, and pieces that the cache holds at most.
+#: Bytes of text that are encoded at once, and pieces in each of the cache's two halves.
 BLOCK_BYTES, CACHE_PIECES = 4 << 20, 300_000
 
-#: Bytes of new pieces in one recursive query, and the length from which a piece counts as long.
-QUERY_BYTES, LONG_BYTES = 1 << 19, 128
+#: Bytes of new pieces in one recursive query, the bytes of a long piece's chunks, and the tokens on either side of a border that are encoded anew at first.
+QUERY_BYTES, CHUNK_BYTES, AROUND = 1 << 20, 192, 8
+
+#: A round contracts the leftmost pair of the lowest rank of each piece; pieces without a pair stay as they are.
+ENCODE = """
+WITH RECURSIVE rounds(w, ids) USING KEY (w) AS (
+  SELECT w, ids FROM start
+  UNION ALL
+  SELECT r.w, list_concat(list_append(r.ids[1 : (b & 2147483647) - 1], (b >> 31)::INT), r.ids[(b & 2147483647) + 2 : ])
+  FROM rounds r JOIN (
+    SELECT w, min((rank::BIGINT << 31) | p) AS b
+    FROM (SELECT w, unnest(ids[:-2]) AS t, unnest(ids[2:]) AS next, generate_subscripts(ids[2:], 1) AS p FROM rounds)
+    JOIN merges ON pair = ((t::BIGINT << 32) | next)
+    GROUP BY w) USING (w))
+SELECT w, ids FROM rounds ORDER BY w
+"""
 
 #: Ids in a row of the decoder's table.
 WIDTH = 4
@@ -81,64 +101,127 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Coder:
-    """Encoder and decoder of one partition."""
+    """Encoder and decoder of one worker."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.pattern = regex.compile(pattern)
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
         self.db.execute("SET temp_directory = ''")
         pairs = [(ranks[a], ranks[b], rank) for token, rank in ranks.items() for i in range(1, len(token)) if (a := token[:i]) in ranks and (b := token[i:]) in ranks]
-        unsafe = {x for a, b, rank in pairs for x in (a, b) if rank < x}
-        self._table("merges", {"pair": np.array([(a << 32) | b for a, b, _ in pairs], dtype=np.int64), "rank": np.array([m for *_, m in pairs], dtype=np.int32), "safe": [m not in unsafe for *_, m in pairs]})
+        self._table("merges", {"pair": np.array([(a << 32) | b for a, b, _ in pairs], dtype=np.int64), "rank": np.array([m for *_, m in pairs], dtype=np.int32)})
         self._table("vocabulary", {"id": np.array([-1, *ranks.values()], dtype=np.int32), "hex": ["", *(t.hex() for t in ranks)]})
         self.byte_ids = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.lengths = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
+        self.lengths[list(ranks.values())] = [len(t) for t in ranks]
+        self.recent: dict[str, bytes] = {}  # pieces and the bytes of their ids (int32)
+        self.older: dict[str, bytes] = {}
+        self.names = list(map(str, range(len(self.lengths))))
 
     def _table(self, name: str, columns: dict) -> None:
         self.db.register("given", pa.table(columns))
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def _merge(self, raw: list[bytes], query: str) -> list[tuple[int, ...]]:
-        ends = np.cumsum([len(b) for b in raw])
-        data = self.byte_ids[np.frombuffer(b"".join(raw), dtype=np.uint8)]
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(data))
-        self._table("start", {"w": np.arange(len(raw), dtype=np.int32), "ids": lists})
-        return [tuple(ids) for _, ids in self.db.execute(query).fetchall()]
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode new pieces, in queries of about QUERY_BYTES, and cache them."""
-        raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
-        for long in (False, True):
-            which = [k for k, b in enumerate(raw) if (len(b) >= LONG_BYTES) == long]
-            begin = 0
-            while begin < len(which):
-                end, size = begin, 0
-                while end < len(which) and (size < QUERY_BYTES or end == begin):
-                    size += len(raw[which[end]])
-                    end += 1
-                part = which[begin:end]
-                self.cache.update(zip([pieces[k] for k in part], self._merge([raw[k] for k in part], ENCODE_LONG if long else ENCODE)))
-                begin = end
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """The token ids of each text."""
+    def _merge(self, raw: list[bytes]) -> list[bytes]:
+        """The ids (int32, as bytes) of short strings, in queries of about QUERY_BYTES."""
+        out, begin = [], 0
+        while begin < len(raw):
+            end, size = begin, 0
+            while end < len(raw) and (size < QUERY_BYTES or end == begin):
+                size += len(raw[end])
+                end += 1
+            part = raw[begin:end]
+            data = self.byte_ids[np.frombuffer(b"".join(part), dtype=np.uint8)]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, part)]).astype(np.int32)), pa.array(data))
+            self._table("start", {"w": np.arange(len(part), dtype=np.int32), "ids": lists})
+            for batch in self.db.sql(ENCODE).to_arrow_table().to_batches():
+                ids = batch.column("ids")
+                data, at = ids.values.to_numpy().tobytes(), (4 * ids.offsets.to_numpy().astype(np.int64)).tolist()
+                out.extend(map(data.__getitem__, map(slice, at[:-1], at[1:])))
+            begin = end
+        return out
+
+    def _merge_long(self, raw: list[bytes]) -> list[bytes]:
+        """The ids of long strings: chunks first, then neighbours are joined, pairs of pairs after pairs."""
+        cuts = [list(range(0, len(b), CHUNK_BYTES)) for b in raw]
+        chunks = iter(self._merge([b[c : c + CHUNK_BYTES] for b, own in zip(raw, cuts) for c in own]))
+        rows = [[(c, np.frombuffer(next(chunks), dtype=np.int32)) for c in own] for own in cuts]
+        while any(len(row) > 1 for row in rows):
+            borders = [(k, i) for k, row in enumerate(rows) for i in range(0, len(row) - 1, 2)]
+            joined: dict[tuple[int, int], np.ndarray] = {}
+            around = AROUND
+            while waiting := [x for x in borders if x not in joined]:
+                spans = []
+                for k, i in waiting:
+                    (begin, a), (middle, b) = rows[k][i], rows[k][i + 1]
+                    spans.append((middle - int(self.lengths[a[-around:]].sum()), middle + int(self.lengths[b[:around]].sum())))
+                for (k, i), (lo, _), new in zip(waiting, spans, self._merge([raw[k][lo:hi] for (k, _), (lo, hi) in zip(waiting, spans)])):
+                    (_, a), (middle, b) = rows[k][i], rows[k][i + 1]
+                    done = self._joined(a, b, np.frombuffer(new, dtype=np.int32), lo, middle, around)
+                    if done is not None:
+                        joined[k, i] = done
+                around *= 2
+            rows = [[(row[i][0], joined[k, i]) if i + 1 < len(row) else row[i] for i in range(0, len(row), 2)] for k, row in enumerate(rows)]
+        return [row[0][1].tobytes() for row in rows]
+
+    def _joined(self, a: np.ndarray, b: np.ndarray, new: np.ndarray, begin: int, middle: int, around: int) -> np.ndarray | None:
+        """``a`` and ``b``, whose border is at ``middle``, by way of the encoding of the bytes from ``begin`` on around it.
+
+        None where ``new`` shares no token at its place with one of them.
+        """
+        starts = begin + np.cumsum(self.lengths[new]) - self.lengths[new]
+        at_a, at_b = max(0, len(a) - around), min(around, len(b))
+        left = dict(zip((begin + np.cumsum(self.lengths[a[at_a:]]) - self.lengths[a[at_a:]]).tolist(), range(at_a, len(a))))
+        right = dict(zip((middle + np.cumsum(self.lengths[b[:at_b]]) - self.lengths[b[:at_b]]).tolist(), range(at_b)))
+        same = [j for j, (s, t) in enumerate(zip(starts.tolist(), new.tolist())) if (s in left and a[left[s]] == t) or (s in right and b[right[s]] == t)]
+        first = 0 if at_a == 0 else next((j for j in same if int(starts[j]) in left), None)
+        last = len(new) if at_b == len(b) else next((j for j in reversed(same) if int(starts[j]) in right), None)
+        if first is None or last is None:
+            return None
+        head = a[:0] if at_a == 0 else a[: left[int(starts[first])]]
+        tail = b[len(b) :] if at_b == len(b) else b[right[int(starts[last])] :]
+        return np.concatenate([head, new[first:last], tail])
+
+    def _learn(self, new: set[str]) -> None:
+        """Bring the pieces into the recent half of the cache, by the older half or by encoding them."""
+        if len(self.recent) + len(new) > CACHE_PIECES:
+            self.recent, self.older = {}, self.recent
+        unknown = []
+        for p in new:
+            if p not in self.recent:
+                ids = self.older.get(p)
+                if ids is None:
+                    unknown.append(p)
+                else:
+                    self.recent[p] = ids
+        raw = [p.encode("utf-8", "surrogatepass") for p in unknown]
+        for long, merge in ((False, self._merge), (True, self._merge_long)):
+            which = [k for k, b in enumerate(raw) if (len(b) > CHUNK_BYTES) == long]
+            self.recent.update(zip([unknown[k] for k in which], merge([raw[k] for k in which])))
+
+    def _pieces(self, texts: list[str]) -> list[list[str]]:
         split = [self.pattern.findall(t) for t in texts]
-        new = set(chain.from_iterable(split))
-        if len(self.cache) + len(new) > CACHE_PIECES:
-            self.cache = {p: self.cache[p] for p in new if p in self.cache}
-        self._learn([p for p in new if p not in self.cache])
-        get = self.cache.__getitem__
-        return [list(chain.from_iterable(map(get, pieces))) for pieces in split]
-
-    def decode(self, ids: list[list[int]]) -> list[bytes]:
-        """The bytes of each list of ids."""
-        n = np.array([-(-len(x) // WIDTH) for x in ids], dtype=np.int64)
+        self._learn(set(chain.from_iterable(split)))
+        return split
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The token ids of each text."""
+        split = self._pieces(texts)
+        get = self.recent.__getitem__
+        return [np.frombuffer(b"".join(map(get, pieces)), dtype=np.int32) for pieces in split]
+
+    def named(self, ids: np.ndarray) -> str:
+        """The ids as decimal numbers joined by commas."""
+        return ",".join(map(self.names.__getitem__, ids.tolist()))
+
+    def decode(self, ids: list[np.ndarray]) -> list[bytes]:
+        """The bytes of each array of ids."""
+        sizes = np.array([len(x) for x in ids], dtype=np.int64)
+        n = -(-sizes // WIDTH)
         starts = np.cumsum(n) - n
         rows = np.full((int(n.sum()), WIDTH), -1, dtype=np.int32)
-        flat = rows.reshape(-1)
-        for x, start in zip(ids, starts):
-            flat[start * WIDTH : start * WIDTH + len(x)] = x
+        if len(rows):
+            rows.reshape(-1)[np.repeat(starts * WIDTH - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())] = np.concatenate(ids)
         d = np.repeat(np.arange(len(ids), dtype=np.int32), n)
         self.db.register("texts", pa.table({"d": d, "p": (np.arange(len(rows)) - starts[d]).astype(np.int32), **{f"i{i}": np.ascontiguousarray(rows[:, i]) for i in range(WIDTH)}}))
         out = [b""] * len(ids)
@@ -148,6 +231,17 @@ class Coder:
         return out
 
 
+#: The coder of this Python worker, by vocabulary and pattern: the next task finds it warm.
+_CODERS: dict[tuple, Coder] = {}
+
+
+def _coder(key: str, ranks, pattern: str) -> Coder:
+    if (key, pattern) not in _CODERS:
+        _CODERS.clear()
+        _CODERS[key, pattern] = Coder(ranks.value, pattern)
+    return _CODERS[key, pattern]
+
+
 def _blocks(batches: Iterator[pd.DataFrame], size_of: Callable, column: str) -> Iterator[pd.DataFrame]:
     """The batches, cut so that no block but one of a single long row has more than BLOCK_BYTES."""
     for batch in batches:
@@ -167,15 +261,17 @@ def _whole(column: pd.Series) -> np.ndarray:
 
 
 def _vocabulary(spark: SparkSession, path: str):
-    return spark.sparkContext.broadcast(read_ranks(path))
+    """The ranks for the workers, and a digest of them."""
+    ranks = read_ranks(path)
+    return spark.sparkContext.broadcast(ranks), hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest()
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and ids (array of int) of each row of ``docs`` (doc_id, text)."""
-    ranks = _vocabulary(docs.sparkSession, path)
+    ranks, key = _vocabulary(docs.sparkSession, path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = Coder(ranks.value, pattern)
+        coder = _coder(key, ranks, pattern)
         for block in _blocks(batches, len, "text"):
             yield pd.DataFrame({"doc_id": _whole(block["doc_id"]), "ids": coder.encode(block["text"].tolist())})
 
@@ -184,12 +280,12 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and data (binary) of each row of ``encoded`` (doc_id, ids)."""
-    ranks = _vocabulary(encoded.sparkSession, path)
+    ranks, key = _vocabulary(encoded.sparkSession, path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = Coder(ranks.value, pattern)
+        coder = _coder(key, ranks, pattern)
         for block in _blocks(batches, len, "ids"):
-            yield pd.DataFrame({"doc_id": _whole(block["doc_id"]), "data": coder.decode([list(x) for x in block["ids"]])})
+            yield pd.DataFrame({"doc_id": _whole(block["doc_id"]), "data": coder.decode([np.asarray(x, dtype=np.int32) for x in block["ids"]])})
 
     return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, data binary")
 
@@ -200,19 +296,19 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str, with_ids: bool =
     The digests are of the decimal ids joined by commas and of the decoded bytes. A null text counts as empty:
     no ids, no bytes. Repeated rows are encoded alike; an empty table gives no rows. Other columns are ignored.
     """
-    ranks = _vocabulary(docs.sparkSession, path)
+    ranks, key = _vocabulary(docs.sparkSession, path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = Coder(ranks.value, pattern)
+        coder = _coder(key, ranks, pattern)
         for block in _blocks(batches, len, "text"):
             ids = coder.encode(block["text"].tolist())
             out = {
                 "doc_id": _whole(block["doc_id"]),
                 "n_tokens": [len(x) for x in ids],
-                "ids_sha256": [hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in ids],
+                "ids_sha256": [hashlib.sha256(coder.named(x).encode()).hexdigest() for x in ids],
                 "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in coder.decode(ids)],
             }
-            yield pd.DataFrame(out | ({"ids": [np.array(x, dtype=np.int32) for x in ids]} if with_ids else {}))
+            yield pd.DataFrame(out | ({"ids": ids} if with_ids else {}))
 
     slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of().alias("text"))
     return slim.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
