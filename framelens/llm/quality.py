@@ -1,23 +1,21 @@
 """Quality rules: surface counts, and perplexity under a character n-gram model of the corpus itself.
 
 For each language Spark counts the trigrams of whole code points (21 bits each, so a trigram is exactly one long;
-only white space is made alike) of all documents. The model is a table, as large as the corpus makes it: for each
-trigram its count and those of its shorter ends, with the number and kinds of symbols after each context. It is
-never gathered: documents lie in blocks of some megabytes, and each block is sent the rows of its own trigrams.
-
-Probabilities are interpolated by Witten and Bell's rule down to a uniform choice of any code point. A document is
-scored by the counts of all other documents: its own are taken off counts, totals and kinds exactly, or else the rare
-characters of noise, which only the document itself has, would seem certain. From the scores a histogram is counted
-for each language, and its quartiles give the band of perplexities, far below the first and far above the third
-quartile, outside which a document is rejected. Every language, however rare, has counts and a band of its own; a null
-language is one of them.
+only white space is made alike) of all documents. The model is modified Kneser-Ney, interpolated, of order 3: a table, as
+large as the corpus makes it, with for each n-gram its count (for the lower orders: the number of different symbols before
+it), the sum after its context, and how many symbols follow the context once, twice and more often. It is never gathered:
+documents lie in blocks of some megabytes, and each block is sent the rows of its own n-grams, as sorted arrays of keys.
+
+A document is scored by the counts of all other documents: its own are taken off counts, sums and numbers of followers
+exactly, or else the rare characters of noise, which only the document itself has, would seem certain. The discounts of a
+language come from all its counts. From the scores a histogram is counted for each language, and its quartiles give
+the band of perplexities, far below the first and far above the third quartile, outside which a document is
+rejected. Every language, however rare, has counts and a band of its own; a null language is one of them.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -26,11 +24,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelens.llm.common import hot_join, stored, text_of
+from framelens.llm.common import Shelf, hot_join, set_aside, text_of
 
-#: The in-memory model of 128 symbols below.
-SYMBOL_BITS = 7
-START, END, BLANK = 0, 127, 32
+BLANK = 32
 
 #: A code point's bits, what stands before and after a text (no text has them), and the number of choices.
 POINT_BITS = 21
@@ -50,7 +46,10 @@ REACH = 4.0
 LEAST_IQR = 0.03
 
 #: Characters of a block of documents, beyond the last document; and those scored at once.
-BLOCK_CHARS, SCORED_CHARS = 4 << 20, 1 << 20
+BLOCK_CHARS, SCORED_CHARS = 12 << 20, 1 << 20
+
+#: Rows of the model that are packed at once for the blocks.
+PACKED_ROWS = 1 << 20
 
 
 # --- surface counts
@@ -113,183 +112,146 @@ def point_trigrams(text: str) -> np.ndarray:
     return (s[:-2] << (2 * POINT_BITS)) | (s[1:-1] << POINT_BITS) | s[2:]
 
 
+BLOCKS = "block long, doc_ids array<string>, row_keys array<binary>, langs array<string>, sizes array<int>, texts binary"
+
+
 def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The rows with compressed texts and the number of their block: neighbours of a task, BLOCK_CHARS or one document."""
-    pack = zstandard.ZstdCompressor(level=1).compress
-    block, size = TaskContext.get().partitionId() << 32, 0
+    """A row for each block: neighbours of a task, BLOCK_CHARS or one document, their texts compressed together."""
+    block, rows, size = TaskContext.get().partitionId() << 32, [], 0
+
+    def packed() -> pd.DataFrame:
+        texts = [x[3] for x in rows]
+        data = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
+        return pd.DataFrame([(block, *[[x[k] for x in rows] for k in range(3)], [len(x) for x in texts], data)], columns=["block", "doc_ids", "row_keys", "langs", "sizes", "texts"])
+
     for batch in batches:
-        numbers, packed = [], []
-        for text in batch["text"]:
-            if size >= BLOCK_CHARS:
-                block, size = block + 1, 0
+        for *own, text in batch[["doc_id", "row_key", "model_lang", "text"]].itertuples(index=False, name=None):
+            rows.append((*own, text.encode("utf-8", "surrogatepass")))
             size += len(text)
-            numbers.append(block)
-            packed.append(pack(text.encode("utf-8", "surrogatepass")))
-        yield batch.drop(columns="text").assign(block=numbers, packed=packed)[["doc_id", "row_key", "model_lang", "block", "packed"]]
+            if size >= BLOCK_CHARS:
+                yield packed()
+                block, rows, size = block + 1, [], 0
+    if rows:
+        yield packed()
 
 
-def _unpacked(packed: bytes) -> str:
-    return zstandard.ZstdDecompressor().decompress(packed).decode("utf-8", "surrogatepass")
+def _texts(packed: bytes, sizes: list[int]) -> Iterator[str]:
+    data, at = zstandard.ZstdDecompressor().decompress(packed), 0
+    for n in sizes:
+        yield data[at : at + n].decode("utf-8", "surrogatepass")
+        at += n
 
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A row for each block, language and trigram of the texts at hand: Spark's own aggregation adds them up."""
     for batch in batches:
-        for (block, lang), packed in batch.groupby(["block", "model_lang"])["packed"]:
-            waiting, size = [], 0
-            for i, p in enumerate(packed):
-                waiting.append(point_trigrams(_unpacked(p)))
-                size += len(waiting[-1])
-                if size >= SCORED_CHARS or i == len(packed) - 1:
-                    grams, n = np.unique(np.concatenate(waiting), return_counts=True)
-                    yield pd.DataFrame({"block": block, "model_lang": lang, "gram": grams, "n": n})
-                    waiting, size = [], 0
+        for block, langs, sizes, packed in zip(batch["block"], batch["langs"], batch["sizes"], batch["texts"]):
+            waiting: dict[str, list] = {}
 
+            def told(lang: str) -> pd.DataFrame:
+                grams, n = np.unique(np.concatenate(waiting.pop(lang)), return_counts=True)
+                return pd.DataFrame({"block": block, "model_lang": lang, "gram": grams, "n": n})
 
-def model_table(counts: DataFrame) -> DataFrame:
-    """model_lang, gram, and for the trigram and its last two and last symbols c (count), t and k (symbols after the context, and kinds)."""
-    lang = "model_lang"
-    c3 = counts.groupBy(lang, "gram").agg(F.sum("n").alias("c3")).withColumn("context2", F.shiftright("gram", POINT_BITS))
-    c3 = stored(c3.withColumn("two", F.col("gram").bitwiseAND(F.lit(TWO))))
-    c2 = stored(c3.groupBy(lang, "two").agg(F.sum("c3").alias("c2")).withColumn("context1", F.shiftright("two", POINT_BITS)).withColumn("one", F.col("two").bitwiseAND(F.lit(ONE))))
-    c1 = c2.groupBy(lang, "one").agg(F.sum("c2").alias("c1"))
+            size: dict[str, int] = {}
+            for lang, text in zip(langs, _texts(packed, sizes)):
+                waiting.setdefault(lang, []).append(point_trigrams(text))
+                size[lang] = size.get(lang, 0) + len(text)
+                if size[lang] >= SCORED_CHARS:
+                    yield told(lang)
+                    size[lang] = 0
+            for lang in list(waiting):
+                yield told(lang)
 
-    def after(rows: DataFrame, keys: list[str], i: int) -> DataFrame:
-        return rows.groupBy(*keys).agg(F.sum(f"c{i}").alias(f"t{i}"), F.count(F.lit(1)).alias(f"k{i}"))
 
-    whole = c2.join(after(c2, [lang, "context1"], 2), [lang, "context1"]).join(c1, [lang, "one"]).join(after(c1, [lang], 1), lang)
-    own = c3.join(after(c3, [lang, "context2"], 3), [lang, "context2"]).join(whole.drop("context1", "one"), [lang, "two"])
-    return own.select(lang, "gram", *[f"{x}{i}" for i in (3, 2, 1) for x in "ctk"])
+ROW = ["c", "t", "n1", "n2", "n3"]
 
 
-# --- scores by all other documents
+def model_tables(counts: DataFrame, shelf: Shelf) -> tuple[dict[int, DataFrame], DataFrame]:
+    """For each order ``model_lang, key, c, t, n1, n2, n3``; and ``model_lang, key`` (the order) with the numbers of n-grams that count 1 to 4.
 
+    c is the count of the n-gram, t the sum over its context, n1 to n3 how many of the context's n-grams count 1, 2 and more.
+    """
+    lang, c = "model_lang", F.col("c")
+    grams = shelf.put(counts.groupBy(lang, F.col("gram").alias("key")).agg(F.sum("n").alias("c")))
+    orders, met = {}, []
+    for order in (3, 2, 1):
+        context = F.shiftright("key", POINT_BITS)
+        after = grams.groupBy(lang, context.alias("context")).agg(F.sum("c").alias("t"), *[F.count_if(x).alias(f"n{i}") for i, x in ((1, c == 1), (2, c == 2), (3, c > 2))])
+        orders[order] = grams.withColumn("context", context).join(after, [lang, "context"]).select(lang, "key", *ROW)
+        met.append(grams.groupBy(lang).agg(*[F.count_if(c == i).alias(x) for i, x in enumerate(ROW[:4], 1)]).select(lang, F.lit(order).cast("long").alias("key"), *ROW[:4], F.lit(0).cast("long").alias("n3")))
+        if order > 1:
+            mask = TWO if order == 3 else ONE
+            grams = shelf.put(grams.groupBy(lang, F.col("key").bitwiseAND(F.lit(mask)).alias("key")).agg(F.count(F.lit(1)).alias("c")))
+    return orders, met[0].unionByName(met[1]).unionByName(met[2])
 
-def _level(keys: np.ndarray, bits: int, n: np.ndarray, c: np.ndarray, t: np.ndarray, k: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """Probabilities of a document's n-grams (sorted, distinct ``keys`` of n each) without its own counts, given the lower order's."""
-    context = keys >> bits
-    new = np.concatenate([[True], context[1:] != context[:-1]])
-    group = np.cumsum(new) - 1
-    own_t = np.bincount(group, n)[group]
-    own_k = np.bincount(group, n == c)[group]  # kinds that only this document has
-    total, kinds = t - own_t, k - own_k
-    return np.where(total > 0, (c - n + kinds * lower) / np.maximum(total + kinds, 1), lower)
-
-
-def document_score(grams: np.ndarray, table: dict[str, np.ndarray]) -> float:
-    """The mean negative log probability of a text's trigrams by all other texts of the model's rows in ``table``."""
-    keys, n = np.unique(grams, return_counts=True)
-    at = np.searchsorted(table["gram"], keys)
-    two, first, back2 = np.unique(keys & TWO, return_index=True, return_inverse=True)
-    one, first1, back1 = np.unique(two & ONE, return_index=True, return_inverse=True)
-    n2 = np.bincount(back2, n)
-    n1 = np.bincount(back1, n2)
-    at2 = at[first]
-    at1 = at2[first1]
-    p1 = _level(one, POINT_BITS, n1, *[table[x][at1] for x in ("c1", "t1", "k1")], np.full(len(one), 1.0 / POINTS))
-    p2 = _level(two, POINT_BITS, n2, *[table[x][at2] for x in ("c2", "t2", "k2")], p1[back1])
-    p3 = _level(keys, POINT_BITS, n, *[table[x][at] for x in ("c3", "t3", "k3")], p2[back2])
-    return -float((n * np.log(p3)).sum()) / len(grams)
 
+PACKED = "block long, model_lang string, part int, data binary"
 
-# --- a small model in memory, over 128 symbols: for comparisons, no operator uses it
 
+def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The model's rows of each block and language as compressed arrays: order, key, and the numbers of ROW."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    waiting, size = [], 0
+
+    def told() -> pd.DataFrame:
+        rows = pd.concat(waiting)
+        out = []
+        for (block, lang), own in rows.groupby(["block", "model_lang"]):
+            own = own.sort_values(["ord", "key"])
+            table = np.stack([own[x].to_numpy(np.int64) for x in ("ord", "key", *ROW)])
+            table[1] = np.diff(table[1], prepend=0)
+            out.append((block, lang, table.shape[1], pack(table.tobytes())))
+        return pd.DataFrame(out, columns=["block", "model_lang", "part", "data"])
 
-def symbols_of(text: str) -> np.ndarray:
-    """The symbols of a text between START and END; runs of white space are one blank."""
-    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    out = np.where(cp < 127, cp, 1 + cp % 31)
-    out[(cp < 32) | (cp == 160)] = BLANK
-    blank = out == BLANK
-    out = out[~(blank & np.concatenate([[False], blank[:-1]]))] if len(out) else out
-    return np.concatenate([[START, START], out, [END]]).astype(np.int64)
-
-
-def trigrams_of(text: str) -> np.ndarray:
-    s = symbols_of(text)
-    return (s[:-2] << (2 * SYMBOL_BITS)) | (s[1:-1] << SYMBOL_BITS) | s[2:]
-
-
-@dataclass(frozen=True)
-class Model:
-    """Modified Kneser-Ney of order 3: for each order the sorted n-grams with log probabilities and back-off weights."""
-
-    grams3: np.ndarray
-    log3: np.ndarray
-    grams2: np.ndarray
-    log2: np.ndarray
-    back2: np.ndarray
-    grams1: np.ndarray
-    log1: np.ndarray
-    back1: np.ndarray
-    log0: float
-
-    def score(self, grams: np.ndarray) -> np.ndarray:
-        """Natural log probability of the last symbol of each trigram, given the two before it."""
-        at = np.minimum(np.searchsorted(self.grams3, grams), len(self.grams3) - 1)
-        out = self.log3[at].copy()
-        lost = np.flatnonzero(self.grams3[at] != grams)
-        if len(lost):
-            g = grams[lost]
-            two, last = g & ((1 << (2 * SYMBOL_BITS)) - 1), g & ((1 << SYMBOL_BITS) - 1)
-            out[lost] = self._find(self.grams2, self.back2, g >> SYMBOL_BITS, 0.0)
-            a = np.minimum(np.searchsorted(self.grams2, two), len(self.grams2) - 1)
-            hit = self.grams2[a] == two
-            low = self._find(self.grams1, self.back1, two >> SYMBOL_BITS, 0.0) + self._find(self.grams1, self.log1, last, self.log0)
-            out[lost] += np.where(hit, self.log2[a], low)
-        return out
-
-    @staticmethod
-    def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, other: float) -> np.ndarray:
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return np.where(keys[at] == wanted, values[at], other)
-
-
-def _discounts(counts: np.ndarray) -> np.ndarray:
-    """D1, D2 and D3+ from the numbers of n-grams that occur once to four times."""
-    n = [float((counts == k).sum()) for k in (1, 2, 3, 4)]
-    if min(n[:3]) == 0:
-        return np.array([0.5, 0.75, 0.9])
-    y = n[0] / (n[0] + 2 * n[1])
-    d = np.array([1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]])
-    return np.clip(d, [0.05, 0.05, 0.05], [0.95, 1.9, 2.9])
-
-
-def build_model(grams: np.ndarray, counts: np.ndarray) -> Model:
-    """The model of sorted, distinct trigrams and their counts."""
-    low = (1 << (2 * SYMBOL_BITS)) - 1
-    one = (1 << SYMBOL_BITS) - 1
-
-    def order(keys: np.ndarray, c: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Probabilities of ``keys``; the contexts and the weight that each leaves to the order below."""
-        context, inverse = np.unique(keys >> SYMBOL_BITS, return_inverse=True)
-        d = _discounts(c)[np.minimum(c, 3).astype(np.int64) - 1]
-        total = np.bincount(inverse, c)
-        left = np.bincount(inverse, d) / total
-        return (c - d) / total[inverse] + left[inverse] * lower, context, left
-
-    grams2, c2 = np.unique(grams & low, return_counts=True)
-    grams1, c1 = np.unique(grams2 & one, return_counts=True)
-    flat = 1.0 / (1 << SYMBOL_BITS)
-    p1, _, left0 = order(grams1, c1.astype(float), np.full(len(grams1), flat))
-    p2, context1, left1 = order(grams2, c2.astype(float), p1[np.searchsorted(grams1, grams2 & one)])
-    p3, context2, left2 = order(grams, counts.astype(float), p2[np.searchsorted(grams2, grams & low)])
-
-    def spread(keys: np.ndarray, contexts: np.ndarray, left: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(keys))
-        at = np.minimum(np.searchsorted(contexts, keys), len(contexts) - 1)
-        hit = contexts[at] == keys
-        out[hit] = np.log(left[at][hit])
-        return out
-
-    # A context may occur only as a context (at the start of a text): it is kept with the n-grams of its order.
-    all2, all1 = np.union1d(grams2, context2), np.union1d(grams1, context1)
-    log1 = np.full(len(all1), math.log(left0[0] * flat))
-    log1[np.searchsorted(all1, grams1)] = np.log(p1)
-    back1 = spread(all1, context1, left1)
-    log2 = back1[np.minimum(np.searchsorted(all1, all2 >> SYMBOL_BITS), len(all1) - 1)] + log1[np.minimum(np.searchsorted(all1, all2 & one), len(all1) - 1)]
-    log2[np.searchsorted(all2, grams2)] = np.log(p2)
-    return Model(grams, np.log(p3), all2, log2, spread(all2, context2, left2), all1, log1, back1, math.log(left0[0] * flat))
+    for batch in batches:
+        waiting.append(batch)
+        size += len(batch)
+        if size >= PACKED_ROWS:
+            yield told()
+            waiting, size = [], 0
+    if size:
+        yield told()
+
+
+# --- scores by all other documents
+
+
+def discounts(n1: float, n2: float, n3: float, n4: float) -> np.ndarray:
+    """Discounts of counts 0, 1, 2 and more, from the numbers of n-grams that count 1 to 4; usual values where one of the first three is missing."""
+    if min(n1, n2, n3) <= 0:
+        return np.array([0.0, 0.5, 0.75, 0.9])
+    y = n1 / (n1 + 2 * n2)
+    d = np.array([1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3])
+    return np.concatenate([[0.0], np.clip(d, 0.05, [0.95, 1.9, 2.9])])
+
+
+def _level(keys: np.ndarray, gone: np.ndarray, rows: np.ndarray, discount: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """Probabilities of a document's n-grams without its own counts, given the lower order's.
+
+    ``keys`` are sorted and distinct, ``gone`` is what they lose without the document, ``rows`` has their c, t, n1, n2, n3.
+    """
+    context = keys >> POINT_BITS
+    group = np.cumsum(np.concatenate([[True], context[1:] != context[:-1]])) - 1
+    c, t = rows[0] - gone, rows[1] - np.bincount(group, gone)[group]
+    mass = np.zeros(len(keys))
+    for k in (1, 2, 3):
+        was, now = np.minimum(rows[0], 3) == k, np.minimum(c, 3) == k
+        mass += discount[k] * (rows[1 + k] + np.bincount(group, now.astype(float) - was)[group])
+    return np.where(t > 0, (c - discount[np.minimum(c, 3).astype(np.int64)] + mass * lower) / np.maximum(t, 1), lower)
+
+
+def document_score(grams: np.ndarray, table: dict[int, tuple[np.ndarray, np.ndarray]], discount: dict[int, np.ndarray]) -> float:
+    """The mean negative log probability of a text's trigrams by all other texts; ``table`` has each order's sorted keys and their rows."""
+    keys3, n = np.unique(grams, return_counts=True)
+    keys2, back2 = np.unique(keys3 & TWO, return_inverse=True)
+    keys1, back1 = np.unique(keys2 & ONE, return_inverse=True)
+    rows = {k: table[k][1][:, np.searchsorted(table[k][0], x)] for k, x in ((3, keys3), (2, keys2), (1, keys1))}
+    gone2 = np.bincount(back2, rows[3][0] == n)
+    gone1 = np.bincount(back1, rows[2][0] == gone2)
+    p1 = _level(keys1, gone1, rows[1], discount[1], np.full(len(keys1), 1.0 / POINTS))
+    p2 = _level(keys2, gone2, rows[2], discount[2], p1[back1])
+    p3 = _level(keys3, n, rows[3], discount[3], p2[back2])
+    return -float((n * np.log(p3)).sum()) / len(grams)
 
 
 # --- scores and bands
@@ -299,31 +261,38 @@ FEATURES = "doc_id long, row_key binary, model_lang string, n_words long, word_c
 
 
 def _scored(rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-    """The features of a block's documents by the model's rows of its trigrams."""
-    tables = {}
+    """The features of a block's documents by the model's rows of its n-grams."""
+    tables, discount = {}, {}
     for lang, own in model.groupby("model_lang"):
-        own = own.sort_values("gram")
-        tables[lang] = {c: own[c].to_numpy(np.int64) for c in ("gram", *[f"{x}{i}" for i in (3, 2, 1) for x in "ctk"])}
+        parts = [np.frombuffer(zstandard.ZstdDecompressor().decompress(x), dtype=np.int64).reshape(2 + len(ROW), n).copy() for n, x in zip(own["part"], own["data"])]
+        for x in parts:
+            x[1] = np.cumsum(x[1])
+        whole = np.concatenate(parts, axis=1)
+        whole = whole[:, np.lexsort((whole[1], whole[0]))]
+        tables[lang] = {k: (whole[1, whole[0] == k], whole[2:, whole[0] == k]) for k in (1, 2, 3)}
+        discount[lang] = {int(k): discounts(*row[:4]) for k, row in zip(whole[1, whole[0] == 0], whole[2:, whole[0] == 0].T)}
     found = []
-    for lang, packed in zip(rows["model_lang"], rows["packed"]):
-        text = _unpacked(packed)
-        base = surface(text)
-        found.append((*base, document_score(point_trigrams(text), tables[lang]) if base[0] else None))
-    out = pd.DataFrame(found, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_ppl"])
-    for c in ("row_key", "model_lang"):
-        out[c] = rows[c].to_numpy()
-    out["doc_id"] = rows["doc_id"].to_numpy()
-    return out[["doc_id", "row_key", "model_lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_ppl"]]
-
-
-def features(docs: DataFrame) -> DataFrame:
+    for doc_ids, row_keys, langs, sizes, packed in zip(*[rows[c] for c in ("doc_ids", "row_keys", "langs", "sizes", "texts")]):
+        for doc_id, row_key, lang, text in zip(doc_ids, row_keys, langs, _texts(packed, sizes)):
+            base = surface(text)
+            found.append((doc_id, row_key, lang, *base, document_score(point_trigrams(text), tables[lang], discount[lang]) if base[0] else None))
+    return pd.DataFrame(found, columns=["doc_id", "row_key", "model_lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_ppl"])
+
+
+def features(docs: DataFrame, shelf: Shelf) -> DataFrame:
     """The surface counts and the log perplexity (null without words) of each document (doc_id, row_key, model_lang, text)."""
-    # Kept: the blocks must stay as they are. Null ids and long ids don't go through pandas as floats: doc_id travels as text.
+    # Stored: the blocks must stay as they are. Null ids and long ids don't go through pandas as floats: doc_id travels as text.
     slim = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "row_key", "model_lang", "text")
-    blocks = stored(slim.mapInPandas(_blocks, "doc_id string, row_key binary, model_lang string, block long, packed binary"))
-    counts = stored(blocks.mapInPandas(_counted, "block long, model_lang string, gram long, n long"))
-    sent = counts.select("block", "model_lang", "gram").distinct().join(model_table(counts), ["model_lang", "gram"])
-    scored = blocks.groupBy("block").cogroup(sent.groupBy("block")).applyInPandas(_scored, FEATURES.replace("doc_id long", "doc_id string"))
+    blocks = shelf.put(slim.mapInPandas(_blocks, BLOCKS))
+    counts = shelf.put(blocks.mapInPandas(_counted, "block long, model_lang string, gram long, n long"))
+    orders, met = model_tables(counts, shelf)
+    wanted = counts.select("block", "model_lang", F.col("gram").alias("key")).distinct()
+    sent = wanted.select("block", "model_lang").distinct().join(met, "model_lang").withColumn("ord", F.lit(0))
+    for order, mask in ((3, None), (2, TWO), (1, ONE)):
+        own = wanted if mask is None else wanted.select("block", "model_lang", F.col("key").bitwiseAND(F.lit(mask)).alias("key")).distinct()
+        sent = sent.unionByName(own.join(orders[order], ["model_lang", "key"]).withColumn("ord", F.lit(order)))
+    packed = sent.mapInPandas(_packed, PACKED)
+    scored = blocks.groupBy("block").cogroup(packed.groupBy("block")).applyInPandas(_scored, FEATURES.replace("doc_id long", "doc_id string"))
     return scored.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -342,14 +311,20 @@ def bands(scored: DataFrame, reach: float = REACH) -> DataFrame:
     return own.groupBy("model_lang").agg(q1.alias("q1"), q3.alias("q3")).select("model_lang", (F.col("q1") - reach * wide).alias("low"), (F.col("q3") + reach * wide).alias("high"))
 
 
+def row_key(names: dict[str, str] | None = None) -> Column:
+    """Equal for rows with the same doc_id, language and text; ``names`` tells what these columns are called."""
+    doc_id, lang, text = ((names or {}).get(c, c) for c in ("doc_id", "lang", "text"))
+    return F.unhex(F.sha2(F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("~")), F.coalesce(F.col(lang).cast("string"), F.lit("~")), text_of(text)), 256))
+
+
 def judged(docs: DataFrame, reach: float = REACH) -> DataFrame:
     """The features of each row of ``docs`` with base_failed and kept."""
     lang = F.col("lang").cast("string")
-    row_key = F.unhex(F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), F.coalesce(lang, F.lit("~")), text_of()), 256))
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.concat(F.lit("="), lang), F.lit("~")).alias("model_lang"), text_of().alias("text"), row_key.alias("row_key"))
-    scored = stored(features(slim))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.concat(F.lit("="), lang), F.lit("~")).alias("model_lang"), text_of().alias("text"), row_key().alias("row_key"))
+    shelf = Shelf(docs.sparkSession)
+    scored = shelf.put(features(slim, shelf))
     sizes = scored.groupBy("model_lang").agg(F.count(F.lit(1)).alias("_n"))
-    known = stored(sizes.join(bands(scored, reach), "model_lang", "left"))
+    known = shelf.put(sizes.join(bands(scored, reach), "model_lang", "left"))
     own = hot_join(scored, known, ["model_lang"], scored.count())
     inside = F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(False))
     return own.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & inside)
@@ -366,7 +341,10 @@ def quality_rules(docs: DataFrame, reach: float = REACH) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, reach: float = REACH) -> DataFrame:
-    """The rows of ``docs`` that :func:`quality_rules` keeps, with the columns they came with."""
-    key = F.unhex(F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), F.coalesce(F.col("lang").cast("string"), F.lit("~")), text_of()), 256))
-    good = judged(docs, reach).filter("kept").select(F.col("row_key").alias("_row_key"))
-    return docs.withColumn("_row_key", key).join(good, "_row_key", "left_semi").drop("_row_key")
+    """The rows of ``docs`` that :func:`quality_rules` keeps, with the columns they came with, whatever their names.
+
+    Nulls, empty texts, repeated rows and empty tables as in :func:`quality_rules`: null and empty texts go, repeats stay or go together.
+    """
+    good = judged(docs, reach).filter("kept").select(F.col("row_key").alias("_row_key")).distinct()
+    apart, names = set_aside(docs)
+    return apart.withColumn("_row_key", row_key(names)).join(good, "_row_key", "left_semi").select(*[F.col(v).alias(k) for k, v in names.items()])

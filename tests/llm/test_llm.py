@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -120,17 +121,28 @@ def test_op4_counts(spark, odd):
         assert got[i, want[0]] == want
 
 
-def test_op4_model():
-    rng = random.Random(2)
-    texts = ["".join(rng.choice("abcd e") for _ in range(200)) for _ in range(50)]
-    counts = Counter(int(g) for t in texts for g in quality.trigrams_of(t))
-    import numpy as np
+def test_op4_kept(spark):
+    """The verdict by the scores: the base, and the band of each language by its quartiles in bins."""
+    rows = quality.quality_rules(spark.read.parquet(f"{TABLES}/documents.parquet")).collect()
+    langs = dict(duckdb.sql(f"SELECT doc_id, lang FROM '{TABLES}/documents.parquet'").fetchall())
+    bins = defaultdict(list)
+    for r in rows:
+        assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words)
+        if not r.base_failed:
+            bins[langs[r.doc_id]].append(math.floor(r.log_ppl / quality.BIN))
+    for r in rows:
+        own, inside = sorted(bins[langs[r.doc_id]]), False
+        if r.log_ppl is not None and own:
+            q1, q3 = ((own[math.ceil(q * len(own)) - 1] + 0.5) * quality.BIN for q in (0.25, 0.75))
+            wide = quality.REACH * max(q3 - q1, quality.LEAST_IQR)
+            inside = q1 - wide <= r.log_ppl <= q3 + wide
+        assert r.kept == (inside and not r.base_failed)
 
-    keys = np.array(sorted(counts))
-    model = quality.build_model(keys, np.array([counts[k] for k in keys]))
-    for a, b in [(97, 98), (32, 99), (0, 0), (65, 66), (97, 65)]:
-        grams = np.array([(a << 14) | (b << 7) | s for s in range(128)])
-        assert np.exp(model.score(grams)).sum() == pytest.approx(1.0)
+
+def test_op4_clashing_names(spark, odd):
+    own = odd.withColumn("_row_key", F.lit("mine")).withColumn("row_key", F.col("doc_id"))
+    got = quality.keep_good(own)
+    assert got.columns == own.columns and all(r["_row_key"] == "mine" for r in got.collect())
 
 
 def test_op4_keeps_clean_and_rejects_noise(spark):
@@ -308,8 +320,6 @@ def test_pipeline(spark, odd, clashing, empty):
 
 def test_op4_model_of_whole_code_points(spark):
     """Scores of each language by all its other documents, against the definition; no symbols are folded."""
-    import math
-
     rng = random.Random(3)
     rows = [(i, "".join(rng.choice("абв гдж") for _ in range(60)), "ru") for i in range(6)] + [(10 + i, "".join(rng.choice("ab c") for _ in range(60)), "en") for i in range(90)]
     rows += [(200, "日本語 " * 9 + "本日", "ja"), (201, "日本 語本 日語 " * 4, "ja"), (202, "x y " * 12, None)]
@@ -317,22 +327,48 @@ def test_op4_model_of_whole_code_points(spark):
     def points(t):
         return ["^", "^", *re.sub(r"\s+", " ", t), "$"]
 
-    def score(own, others):
-        c = Counter(tuple(s[i - k : i + 1]) for s in others for i in range(2, len(s)) for k in range(3))
-        after = defaultdict(dict)
-        for g, n in c.items():
-            after[g[:-1]][g] = n
+    def orders(texts):
+        """Counts of trigrams, and how many different symbols stand before each bigram and each symbol."""
+        c3 = Counter(tuple(s[i - 2 : i + 1]) for s in texts for i in range(2, len(s)))
+        c2 = Counter(g[1:] for g in c3)
+        return c3, c2, Counter(g[1:] for g in c2)
+
+    def discount(c):
+        n = [sum(v == k for v in c.values()) for k in range(5)]
+        if not (n[1] and n[2] and n[3]):
+            return [0, 0.5, 0.75, 0.9]
+        y = n[1] / (n[1] + 2 * n[2])
+        raw = [1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2], 3 - 4 * y * n[4] / n[3]]
+        return [0, *[min(max(x, 0.05), most) for x, most in zip(raw, (0.95, 1.9, 2.9))]]
+
+    def model(others, every):
+        counts, d = dict(zip((3, 2, 1), orders(others))), dict(zip((3, 2, 1), map(discount, orders(every))))
+        after = {k: defaultdict(list) for k in counts}
+        for k, c in counts.items():
+            for g, v in c.items():
+                after[k][g[:-1]].append(v)
 
         def p(g):
-            low = p(g[1:]) if len(g) > 1 else 1 / 2**21
-            seen = after.get(g[:-1])
-            return (c[g] + len(seen) * low) / (sum(seen.values()) + len(seen)) if seen else low
-
+            k = len(g)
+            low = p(g[1:]) if k > 1 else 1 / 2**21
+            seen = after[k].get(g[:-1])
+            if not seen:
+                return low
+            c = counts[k][g]
+            return (c - d[k][min(c, 3)] + sum(d[k][min(v, 3)] for v in seen) * low) / sum(seen)
+
+        return p
+
+    def score(own, others, every):
+        p = model(others, every)
+        for context in {tuple(own[i - 2 : i]) for i in range(2, len(own))}:  # it is a distribution
+            symbols = {x for s in others for x in s}
+            assert sum(p((*context, x)) for x in symbols) + (2**21 - len(symbols)) * p((*context, "?")) == pytest.approx(1.0)
         return -sum(math.log(p(tuple(own[i - 2 : i + 1]))) for i in range(2, len(own))) / (len(own) - 2)
 
     got = {r.doc_id: r.log_ppl for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()}
     for i, t, lang in rows:
-        want = score(points(t), [points(u) for j, u, other in rows if other == lang and j != i])
+        want = score(points(t), [points(u) for j, u, other in rows if other == lang and j != i], [points(u) for _, u, other in rows if other == lang])
         assert got[i] == pytest.approx(want, abs=2e-6)
     cyrillic = quality.point_trigrams("абв")
     assert len({int(g) & quality.ONE for g in [*cyrillic, *quality.point_trigrams("日")]}) == 5  # four letters and the end
