@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 #: Pressure units in GPa: fixed values.
 PRESSURE_UNITS = {"gpa": 1.0, "mpa": 1e-3, "kpa": 1e-6, "pa": 1e-9, "mbar": 100.0, "kbar": 0.1, "bar": 1e-4}
-_TOKEN = r"(?i)(\d+(?:[.,p]\d+)?)\s*(gpa|mpa|kpa|mbar|kbar|pa|bar)(?![a-z])"
+_TOKEN = r"(?i)(\d+(?:[.,p]\d+)?)\s*[_-]?\s*(gpa|mpa|kpa|mbar|kbar|pa|bar)(?![a-z])"
 
 
 def parse_pressure(text: Column) -> Column:
-    """GPa of the first number with a unit; the decimal mark may be a point, a comma or p. Null without one."""
+    """GPa of the first number with a unit, ``_`` or ``-`` may stand between; the decimal mark may be a point, a comma or p. Null without one."""
     number = F.regexp_replace(F.regexp_extract(text, _TOKEN, 1), "[,pP]", ".").try_cast("double")
     unit = F.lower(F.regexp_extract(text, _TOKEN, 2))
     factor = F.lit(None).cast("double")
@@ -24,7 +24,7 @@ def parse_pressure(text: Column) -> Column:
 
 def pressure_from_path(path: Column) -> Column:
     """The pressure in the base name, else in the nearest folder that has one."""
-    found = F.transform(F.reverse(F.split(path, "/")), parse_pressure)
+    found = F.transform(F.reverse(F.split(path, r"[/\\]")), parse_pressure)
     return F.try_element_at(F.filter(found, lambda p: p.isNotNull()), F.lit(1))
 
 
@@ -34,12 +34,12 @@ def scan_label(path: Column) -> Column:
 
 
 def folder_label(path: Column) -> Column:
-    parts = F.split(path, "/")
+    parts = F.split(path, r"[/\\]")
     return F.when(F.size(parts) > 1, F.try_element_at(parts, F.lit(-2))).otherwise("folder_unknown")
 
 
 def base_name(path: Column) -> Column:
-    return F.element_at(F.split(path, "/"), -1)
+    return F.element_at(F.split(path, r"[/\\]"), -1)
 
 
 def stem(path: Column) -> Column:

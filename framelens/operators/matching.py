@@ -190,10 +190,12 @@ def histogram_to_frames(histograms: DataFrame, aliases: DataFrame) -> DataFrame:
         return F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
 
     known = aliases.select("frame", key(F.col("alias")).alias("akey")).filter(F.length("akey") >= 4).distinct()
-    # Aliases are looked up by their first four characters: an equi-join in place of a comparison of all pairs.
+    # Substrings as long as some alias are looked up whole: an equi-join; lengths are as few as the longest name has characters.
+    lengths = F.array(*[F.lit(r["n"]) for r in known.select(F.length("akey").alias("n")).distinct().collect()] or [F.lit(None).cast("int")])
     own = histograms.select("histogram", key(F.col("histogram")).alias("hkey"))
-    at = own.filter(F.length("hkey") >= 4).withColumn("gram", F.explode(F.transform(F.sequence(F.lit(1), F.length("hkey") - 3), lambda i: F.substring("hkey", i, F.lit(4))))).distinct()
-    hits = at.join(known.withColumn("gram", F.substring("akey", 1, 4)), "gram").filter(F.instr(F.col("hkey"), F.col("akey")) > 0)
+    at = own.withColumn("n", F.explode(lengths)).filter(F.length("hkey") >= F.col("n"))
+    at = at.withColumn("akey", F.explode(F.transform(F.sequence(F.lit(1), F.length("hkey") - F.col("n") + 1), lambda i: F.substring("hkey", i, F.col("n"))))).select("histogram", "akey").distinct()
+    hits = at.join(known, "akey")
     longest = hits.select("histogram", "frame", F.length("akey").alias("n")).withColumn("best", F.max("n").over(Window.partitionBy("histogram"))).filter("n = best")
     named = longest.groupBy("histogram").agg(F.min("frame").alias("by_name"), F.countDistinct("frame").alias("ambiguous"))
     number = F.regexp_extract(F.lower("histogram"), r"frame\D*(\d+)", 1).try_cast("bigint")

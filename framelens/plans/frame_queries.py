@@ -11,8 +11,8 @@ from framelens.plans.catalog import query
 from framelens.plans.views import table, view
 
 _PRESSURE_SQL = r"""
-try_cast(replace(replace(replace(regexp_extract({0}, '(?i)(\d+(?:[.,p]\d+)?)\s*(gpa|mpa|kpa|mbar|kbar|pa|bar)([^a-zA-Z]|$)', 1), ',', '.'), 'p', '.'), 'P', '.') AS DOUBLE)
-* CASE lower(regexp_extract({0}, '(?i)(\d+(?:[.,p]\d+)?)\s*(gpa|mpa|kpa|mbar|kbar|pa|bar)([^a-zA-Z]|$)', 2)) WHEN 'gpa' THEN 1e0 WHEN 'mpa' THEN 1e-3 WHEN 'kpa' THEN 1e-6 WHEN 'pa' THEN 1e-9 WHEN 'mbar' THEN 1e2 WHEN 'kbar' THEN 1e-1 WHEN 'bar' THEN 1e-4 END
+try_cast(replace(replace(replace(regexp_extract({0}, '(?i)(\d+(?:[.,p]\d+)?)\s*[_-]?\s*(gpa|mpa|kpa|mbar|kbar|pa|bar)([^a-zA-Z]|$)', 1), ',', '.'), 'p', '.'), 'P', '.') AS DOUBLE)
+* CASE lower(regexp_extract({0}, '(?i)(\d+(?:[.,p]\d+)?)\s*[_-]?\s*(gpa|mpa|kpa|mbar|kbar|pa|bar)([^a-zA-Z]|$)', 2)) WHEN 'gpa' THEN 1e0 WHEN 'mpa' THEN 1e-3 WHEN 'kpa' THEN 1e-6 WHEN 'pa' THEN 1e-9 WHEN 'mbar' THEN 1e2 WHEN 'kbar' THEN 1e-1 WHEN 'bar' THEN 1e-4 END
 """
 
 

@@ -28,10 +28,10 @@ def watch_source(spark: SparkSession, sf: str) -> DataFrame:
     return T.run_to_table(events(spark, sf).filter("value > 100").select("event_id", "user_id", "event_type", *_r("value")))
 
 
-@query("""WITH p AS (SELECT event_id % 500 AS path, event_id % 3 AS size, lag(event_id % 3) OVER (PARTITION BY event_id % 500 ORDER BY event_id) AS b, event_id FROM (SELECT * FROM events WHERE user_id % 4 < 3))
+@query("""WITH p AS (SELECT event_id % 500 AS path, event_id % 3 AS size, lag(event_id % 3) OVER (PARTITION BY event_id % 500 ORDER BY event_id) AS b, event_id FROM events)
 SELECT CAST(path AS VARCHAR) AS path, arg_max(size, event_id) AS size FROM p GROUP BY path HAVING bool_or(size = b)""")
 def settle_filter(spark: SparkSession, sf: str) -> DataFrame:
-    listing = events(spark, sf).filter("user_id % 4 < 3").selectExpr("CAST(event_id % 500 AS STRING) AS path", "event_id % 3 AS size", "0L AS mtime", "event_id AS poll")
+    listing = events(spark, sf).selectExpr("CAST(event_id % 500 AS STRING) AS path", "event_id % 3 AS size", "0L AS mtime", "event_id AS poll")
     return T.run_to_table(T.settled(listing))
 
 
@@ -47,10 +47,10 @@ def retry_failed(spark: SparkSession, sf: str) -> DataFrame:
     return T.run_to_table(T.with_retries(attempts)).select("name", "attempts", "status")
 
 
-@query("SELECT event_id, round(value, 6) AS value FROM events WHERE event_id % 2 = 0")
+@query("SELECT event_id, round(value, 6) AS value FROM events")
 def append_sink(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch(spark)
-    T.append_sink(events(spark, sf).filter("event_id % 2 = 0").select("event_id", *_r("value")), f"{path}/rows", f"{path}/state").awaitTermination()
+    T.append_sink(events(spark, sf).select("event_id", *_r("value")), f"{path}/rows", f"{path}/state").awaitTermination()
     return spark.read.parquet(f"{path}/rows").select("event_id", "value")
 
 
@@ -61,7 +61,7 @@ def rolling_analysis(spark: SparkSession, sf: str) -> DataFrame:
     def analyse(rows: DataFrame, batch_id: int) -> None:
         rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
 
-    T.rolling_analysis(events(spark, sf), analyse, f"{path}/state", every=1).awaitTermination()
+    T.rolling_analysis(events(spark, sf), analyse, f"{path}/live")
     return spark.read.parquet(f"{path}/rows").groupBy("event_type").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 4).alias("total"))
 
 

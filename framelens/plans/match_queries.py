@@ -123,9 +123,9 @@ def reflections_of(spark: SparkSession, top: int = 12) -> DataFrame:
     return O.cubic_reflections(phases(spark), top=top).select("phase", "line", "d0", "weight")
 
 
-@query(f"WITH {_REFL} SELECT p_partkey AS id, r.phase, line, round(d0 * (1 - p_size * 1e-3), 6) AS d, round(weight, 6) AS weight FROM part, refl r WHERE p_partkey % 5 = 0")
+@query(f"WITH {_REFL} SELECT p_partkey AS id, r.phase, line, round(d0 * (1 - p_size * 1e-3), 6) AS d, round(weight, 6) AS weight FROM part, refl r")
 def reflections(spark: SparkSession, sf: str) -> DataFrame:
-    own = table(spark, sf, "part").filter("p_partkey % 5 = 0").select("p_partkey", "p_size")
+    own = table(spark, sf, "part").select("p_partkey", "p_size")
     return own.join(F.broadcast(reflections_of(spark)), F.lit(True)).selectExpr("p_partkey AS id", "phase", "line", "round(d0 * (1 - p_size * 1e-3), 6) AS d", "round(weight, 6) AS weight")
 
 
@@ -200,12 +200,12 @@ def match_tracks(spark: SparkSession, sf: str) -> DataFrame:
     return O.match_tracks(tracks, lines, 0.05, 2).select("track", "phase", "line", *_r("delta"), "rank")
 
 
-@query("""WITH w(lo, hi) AS (VALUES (2e0, 22e-1), (4e0, 44e-1)), s AS (SELECT id, frame % 8 AS pk, center AS q FROM v_obs), p AS (SELECT DISTINCT frame % 8 AS pk, center, fwhm FROM v_peaks WHERE flag = 0 AND phase <> '' AND k1 % 37 = 0)
+@query("""WITH w(lo, hi) AS (VALUES (2e0, 22e-1), (4e0, 44e-1)), s AS (SELECT id, frame % 8 AS pk, center AS q FROM v_obs), p AS (SELECT DISTINCT frame % 8 AS pk, center, fwhm FROM v_peaks WHERE flag = 0 AND phase <> '')
 SELECT id FROM s WHERE NOT EXISTS (SELECT 1 FROM w WHERE q BETWEEN lo AND hi) AND NOT EXISTS (SELECT 1 FROM p WHERE p.pk = s.pk AND q BETWEEN center - fwhm AND center + fwhm)""", "v_obs", "v_peaks")
 def spot_exclusions(spark: SparkSession, sf: str) -> DataFrame:
     windows = spark.createDataFrame([(2.0, 2.2), (4.0, 4.4)], "lo double, hi double")
     spots = view(spark, sf, "v_obs").selectExpr("id", "(frame % 8) * 1e0 AS pressure", "center AS q")
-    pool = view(spark, sf, "v_peaks").filter("flag = 0 AND phase <> '' AND k1 % 37 = 0").selectExpr("(frame % 8) * 1e0 AS pressure", "center", "fwhm").distinct()
+    pool = view(spark, sf, "v_peaks").filter("flag = 0 AND phase <> ''").selectExpr("(frame % 8) * 1e0 AS pressure", "center", "fwhm").distinct()
     return O.spot_exclusions(spots, pool, windows).select("id")
 
 

@@ -87,11 +87,11 @@ def fit_resolution(spark: SparkSession, sf: str) -> DataFrame:
     return O.fit_resolution(own, 6.0).select("n", "kind", *_r("c0", "c1", "c2"))
 
 
-@query("""WITH p AS (SELECT k2 AS frame, center, fwhm, frame * 1000000 + k1 * 10 + peak AS id FROM v_peaks WHERE flag = 0 AND peak <= 2), w AS (SELECT *, center - fwhm / 10 AS lo, center + fwhm / 10 AS hi FROM p),
+@query("""WITH p AS (SELECT k2 AS frame, center, fwhm, frame * 1000000 + k1 * 10 + peak AS id FROM v_peaks WHERE flag = 0), w AS (SELECT *, center - fwhm / 10 AS lo, center + fwhm / 10 AS hi FROM p),
 r AS (SELECT *, max(hi) OVER (PARTITION BY frame ORDER BY center, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM w)
 SELECT frame, id, CAST(sum(CASE WHEN reach IS NULL OR lo > reach THEN 1 ELSE 0 END) OVER (PARTITION BY frame ORDER BY center, id ROWS UNBOUNDED PRECEDING) AS INT) AS grp FROM r""", "v_peaks")
 def peak_groups(spark: SparkSession, sf: str) -> DataFrame:
-    own = O.good_peaks(view(spark, sf, "v_peaks")).filter("peak <= 2").selectExpr("k2 AS frame", "center", "fwhm", "frame * 1000000 + k1 * 10 + peak AS id")
+    own = O.good_peaks(view(spark, sf, "v_peaks")).selectExpr("k2 AS frame", "center", "fwhm", "frame * 1000000 + k1 * 10 + peak AS id")
     return O.peak_groups(own, k=0.1).select("frame", "id", F.col("group").alias("grp"))
 
 
@@ -116,11 +116,11 @@ def seen_gate(spark: SparkSession, sf: str) -> DataFrame:
     return O.seen_gate(view(spark, sf, "v_identify")).select("frame", "phase")
 
 
-@query("""WITH l AS (SELECT DISTINCT i.frame, phase, center * (1 + pressure * 1e-3) AS center FROM (SELECT DISTINCT k2 AS frame, center FROM v_peaks WHERE flag = 0 AND peak = 1 AND k1 % 5 = 0) p JOIN v_identify i ON i.frame = p.frame),
+@query("""WITH l AS (SELECT DISTINCT i.frame, phase, center * (1 + pressure * 1e-3) AS center FROM (SELECT DISTINCT k2 AS frame, center FROM v_peaks WHERE flag = 0) p JOIN v_identify i ON i.frame = p.frame),
 h AS (SELECT b.frame, phase, sum(mean) AS total FROM v_bins b JOIN l ON l.frame = b.frame AND abs(radial - center) <= 3e-2 * center GROUP BY 1, 2)
 SELECT frame, phase, round(total, 4) AS total, round(total / max(total) OVER (PARTITION BY phase), 6) AS relative FROM h""", "v_peaks", "v_bins", "v_identify")
 def phase_layers(spark: SparkSession, sf: str) -> DataFrame:
-    centres = O.good_peaks(view(spark, sf, "v_peaks")).filter("peak = 1 AND k1 % 5 = 0").selectExpr("k2 AS frame", "center").distinct()
+    centres = O.good_peaks(view(spark, sf, "v_peaks")).selectExpr("k2 AS frame", "center").distinct()
     lines = centres.join(view(spark, sf, "v_identify"), "frame").selectExpr("frame", "phase", "center * (1 + pressure * 1e-3) AS center").distinct()
     bins = view(spark, sf, "v_bins").selectExpr("frame", "radial", "mean AS y")
     return O.roi_layers(bins, lines, 0.03).select("frame", "phase", *_r("total", n=4), *_r("relative"))

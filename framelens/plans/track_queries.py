@@ -162,9 +162,9 @@ def _features(spark: SparkSession, sf: str) -> DataFrame:
     return own.groupBy("frame", F.floor((F.col("d") - 1.2) / 0.01).cast("long").alias("g")).agg(F.sum("amplitude").alias("value"))
 
 
-@query(f"WITH {_FP}, {_FEAT} SELECT frame, ft.g, phase, pressure, round(fp.v, 6) AS value FROM ft JOIN fp ON fp.g = ft.g WHERE frame % 10 = 0", "v_peaks")
+@query(f"WITH {_FP}, {_FEAT} SELECT frame, ft.g, phase, pressure, round(fp.v, 6) AS value FROM ft JOIN fp ON fp.g = ft.g", "v_peaks")
 def fingerprint_library(spark: SparkSession, sf: str) -> DataFrame:
-    own = _features(spark, sf).filter("frame % 10 = 0").select("frame", "g")
+    own = _features(spark, sf).select("frame", "g")
     return own.join(_prints(spark), "g").select("frame", "g", "phase", "pressure", *_r("value"))
 
 

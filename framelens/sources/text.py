@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 #: Header names of a metadata sheet and the column that each stands for: fixed values.
 METADATA_ALIASES = {
-    "frame": "frame", "index": "frame", "frame_index": "frame", "filename": "filename", "file": "filename", "name": "filename", "pressure": "pressure", "pressure_gpa": "pressure", "p": "pressure",
-    "pressure_sigma": "pressure_sigma", "sigma": "pressure_sigma", "temperature": "temperature", "t": "temperature", "temperature_k": "temperature", "x": "pos_x", "pos_x": "pos_x", "y": "pos_y", "pos_y": "pos_y",
+    "frame": "frame", "frame_index": "frame", "index": "frame", "idx": "frame", "i": "frame", "n": "frame",
+    "filename": "filename", "file": "filename", "name": "filename", "fname": "filename", "path": "filename",
+    "pressure_gpa": "pressure", "pressure": "pressure", "p_gpa": "pressure", "p": "pressure", "gpa": "pressure",
+    "pressure_sigma_gpa": "pressure_sigma", "pressure_sigma": "pressure_sigma", "sigma_gpa": "pressure_sigma", "sigma": "pressure_sigma", "p_sigma": "pressure_sigma", "dp": "pressure_sigma", "p_err": "pressure_sigma",
+    "temperature_k": "temperature", "temperature": "temperature", "temp_k": "temperature", "temp": "temperature", "t_k": "temperature", "t": "temperature",
+    "pos_x_mm": "pos_x", "pos_x": "pos_x", "x_mm": "pos_x", "x": "pos_x", "sam_x": "pos_x", "sample_x": "pos_x", "motor_x": "pos_x", "samx": "pos_x",
+    "pos_y_mm": "pos_y", "pos_y": "pos_y", "y_mm": "pos_y", "y": "pos_y", "sam_y": "pos_y", "sample_y": "pos_y", "motor_y": "pos_y", "samy": "pos_y",
 }
 METADATA = ("frame", "filename", "pressure", "pressure_sigma", "temperature", "pos_x", "pos_y")
 
@@ -49,7 +54,7 @@ def read_xy_text(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def parse_labels(rows: DataFrame) -> DataFrame:
     """filename, phase from (filename, phases) with ``;`` or ``,`` between phases; a header row is left out."""
-    own = rows.filter(F.lower(F.trim("filename")) != "filename")
+    own = rows.filter(~F.lower(F.trim("filename")).isin("filename", "file", "name"))
     phases = F.transform(F.split(F.regexp_replace("phases", ";", ","), ","), lambda p: F.trim(p))
     return own.select(F.trim("filename").alias("filename"), F.explode(phases).alias("phase")).filter("phase <> ''")
 

@@ -70,22 +70,31 @@ def append_sink(stream: DataFrame, path: str, checkpoint: str):
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def rolling_analysis(stream: DataFrame, analyse: Callable[[DataFrame, int], None], checkpoint: str, every: int = 3):
-    """Collect new rows and call ``analyse`` with the rows of every ``every`` batches that had any."""
-    held: list[DataFrame] = []
+def rolling_analysis(stream: DataFrame, analyse: Callable[[DataFrame, int], None], folder: str, every: int = 3) -> None:
+    """Run a bounded stream to its end; ``analyse`` gets the rows of every ``every`` batches that had any, and at the end what is left.
+
+    Rows wait in a table below ``folder``, and a mark tells the last batch that was analysed, so a run that was broken off loses
+    nothing. The second argument of ``analyse`` is that batch's number: it may come twice with the same rows after a failure.
+    """
+    spark, held, marks = stream.sparkSession, f"{folder}/held", f"{folder}/marks"
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{held}/batch=-1")
+    spark.range(-1, 0).write.mode("append").parquet(marks)
+
+    def flush(least: int) -> None:
+        done = spark.read.parquet(marks).agg(F.max("id")).first()[0]
+        rows = spark.read.schema(stream.schema.add("batch", "long")).parquet(held).filter(F.col("batch") > done)
+        n, last = rows.agg(F.countDistinct("batch"), F.max("batch")).first()
+        if n >= least:
+            analyse(rows.drop("batch"), last)
+            spark.range(last, last + 1).write.mode("append").parquet(marks)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        held.append(batch)
-        if len(held) >= every:
-            whole = held[0]
-            for b in held[1:]:
-                whole = whole.unionByName(b)
-            analyse(whole, batch_id)
-            held.clear()
-
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        if not batch.isEmpty():
+            batch.write.mode("overwrite").parquet(f"{held}/batch={batch_id}")
+            flush(every)
+
+    stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    flush(1)
 
 
 def stream_tracks(obs: DataFrame, factor: float = 1.5, max_gap: int = 1) -> DataFrame:

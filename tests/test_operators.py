@@ -186,3 +186,48 @@ def test_carry_seeds_along_the_whole_path(spark):
     # 502: 3.08 is missed; 503: both; 504: a flagged detection stands near the first (2.19), so only the second is added;
     # 505: one seed and two before, so it stays; 510 starts anew.
     assert got == detected | {(502, 3.08, True), (503, 2.14, True), (503, 3.12, True), (504, 3.16, True), (505, 3.16, True), (601, 5.0, True)}
+
+
+def test_pressure_names(spark):
+    """Names as they come from beamlines: units, decimal marks, separators, folders; dates and bare numbers are none."""
+    cases = {
+        "UOTe-1GPa-001.tif": 1.0, "UOTe-1p5GPa_002.tif": 1.5, "UOTe-3p9GPa.tif": 3.9, "1 GPa/UOTe-005.tif": 1.0, "1 GPa\\UOTe-006.tif": 1.0, "scan_500MPa.tif": 0.5,
+        "run-10kbar.cbf": 1.0, "x-2Mbar.tif": 200.0, "sample_12.5GPa_cold.tif": 12.5, "12_GPa.tif": 12.0, "7-GPa/a.tif": 7.0, "3 _ GPa.tif": 3.0, "UOTe-noP-001.tif": None, "20240101_run001.tif": None,
+    }
+    own = spark.createDataFrame([(x,) for x in cases], "t string")
+    for r in own.select("t", C.pressure_from_path(F.col("t")).alias("p")).collect():
+        assert r.p == (pytest.approx(cases[r.t]) if cases[r.t] is not None else None), r.t
+
+
+def test_rolling_analysis_takes_all_rows(spark, tmp_path):
+    """Four batches of ten rows, analysed by threes: the last one is not lost, and a second run goes on with new rows only."""
+    from framelens.streaming import live
+
+    source, seen = str(tmp_path / "in"), []
+    analyse = lambda rows, last: seen.append(sorted(r.id for r in rows.collect()))
+    for k in range(4):
+        spark.range(10 * k, 10 * k + 10).coalesce(1).write.mode("append").parquet(source)
+    stream = lambda: spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(source)
+    live.rolling_analysis(stream(), analyse, str(tmp_path / "live"), every=3)
+    assert [len(x) for x in seen] == [30, 10] and sorted(sum(seen, [])) == list(range(40))
+    spark.range(40, 45).coalesce(1).write.mode("append").parquet(source)
+    live.rolling_analysis(stream(), analyse, str(tmp_path / "live"), every=3)
+    assert seen[2:] == [list(range(40, 45))]
+
+
+def test_histogram_names(spark):
+    from framelens.operators import matching
+
+    aliases = spark.createDataFrame([(1, "scan001_A"), (2, "scan001_AB"), (3, "scan002"), (4, "abc"), (5, "scan002")], "frame long, alias string")
+    names = spark.createDataFrame([("PWDR scan001-AB.xy",), ("x scan001 a",), ("SCAN002!",), ("frame_17 abc",), ("none",)], "histogram string")
+    got = {r.histogram: (r.frame, r.ambiguous) for r in matching.histogram_to_frames(names, aliases).collect()}
+    assert got == {"PWDR scan001-AB.xy": (2, 1), "x scan001 a": (1, 1), "SCAN002!": (3, 2), "frame_17 abc": (17, 0), "none": (None, 0)}
+    assert matching.histogram_to_frames(names, aliases.limit(0)).filter("ambiguous > 0").count() == 0
+
+
+def test_metadata_headers():
+    from framelens.sources.text import METADATA, METADATA_ALIASES
+
+    for header, column in (("idx", "frame"), ("fname", "filename"), ("gpa", "pressure"), ("dp", "pressure_sigma"), ("temp_k", "temperature"), ("pos_x_mm", "pos_x"), ("samy", "pos_y")):
+        assert METADATA_ALIASES[header] == column
+    assert set(METADATA_ALIASES.values()) == set(METADATA)
