@@ -121,7 +121,7 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def packed() -> pd.DataFrame:
         texts = [x[3] for x in rows]
-        data = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
+        data = zstandard.ZstdCompressor(level=7).compress(b"".join(texts))
         return pd.DataFrame([(block, *[[x[k] for x in rows] for k in range(3)], [len(x) for x in texts], data)], columns=["block", "doc_ids", "row_keys", "langs", "sizes", "texts"])
 
     for batch in batches:
@@ -147,20 +147,22 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for block, langs, sizes, packed in zip(batch["block"], batch["langs"], batch["sizes"], batch["texts"]):
             waiting: dict[str, list] = {}
-
-            def told(lang: str) -> pd.DataFrame:
-                grams, n = np.unique(np.concatenate(waiting.pop(lang)), return_counts=True)
-                return pd.DataFrame({"block": block, "model_lang": lang, "gram": grams, "n": n})
-
             size: dict[str, int] = {}
             for lang, text in zip(langs, _texts(packed, sizes)):
-                waiting.setdefault(lang, []).append(point_trigrams(text))
+                waiting.setdefault(lang, []).append((point_trigrams(text), None))
                 size[lang] = size.get(lang, 0) + len(text)
                 if size[lang] >= SCORED_CHARS:
-                    yield told(lang)
-                    size[lang] = 0
-            for lang in list(waiting):
-                yield told(lang)
+                    waiting[lang], size[lang] = [_added(waiting[lang])], 0
+            for lang, parts in waiting.items():
+                grams, n = _added(parts)
+                yield pd.DataFrame({"block": block, "model_lang": lang, "gram": grams, "n": n})
+
+
+def _added(parts: list[tuple[np.ndarray, np.ndarray | None]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of several arrays and their counts; without counts each n-gram is one."""
+    grams, back = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+    n = np.bincount(back, np.concatenate([np.ones(len(g)) if n is None else n for g, n in parts]))
+    return grams, n.astype(np.int64)
 
 
 ROW = ["c", "t", "n1", "n2", "n3"]
@@ -286,7 +288,7 @@ def features(docs: DataFrame, shelf: Shelf) -> DataFrame:
     blocks = shelf.put(slim.mapInPandas(_blocks, BLOCKS))
     counts = shelf.put(blocks.mapInPandas(_counted, "block long, model_lang string, gram long, n long"))
     orders, met = model_tables(counts, shelf)
-    wanted = counts.select("block", "model_lang", F.col("gram").alias("key")).distinct()
+    wanted = counts.select("block", "model_lang", F.col("gram").alias("key"))  # each once: a block is counted as a whole
     sent = wanted.select("block", "model_lang").distinct().join(met, "model_lang").withColumn("ord", F.lit(0))
     for order, mask in ((3, None), (2, TWO), (1, ONE)):
         own = wanted if mask is None else wanted.select("block", "model_lang", F.col("key").bitwiseAND(F.lit(mask)).alias("key")).distinct()
