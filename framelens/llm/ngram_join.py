@@ -353,7 +353,8 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
 def keep_one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose doc_id names its component: one document of each group of similar ones.
 
-    Of rows that repeat that doc_id all stay. Texts without words are in no group and stay.
+    Of rows that repeat that doc_id all stay; rows of any other doc_id of the group go. Null, empty and blank texts have no words,
+    are in no group and stay, as do all rows with a null doc_id. An empty table gives no rows.
     """
     groups = similar_groups(docs.select("doc_id", "text"), n, percent)
     gone = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()

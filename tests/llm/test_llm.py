@@ -103,6 +103,29 @@ def test_op3(spark, odd):
     assert sorted((r.doc_id, r.shard, r.slot) for r in rows) == sorted((r.doc_id, r.shard, r.slot) for r in sharding.shard(docs.repartition(5), 7).collect())
 
 
+def md5_number(*parts):
+    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:15], 16)
+
+
+@pytest.mark.parametrize("shards", [7, 40])
+def test_op3_order(spark, shards):
+    """Shard and slot of every row by plain sorting: seeded order within each source, fractions of all, equal cuts."""
+    rows, per = duckdb.sql(f"SELECT doc_id, coalesce(text, ''), source FROM '{TABLES}/documents.parquet'").fetchall(), defaultdict(list)
+    for i, t, source in rows:
+        raw = t.encode()
+        per["~" if source is None else f"={source}"].append((md5_number(17, i, zlib.crc32(raw)), zlib.crc32(raw), len(raw) + 16, i))
+    order = []
+    for stratum, own in per.items():
+        phase = md5_number(17, "phase", stratum) / 2**60
+        order += [((rank + phase) / len(own), stratum, *tie) for rank, tie in enumerate(sorted(own))]
+    want = {}
+    for position, (*_, i) in enumerate(sorted(order)):
+        at = position * shards // len(rows)
+        want[i] = (at, position - -(-at * len(rows) // shards))
+    got = {r.doc_id: (r.shard, r.slot) for r in sharding.shard(spark.read.parquet(f"{TABLES}/documents.parquet").repartition(5), shards).collect()}
+    assert got == want
+
+
 def brute_surface(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
@@ -180,6 +203,22 @@ def test_op6(spark, odd):
         assert got[i].kept_sha256 == hashlib.sha256(kept).hexdigest()
 
 
+def test_op6_documents(spark):
+    """All documents by strings of 100 bytes, against a set of all strings seen before."""
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in queries.QUERIES["op6_suffix_dedup"](spark, TABLES).collect()}
+    seen = set()
+    for i, t in documents():
+        raw = (t or "").encode()
+        gone = bytearray(len(raw))
+        for k in range(len(raw) - 99):
+            h = hashlib.blake2b(raw[k : k + 100], digest_size=12).digest()
+            if h in seen:
+                gone[k : k + 100] = b"\1" * 100
+            seen.add(h)
+        kept = bytes(x for x, g in zip(raw, gone) if not g)
+        assert got[i] == (len(raw), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()), i
+
+
 def test_op6_suffix_sort():
     import numpy as np
 
@@ -306,8 +345,7 @@ def test_pipeline(spark, odd, clashing, empty):
     import corpus_pipeline as P
 
     assert [n for n, _ in P.STAGES] == ["quality rules", "exact copies", "near copies", "mixture", "tokens"]
-    docs = spark.read.parquet(f"{TABLES}/documents.parquet").limit(60)
-    for own in (docs, odd, empty):
+    for own in (odd, clashing, empty):
         out = own
         for name, stage in P.STAGES[:-1]:
             out = stage(spark, out, TABLES)
@@ -318,6 +356,72 @@ def test_pipeline(spark, odd, clashing, empty):
         assert Counter((r.doc_id, r.decoded_sha256) for r in last) == Counter((r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in out.collect())
 
 
+def test_pipeline_stages(spark):
+    """Each stage on all that the one before kept, against brute force."""
+    import corpus_pipeline as P
+    import tiktoken
+
+    stages, docs = dict(P.STAGES), spark.read.parquet(f"{TABLES}/documents.parquet")
+    rows = {r.doc_id: r for r in docs.collect()}
+
+    def run(name, ids):
+        out = stages[name](spark, spark.createDataFrame([rows[i] for i in ids], docs.schema), TABLES)
+        assert out.columns == docs.columns
+        found = out.collect()
+        assert all(rows[r.doc_id] == r for r in found)
+        return [r.doc_id for r in found]
+
+    good = sorted(r.doc_id for r in quality.quality_rules(docs).collect() if r.kept)
+    assert sorted(run("quality rules", rows)) == good and len(good) < len(rows)
+
+    best = {}
+    for i in good:
+        key = SPACE.sub("", rows[i].text)
+        best[key] = min(best.get(key, (0, i)), (-len(rows[i].text), i)) if key in best else (-len(rows[i].text), i)
+    single = sorted(i for _, i in best.values())
+    assert sorted(run("exact copies", good)) == single and len(single) < len(good)
+
+    lower = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+    sets = {}
+    for i in single:
+        w = rows[i].text.encode().translate(lower).split()
+        sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+    parent = {i: i for i in single}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(single, 2):
+        both = len(sets[a] & sets[b]) if sets[a] and sets[b] else 0
+        if both and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+    near = sorted(i for i in single if find(i) == i)
+    assert sorted(run("near copies", single)) == near and len(near) < len(single)
+
+    sizes = Counter(rows[i].source for i in near)
+    whole = sum(n**0.7 for n in sizes.values())
+    want = Counter()
+    for i in near:
+        n = sizes[rows[i].source]
+        rate, uniform, k = round(len(near) * n**0.7 / whole / n, 9), md5_number(23, i) / 2**60, 0
+        total = term = math.exp(-rate)
+        while total <= uniform:
+            k += 1
+            term = term * rate / k
+            total += term
+        want[i] = k
+    mixed = run("mixture", near)
+    assert Counter(mixed) == +want
+
+    path, pattern = tokenizer()
+    library = tiktoken.Encoding("x", pat_str=pattern, mergeable_ranks=byte_bpe.read_ranks(path), special_tokens={})
+    last = stages["tokens"](spark, spark.createDataFrame([rows[i] for i in mixed], docs.schema), TABLES).collect()
+    assert Counter((r.doc_id, tuple(r.ids)) for r in last) == Counter((i, tuple(library.encode_ordinary(rows[i].text))) for i in mixed)
+
+
 def test_op4_model_of_whole_code_points(spark):
     """Scores of each language by all its other documents, against the definition; no symbols are folded."""
     rng = random.Random(3)
