@@ -18,27 +18,27 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go, so do null and empty texts (no words); equal rows stay or go together."""
     return quality.keep_good(docs)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One of all documents with the same text but for white space stays."""
+    """One of all documents with the same text but for white space stays: the most code points, then the smallest doc_id (null first); of equal rows one."""
     return exact_dedup.drop_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity of 0.8 or more) stays."""
+    """One document of each group of near copies (five-word shingles, similarity of 0.8 or more) stays; texts without words and null ids stay."""
     return ngram_join.keep_one_of_each(docs, n=5, percent=80)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources weigh their number of documents to the power 0.7; a document may be left out or repeated."""
+    """Sources (null is one) weigh their number of documents to the power 0.7; a document may be left out or repeated."""
     return mixing.mix(docs, power=0.7).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and the digests of ids and decoded bytes of each row."""
+    """doc_id, n_tokens, ids and the digests of ids and decoded bytes of each row; a null text counts as empty."""
     return byte_bpe.encode_and_decode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, with_ids=True)
 
 
