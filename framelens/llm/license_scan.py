@@ -1,6 +1,7 @@
 """Licence scans: texts against licence templates by the Dice coefficient of their word bigrams.
 
-Each line of a document, and the document as a whole, is normalised (ASCII letters in lower case, everything
+Each line of a document, each paragraph of several lines (licences are wrapped, and comment marks stand before their
+lines), and the document as a whole, is normalised (ASCII letters in lower case, everything
 but letters and digits a space) and turned into its set of word bigrams. Dice is twice the shared bigrams over
 the sum of both sizes, so a template can reach the threshold t only if its size lies between t / (2 - t) and
 (2 - t) / t times the size of the text's set: these bounds leave few templates for each line. They also mean that a
@@ -40,8 +41,22 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("MIT", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("BSD", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("BSD", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("ISC", "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("Zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
+    ("Unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 )
 
+#: What parts paragraphs: lines without a letter or digit.
+BREAK = r"\n[^A-Za-z0-9]*\n"
+
 
 def _plain(text: str) -> list[str]:
     return "".join(c.lower() if c.isascii() and c.isalnum() else " " for c in text).split()
@@ -112,26 +127,34 @@ def _found(line: Column, templates: Column, threshold: float) -> Column:
 
 
 def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
-    """A row for each document: doc_id, licence, dice, n_matches, licences, whole.
+    """A row for each document: doc_id, licence, dice, n_matches, n_paragraphs, licences, whole.
 
-    ``licences`` has the distinct licences of all lines with a template at ``threshold`` or more, sorted and
-    joined by commas (empty: none), ``n_matches`` the number of such lines, ``licence`` and ``dice`` the best
-    match of a line or of the whole text (ties: the first template), and ``whole`` tells if the whole text
-    matches one. A text with fewer than two words, an empty and a null text match nothing; repeated rows are
+    Paragraphs are parted by lines without a letter or digit of ASCII; those with two lines that have one are judged.
+    ``licences`` has the distinct licences of all lines and paragraphs with a template at ``threshold`` or more, sorted
+    and joined by commas (empty: none), ``n_matches`` the number of such lines, ``n_paragraphs`` that of such
+    paragraphs, ``licence`` and ``dice`` the best match of a line, a paragraph or the whole text (ties: the first
+    template), and ``whole`` tells if the whole text matches one. A text with fewer than two words, an empty and a null text match nothing; repeated rows are
     judged alike; an empty table gives no rows. Other columns are ignored.
     """
     known = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(name).alias("name"), F.lit(len(grams)).alias("n"), F.array(*map(F.lit, grams)).alias("grams")) for i, name, grams in template_grams(templates)])
     text = text_of()
     triggers = trigger_words(templates, threshold)
     kind = "struct<dice:double,rank:int,licence:string>"
-    near = F.filter(F.split(text, "\n"), lambda x: _has_trigger(x, triggers))
-    matches = F.filter(F.transform(near, lambda x: _found(x, known, threshold)), lambda m: m.isNotNull())
+    none = F.array().cast(f"array<{kind}>")
     any_at_all = _has_trigger(text, triggers)
-    lines = F.when(any_at_all, matches).otherwise(F.array().cast(f"array<{kind}>"))
+
+    def matches(units: Column) -> Column:
+        return F.when(any_at_all, F.filter(F.transform(units, lambda x: _found(x, known, threshold)), lambda m: m.isNotNull())).otherwise(none)
+
+    def wrapped(x: Column) -> Column:
+        return F.size(F.filter(F.split(x, "\n"), lambda line: line.rlike("[A-Za-z0-9]"))) > 1
+
+    lines = F.filter(F.split(text, "\n"), lambda x: _has_trigger(x, triggers))
+    paragraphs = F.filter(F.split(text, BREAK), lambda x: _has_trigger(x, triggers) & wrapped(x))
     whole = F.when(any_at_all & (F.instr(text, "\n") > 0), _found(text, known, threshold))
-    found = docs.select("doc_id", lines.alias("lines"), whole.alias("all"))
-    best = F.array_max(F.concat("lines", F.when(F.col("all").isNotNull(), F.array("all")).otherwise(F.array().cast(f"array<{kind}>"))))
+    found = docs.select("doc_id", matches(lines).alias("lines"), matches(paragraphs).alias("paragraphs"), whole.alias("all"))
+    best = F.array_max(F.concat("lines", "paragraphs", F.when(F.col("all").isNotNull(), F.array("all")).otherwise(none)))
     return found.select(
-        "doc_id", best["licence"].alias("licence"), F.round(best["dice"], 6).alias("dice"), F.size("lines").cast("long").alias("n_matches"),
-        F.array_join(F.array_sort(F.array_distinct(F.transform("lines", lambda m: m["licence"]))), ",").alias("licences"), F.col("all").isNotNull().alias("whole"),
+        "doc_id", best["licence"].alias("licence"), F.round(best["dice"], 6).alias("dice"), F.size("lines").cast("long").alias("n_matches"), F.size("paragraphs").cast("long").alias("n_paragraphs"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform(F.concat("lines", "paragraphs"), lambda m: m["licence"]))), ",").alias("licences"), F.col("all").isNotNull().alias("whole"),
     )

@@ -88,16 +88,18 @@ def _op7_sql() -> str:
     return rf"""
 WITH t(i, name, grams) AS (VALUES {grams}),
 units AS (
-  SELECT doc_id, false AS whole, unnest(string_split(coalesce(text, ''), chr(10))) AS unit FROM documents
-  UNION ALL SELECT doc_id, true, text FROM documents WHERE contains(text, chr(10))),
-words AS (SELECT doc_id, whole, list_filter(regexp_split_to_array(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM units),
+  SELECT doc_id, 'line' AS kind, unnest(string_split(coalesce(text, ''), chr(10))) AS unit FROM documents
+  UNION ALL SELECT * FROM (SELECT doc_id, 'paragraph', unnest(regexp_split_to_array(text, '{license_scan.BREAK}')) AS unit FROM documents WHERE contains(text, chr(10)))
+    WHERE len(list_filter(string_split(unit, chr(10)), lambda x: regexp_matches(x, '[A-Za-z0-9]'))) > 1
+  UNION ALL SELECT doc_id, 'whole', text FROM documents WHERE contains(text, chr(10))),
+words AS (SELECT doc_id, kind, list_filter(regexp_split_to_array(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM units),
 small AS (SELECT row_number() OVER () AS unit_id, * FROM words WHERE len(w) > 1),
-sets AS (SELECT unit_id, doc_id, whole, list_distinct(list_transform(range(1, len(w)), lambda j: w[j] || ' ' || w[j + 1])) AS g FROM small),
-scored AS (SELECT unit_id, doc_id, whole, i, name, 2.0::DOUBLE * len(list_intersect(t.grams, g)) / (len(t.grams) + len(g)) AS dice FROM sets, t WHERE len(t.grams) * 5 <= len(g) * 7.5 + 0.001 AND len(t.grams) * 7.5 + 0.001 >= len(g) * 5),
+sets AS (SELECT unit_id, doc_id, kind, list_distinct(list_transform(range(1, len(w)), lambda j: w[j] || ' ' || w[j + 1])) AS g FROM small),
+scored AS (SELECT unit_id, doc_id, kind, i, name, 2.0::DOUBLE * len(list_intersect(t.grams, g)) / (len(t.grams) + len(g)) AS dice FROM sets, t WHERE len(t.grams) * 5 <= len(g) * 7.5 + 0.001 AND len(t.grams) * 7.5 + 0.001 >= len(g) * 5),
 best AS (SELECT * FROM scored WHERE dice >= 0.8 QUALIFY row_number() OVER (PARTITION BY unit_id ORDER BY dice DESC, i) = 1),
-docs AS (SELECT doc_id, arg_min(name, struct_pack(d := -dice, i := i)) AS licence, round(max(dice), 6) AS dice, count(*) FILTER (NOT whole) AS n_matches,
-  coalesce(string_agg(DISTINCT name, ',' ORDER BY name) FILTER (NOT whole), '') AS licences, bool_or(whole) AS whole FROM best GROUP BY doc_id)
-SELECT d.doc_id, licence, dice, coalesce(n_matches, 0)::BIGINT AS n_matches, coalesce(licences, '') AS licences, coalesce(whole, false) AS whole FROM documents d LEFT JOIN docs USING (doc_id)
+docs AS (SELECT doc_id, arg_min(name, struct_pack(d := -dice, i := i)) AS licence, round(max(dice), 6) AS dice, count(*) FILTER (kind = 'line') AS n_matches, count(*) FILTER (kind = 'paragraph') AS n_paragraphs,
+  coalesce(string_agg(DISTINCT name, ',' ORDER BY name) FILTER (kind <> 'whole'), '') AS licences, bool_or(kind = 'whole') AS whole FROM best GROUP BY doc_id)
+SELECT d.doc_id, licence, dice, coalesce(n_matches, 0)::BIGINT AS n_matches, coalesce(n_paragraphs, 0)::BIGINT AS n_paragraphs, coalesce(licences, '') AS licences, coalesce(whole, false) AS whole FROM documents d LEFT JOIN docs USING (doc_id)
 """
 
 

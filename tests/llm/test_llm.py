@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -240,6 +241,20 @@ def test_op7_templates(spark, odd):
         assert r.licence == license_scan.TEMPLATES[r.doc_id][0]
 
 
+def test_op7_wrapped(spark):
+    """Licences wrapped over lines are found by their paragraphs, with and without comment marks before the lines."""
+    mit = [t for name, t in license_scan.TEMPLATES if name == "MIT"][2:]
+    plain = "\n\n".join(textwrap.fill(x, 76) for x in ["MIT License", "Copyright (c) 2020 Some One", *mit])
+    bsd = [t for name, t in license_scan.TEMPLATES if name == "BSD"]
+    marked = "/*\n" + "\n *\n".join(textwrap.fill(x, 72, initial_indent=" * ", subsequent_indent=" * ") for x in [bsd[4], bsd[5]]) + "\n */\nint main;\n"
+    rows = [(1, plain), (2, marked), (3, "\n".join(["some lines", "on no license"] * 50)), (4, "\n" * 1000 + "x\n"), (5, "Released under the\nMIT License.")]
+    got = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1].licences, got[1].n_paragraphs, got[1].n_matches) == ("MIT", 3, 0)
+    assert (got[2].licences, got[2].n_paragraphs) == ("BSD", 2)
+    assert (got[3].licences, got[3].n_paragraphs, got[4].n_paragraphs) == ("", 0, 0)
+    assert (got[5].licences, got[5].n_paragraphs, got[5].whole) == ("MIT", 1, True)
+
+
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
