@@ -119,6 +119,25 @@ def best_pressure(scored: DataFrame) -> DataFrame:
     return scored.groupBy("frame", "phase").agg(top.alias("t")).select("frame", "phase", F.col("t.score").alias("score"), (-F.col("t.neg")).alias("pressure"), F.col("t.n_near").alias("n_near"))
 
 
+def pressure_windows(frames: DataFrame, k: float = 2.0, default: float = 2.0) -> DataFrame:
+    """frame, prior, half of the frames (frame, prior, prior_sigma) with a prior: k sigmas, ``default`` without a sigma, at least 0.3."""
+    sigma = F.col("prior_sigma") if "prior_sigma" in frames.columns else F.lit(None).cast("double")
+    return frames.filter("prior IS NOT NULL").select("frame", "prior", C.pressure_half_window(sigma, k, default).alias("half"))
+
+
+def phase_models(phases: DataFrame) -> DataFrame:
+    """name, model and assumption of each phase.
+
+    The model is axial_eos with an axial compressibility (column ``axial``), else eos with a bulk modulus, else
+    no_eos. The assumption is the phase's own (column ``assumption``) if it is a known one, else eos_based or eos_missing.
+    """
+    axial = F.coalesce("axial", F.lit(False)) if "axial" in phases.columns else F.lit(False)
+    model = F.when(axial, "axial_eos").when(F.col("k0").isNotNull(), "eos").otherwise("no_eos")
+    own = F.lower(F.trim("assumption")) if "assumption" in phases.columns else F.lit("")
+    known = own.isin("ambient_reference", "eos_missing", "ignore_prior")
+    return phases.select("name", model.alias("model"), F.when(known, own).when(model != "no_eos", "eos_based").otherwise("eos_missing").alias("assumption"))
+
+
 def run_identification(observed: DataFrame, frames: DataFrame, phases: DataFrame, reflections: DataFrame, rel_tol: float = 0.01, p_max: float = 60.0, n_grid: int = 61, zooms: int = 1) -> DataFrame:
     """frame, phase, pressure, score, n_matched, recall, precision, confidence of the best pressure of each phase.
 

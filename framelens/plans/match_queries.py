@@ -165,6 +165,23 @@ def run_identification(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("frame", "phase", "pressure", *_r("score"), "n_matched", *_r("recall", "precision", "confidence"))
 
 
+@query("""SELECT frame, pressure AS prior, round(greatest(CASE WHEN frame % 3 = 0 AND frame % 20 > 0 THEN 2e-1 * (frame % 20) ELSE 2e0 END, 3e-1), 9) AS half FROM v_frames WHERE pressure IS NOT NULL""", "v_frames")
+def pressure_window(spark: SparkSession, sf: str) -> DataFrame:
+    own = view(spark, sf, "v_frames").selectExpr("frame", "pressure AS prior", "CASE WHEN frame % 3 = 0 THEN 1e-1 * (frame % 20) END AS prior_sigma")
+    return O.pressure_windows(own).select("frame", "prior", *_r("half", n=9))
+
+
+@query("""WITH m AS (SELECT p_partkey AS name, CASE WHEN p_size % 5 = 0 THEN 'axial_eos' WHEN p_size % 3 = 0 THEN 'no_eos' ELSE 'eos' END AS model,
+CASE p_size % 7 WHEN 0 THEN 'ambient_reference' WHEN 1 THEN 'eos_missing' WHEN 2 THEN 'ignore_prior' END AS own FROM part)
+SELECT name, model, coalesce(own, CASE WHEN model = 'no_eos' THEN 'eos_missing' ELSE 'eos_based' END) AS assumption FROM m""")
+def phase_models(spark: SparkSession, sf: str) -> DataFrame:
+    own = table(spark, sf, "part").selectExpr(
+        "p_partkey AS name", "p_size % 5 = 0 AS axial", "CASE WHEN p_size % 3 <> 0 THEN p_retailprice END AS k0",
+        "CASE p_size % 7 WHEN 0 THEN 'Ambient_Reference' WHEN 1 THEN 'eos_missing' WHEN 2 THEN ' ignore_prior' WHEN 3 THEN 'other' END AS assumption",
+    )
+    return O.phase_models(own)
+
+
 @query("""SELECT frame, arg_max(phase, struct_pack(c := confidence, p := pressure, f := phase)) AS phase, max(struct_pack(c := confidence, p := pressure, f := phase)).p AS prior FROM v_identify WHERE phase = 'Au' AND n_matched >= 3 GROUP BY frame""", "v_identify")
 def marker_prior(spark: SparkSession, sf: str) -> DataFrame:
     return O.marker_prior(view(spark, sf, "v_identify"), phases(spark)).select("frame", "phase", "prior")
