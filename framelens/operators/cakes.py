@@ -227,10 +227,18 @@ def pair_difference(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def spot_mask(pixels: DataFrame, spots: DataFrame, half_q: float, half_azimuth: float) -> DataFrame:
-    """The pixels (frame, q, azimuth) inside the padded box of a spot of their frame: a band join with a circular distance."""
+    """The pixels (frame, q, azimuth) inside the padded box of a spot of their frame: a band join with a circular distance.
+
+    Boxes that repeat count once. A box goes to each sector of azimuths that it touches, a pixel to its own.
+    """
     from framelens.operators.matching import band_join
 
-    near = band_join(pixels, spots.select("frame", F.col("q").alias("sq"), F.col("azimuth").alias("sa")), ["frame"], "q", F.col("sq") - half_q, F.col("sq") + half_q, 0.25)
+    sectors = max(1, int(180 // half_azimuth)) if half_azimuth > 0 else 360
+    sector = lambda a: F.pmod(F.floor(a * sectors / 360), F.lit(sectors)).cast("long")
+    first, last = (F.floor((F.col("sa") + x) * sectors / 360) for x in (-half_azimuth - 1e-9, half_azimuth + 1e-9))
+    boxes = spots.select("frame", F.col("q").alias("sq"), F.col("azimuth").alias("sa")).distinct()
+    boxes = boxes.withColumn("sector", F.explode(F.array_distinct(F.transform(F.sequence(first, last), lambda s: F.pmod(s, F.lit(sectors)).cast("long")))))
+    near = band_join(pixels.withColumn("sector", sector(F.col("azimuth"))), boxes, ["frame", "sector"], "q", F.col("sq") - half_q, F.col("sq") + half_q, 0.25)
     around = F.abs(F.col("azimuth") - F.col("sa"))
     hit = near.filter(F.least(around, 360 - around) <= half_azimuth).select("frame", "row", "col").distinct()
     return pixels.join(hit, ["frame", "row", "col"], "left_semi")

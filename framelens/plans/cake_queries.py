@@ -182,11 +182,11 @@ def image_stats(spark: SparkSession, sf: str) -> DataFrame:
     return own.select("frame", "n", "lo", "hi", *_r("mean", "p50", "p99", "floor_share"))
 
 
-_SPOTS = "s AS (SELECT frame % 10 AS frame, round(1 + (id % 17) * 1e-1, 6) AS sq, (id % 36) * 10 - 180 AS sa FROM v_obs WHERE id % 50 = 0)"
+_SPOTS = "s AS (SELECT DISTINCT frame % 10 AS frame, round(1 + (id % 17) * 1e-1, 6) AS sq, (id % 36) * 10 - 180 AS sa FROM v_obs)"
 
 
 def _spots(spark: SparkSession, sf: str) -> DataFrame:
-    return view(spark, sf, "v_obs").filter("id % 50 = 0").selectExpr("frame % 10 AS frame", "round(1 + (id % 17) * 1e-1, 6) AS q", "(id % 36) * 10 - 180 AS azimuth")
+    return view(spark, sf, "v_obs").selectExpr("frame % 10 AS frame", "round(1 + (id % 17) * 1e-1, 6) AS q", "(id % 36) * 10 - 180 AS azimuth")
 
 
 @query(f"WITH {_GEO}, {_SPOTS} SELECT DISTINCT b.frame, row, col FROM b WHERE EXISTS (SELECT 1 FROM s WHERE s.frame = b.frame AND abs(q - sq) <= 5e-2 AND least(abs(azimuth - sa), 360 - abs(azimuth - sa)) <= 3)", "v_pixels", "v_obs")

@@ -24,18 +24,18 @@ def _r(*names: str, n: int = 6) -> list:
 _ORDER = "ord AS (SELECT frame, CASE WHEN pressure IS NULL THEN 'f' || frame ELSE 'g' || scan END AS path, row_number() OVER (PARTITION BY CASE WHEN pressure IS NULL THEN 'f' || frame ELSE 'g' || scan END ORDER BY pressure, frame) AS step FROM v_frames)"
 
 
-@query(f"""WITH {_ORDER}, d AS (SELECT DISTINCT frame, round(center, 6) AS center FROM v_peaks WHERE flag = 0 AND phase <> '' AND frame < 400), p AS (SELECT d.*, path, step FROM d JOIN ord USING (frame)),
+@query(f"""WITH {_ORDER}, d AS (SELECT DISTINCT frame, round(center, 6) AS center FROM v_peaks WHERE flag = 0 AND phase <> ''), p AS (SELECT d.*, path, step FROM d JOIN ord USING (frame)),
 n AS (SELECT o.frame, p.center AS c FROM p JOIN ord o ON o.path = p.path AND o.step = p.step + 1), s AS (SELECT DISTINCT frame, c AS center FROM n WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.frame = n.frame AND abs(p.center - n.c) <= 5e-2))
 SELECT frame, center, false AS seeded FROM p UNION ALL SELECT frame, center, true FROM s""", "v_frames", "v_peaks")
 def seed_recovery(spark: SparkSession, sf: str) -> DataFrame:
     order = FR.seed_order(view(spark, sf, "v_frames"), "scan", "pressure")
-    own = view(spark, sf, "v_peaks").filter("flag = 0 AND phase <> '' AND frame < 400").select("frame", F.round("center", 6).alias("center")).distinct().withColumn("good", F.lit(True))
+    own = view(spark, sf, "v_peaks").filter("flag = 0 AND phase <> ''").select("frame", F.round("center", 6).alias("center")).distinct().withColumn("good", F.lit(True))
     return T.seed_recovery(own, order, 0.05, 1)
 
 
 @query()
 def seed_recovery_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """The seeds of all frames, carried along whole paths; seed_recovery is the form that its SQL expresses."""
+    """Seeds carried along whole paths, with extrapolation and axis gaps; seed_recovery is the one round that SQL expresses."""
     order = FR.seed_order(view(spark, sf, "v_frames"), "scan", "pressure").withColumn("x", F.col("pressure"))
     own = view(spark, sf, "v_peaks").select("frame", "center", (F.col("flag").eqNullSafe(0) & (F.col("phase") != "")).alias("good"))
     lo, hi = own.agg(F.min("center"), F.max("center")).first()

@@ -33,11 +33,12 @@ def link_tracks(spark: SparkSession, sf: str) -> DataFrame:
     return O.link_tracks(observations(spark, sf), least=3).select("grp", "island", "track", "id", "x", *_r("center"))
 
 
-_POINTS = "pts AS (SELECT DISTINCT l_suppkey % 40 AS track, l_orderkey % 60 AS frame FROM lineitem WHERE (l_partkey + l_suppkey) % 13 = 0)"
+_POINTS = "pts AS (SELECT DISTINCT track, o % 60 + 60 * (track % 7) AS frame FROM (SELECT (l_partkey + l_suppkey) % 13 * 40 + l_suppkey % 40 AS track, l_orderkey AS o FROM lineitem))"
 
 
 def _points(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").filter("(l_partkey + l_suppkey) % 13 = 0").selectExpr("l_suppkey % 40 AS track", "l_orderkey % 60 AS frame").distinct()
+    own = table(spark, sf, "lineitem").selectExpr("(l_partkey + l_suppkey) % 13 * 40 + l_suppkey % 40 AS track", "l_orderkey AS o")
+    return own.selectExpr("track", "o % 60 + 60 * (track % 7) AS frame").distinct()
 
 
 @query(f"""WITH RECURSIVE {_POINTS}, n AS (SELECT track, count(*) AS n FROM pts GROUP BY 1), j AS (SELECT a.track AS a, b.track AS b, count(*) AS k FROM pts a JOIN pts b ON a.frame = b.frame AND a.track <> b.track GROUP BY 1, 2),
