@@ -161,7 +161,8 @@ def score_lines(spark: SparkSession, sf: str) -> DataFrame:
 def run_identification(spark: SparkSession, sf: str) -> DataFrame:
     own = observed_once(spark, sf)
     frames = own.select("frame").distinct().withColumn("excluded", F.expr("frame % 17 = 0"))
-    out = O.run_identification(own, frames, phases(spark), reflections_of(spark), n_grid=21, zooms=1)
+    windows = O.pressure_windows(view(spark, sf, "v_frames").selectExpr("frame", "pressure AS prior"))
+    out = O.run_identification(own, frames, phases(spark), reflections_of(spark), n_grid=21, zooms=1, windows=windows)
     return out.select("frame", "phase", "pressure", *_r("score"), "n_matched", *_r("recall", "precision", "confidence"))
 
 

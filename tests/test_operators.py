@@ -231,3 +231,61 @@ def test_metadata_headers():
     for header, column in (("idx", "frame"), ("fname", "filename"), ("gpa", "pressure"), ("dp", "pressure_sigma"), ("temp_k", "temperature"), ("pos_x_mm", "pos_x"), ("samy", "pos_y")):
         assert METADATA_ALIASES[header] == column
     assert set(METADATA_ALIASES.values()) == set(METADATA)
+
+
+def _gold(spark, frames_):
+    """Lines of gold: each of ``frames_`` (frame, pressure, lines) shows its first lines at its pressure."""
+    gold = phases(spark).filter("name = 'Au'")
+    lines = matching.cubic_reflections(gold, top=8).select("phase", "line", "d0", "weight")
+    shown = spark.createDataFrame(frames_, "frame long, pressure double, n int")
+    all_lines = matching.predict_lines(lines, gold, shown.selectExpr("'Au' AS phase", "pressure").distinct())
+    return gold, lines, shown.join(all_lines, "pressure").filter("line <= n").selectExpr("frame", "CAST(pressure * 100 + line AS BIGINT) AS obs", "d", "0e0 AS err")
+
+
+def test_prior_rejects_a_decoy(spark):
+    """Eight lines at 50 GPa hide five at 20; a prior finds those, unless the phase ignores priors."""
+    gold, lines, seen = _gold(spark, [(f, p, n) for f in (1, 2) for p, n in ((50.0, 8), (20.0, 5))])
+    live = spark.createDataFrame([(1, False), (2, False)], "frame long, excluded boolean")
+    windows = matching.pressure_windows(spark.createDataFrame([(1, 21.0)], "frame long, prior double"))
+    find = lambda own: {r.frame: r for r in matching.run_identification(seen, live, own, lines, rel_tol=0.002, n_grid=61, windows=windows).collect()}
+    got = find(gold)
+    assert got[1].pressure == pytest.approx(20, abs=0.3) and got[2].pressure == pytest.approx(50, abs=0.3)
+    # Half a window of 2 GPa: the confidence is that of the matches, lowered by the distance from the prior.
+    plain = C.confidence(F.lit(got[1].recall), F.lit(got[1].precision), F.lit(got[1].n_matched), F.lit(math.exp(-0.5 * ((got[1].pressure - 21) / 2) ** 2)), F.lit(1.0))
+    assert got[1].confidence == pytest.approx(spark.range(1).select(plain).first()[0])
+    free = find(gold.withColumn("assumption", F.lit("ignore_prior")))
+    assert free[1].pressure == pytest.approx(50, abs=0.3)
+
+
+def test_identification_of_a_frame_alone(spark):
+    """A frame's pressure is the same alone as among others, with and without priors."""
+    gold, lines, seen = _gold(spark, [(f, 3.0 + 5.3 * f, 4 + f % 4) for f in range(10)])
+    live = spark.range(10).selectExpr("id AS frame", "false AS excluded")
+    windows = matching.pressure_windows(live.filter("frame % 3 = 0").selectExpr("frame", "4e0 + 5.3D * frame AS prior"))
+    find = lambda own: {r.frame: (r.pressure, r.score, r.confidence) for r in matching.run_identification(own, live, gold, lines, n_grid=13, windows=windows).collect()}
+    got = find(seen)
+    assert len(got) == 10 and all(abs(p - (3.0 + 5.3 * f)) < 1 for f, (p, _, _) in got.items())
+    for f in (0, 4):
+        assert find(seen.filter(f"frame = {f}")) == {f: got[f]}
+
+
+def test_a_phase_without_eos_stays_at_zero(spark):
+    gold, lines, seen = _gold(spark, [(1, 0.0, 6), (2, 0.0, 6)])
+    live = spark.createDataFrame([(1, False), (2, False)], "frame long, excluded boolean")
+    rigid = gold.withColumn("k0", F.lit(None).cast("double"))
+    windows = matching.pressure_windows(spark.createDataFrame([(1, 4.0)], "frame long, prior double"))
+    got = {r.frame: r for r in matching.run_identification(seen, live, rigid, lines, windows=windows).collect()}
+    assert got[1].pressure == got[2].pressure == 0 and got[1].n_matched == got[2].n_matched == 6
+    assert got[1].confidence == pytest.approx(got[2].confidence * math.exp(-2))
+
+
+def test_spot_mask_across_the_seam(spark):
+    """Against a loop over all pixels and boxes, some of them across +-180 degrees, repeated ones included."""
+    rng = random.Random(5)
+    pixels = [(f, r, c, rng.uniform(0, 3), rng.uniform(-180, 180)) for f in range(2) for r in range(12) for c in range(12)]
+    spots = [(f, rng.uniform(0, 3), a) for f in range(2) for a in (-180.0, 179.0, -177.5, 0.0, 90.0) for _ in range(4)]
+    own = spark.createDataFrame(pixels, "frame int, row int, col int, q double, azimuth double")
+    boxes = spark.createDataFrame(spots + spots, "frame int, q double, azimuth double")
+    for half in (3.0, 50.0, 200.0):
+        want = {p[:3] for p in pixels for s in spots if p[0] == s[0] and abs(p[3] - s[1]) <= 0.3 and min(abs(p[4] - s[2]), 360 - abs(p[4] - s[2])) <= half}
+        assert {tuple(r) for r in cakes.spot_mask(own, boxes, 0.3, half).select("frame", "row", "col").collect()} == want
