@@ -105,12 +105,13 @@ def score_lines(observed: DataFrame, lines: DataFrame, rel_tol: float, within: C
 
     Pairs beyond 6 sigma add nothing; they are left out by the band join. ``observed`` is (frame, d, err); a line
     takes part in a frame by its nearest peak only. ``within`` is a condition on phase, pressure and further columns
-    of ``observed``: which pressures a frame is compared with.
+    of ``observed``: which pressures a frame is compared with. Columns phase and cell of ``observed`` are keys of the join.
     """
-    more = [c for c in observed.columns if c not in ("frame", "obs", "d", "err")] if within is not None else []
+    keys = [c for c in ("phase", "cell") if c in observed.columns]
+    more = [c for c in observed.columns if c not in ("frame", "obs", "d", "err")] if within is not None else keys
     own = observed.select("frame", F.col("d").alias("od"), F.coalesce("err", F.lit(0.0)).alias("err"), *more)
     reach = 6 * F.hypot(rel_tol * F.col("d"), F.lit(0.01))
-    near = band_join(own, lines, [], "od", F.col("d") - reach, F.col("d") + reach, 0.05)
+    near = band_join(own, lines, keys, "od", F.col("d") - reach, F.col("d") + reach, 0.05)
     near = near if within is None else near.filter(within)
     sigma = F.hypot(rel_tol * F.col("d"), "err")
     gap = F.abs(F.col("od") - F.col("d"))
@@ -149,15 +150,16 @@ def _coarse(live: DataFrame, phases: DataFrame, reflections: DataFrame, windows:
     wide = predict_lines(reflections, phases, pressure_grid(phases, 0.0, p_max, n_grid))
     if windows is None:
         return score_lines(live, wide, rel_tol)
-    free = phase_models(phases).filter("assumption = 'ignore_prior'").select("name")
-    bound = phases.join(free, "name", "left_anti")
-    narrow = predict_lines(reflections, phases, pressure_grid(bound, 0.0, p_max, n_window))
+    # Without a bulk modulus a phase has the pressure 0 only, whatever the prior; its penalty tells.
+    free = phase_models(phases).filter("assumption = 'ignore_prior' OR model = 'no_eos'").select("name")
+    cell = lambda p: F.floor(p * (n_grid - 1) / p_max).cast("long")
+    narrow = predict_lines(reflections, phases, pressure_grid(phases.join(free, "name", "left_anti"), 0.0, p_max, n_window)).withColumn("cell", cell(F.col("pressure")))
     known = windows.select("frame", (F.col("prior") - F.col("half")).alias("lo"), (F.col("prior") + F.col("half")).alias("hi"))
     apart = score_lines(live.join(known, "frame", "left_anti"), wide, rel_tol)
     loose = score_lines(live.join(known, "frame", "left_semi"), wide.join(free, F.col("phase") == F.col("name"), "left_semi"), rel_tol)
-    # Without a bulk modulus a phase has the pressure 0 only, whatever the prior; its penalty tells.
-    fixed = phases.filter("k0 IS NULL").select(F.col("name").alias("phase"), F.lit(True).alias("fixed"))
-    inside = score_lines(live.join(known, "frame"), narrow.join(fixed, "phase", "left"), rel_tol, F.col("fixed").isNotNull() | F.col("pressure").between(F.col("lo"), F.col("hi")))
+    lo, hi = F.greatest("lo", F.lit(0.0)), F.least("hi", F.lit(p_max))
+    near = live.join(known.filter(lo <= hi), "frame").withColumn("cell", F.explode(F.sequence(cell(lo), cell(hi))))
+    inside = score_lines(near, narrow, rel_tol, F.col("pressure").between(F.col("lo"), F.col("hi")))
     return apart.unionByName(loose).unionByName(inside)
 
 
@@ -190,12 +192,14 @@ def run_identification(observed: DataFrame, frames: DataFrame, phases: DataFrame
         at = with_priors(best).filter("NOT fixed").withColumn("step", step)
         lo, hi = F.greatest(F.lit(0.0), F.col("pressure") - F.col("step"), F.col("prior") - F.col("half")), F.least(F.col("top"), F.col("pressure") + F.col("step"), F.col("prior") + F.col("half"))
         fine = at.select("phase", F.explode(F.transform(F.sequence(F.lit(-8), F.lit(8)), lambda i: F.round(F.col("pressure") + i * F.col("step") / 8, 6))).alias("pressure")).filter("pressure >= 0").distinct()
-        # One entry for each phase of the library: where a frame is searched, and the points that belong to its own grid.
-        ranges = at.groupBy("frame").agg(F.map_from_entries(F.collect_list(F.struct("phase", F.struct(lo.alias("lo"), hi.alias("hi"), "pressure", "step")))).alias("ranges"))
-        mine = F.col("ranges")[F.col("phase")]
-        offset = (F.col("pressure") - mine["pressure"]) * 8 / mine["step"]
-        within = F.col("pressure").between(mine["lo"] - 1e-6, mine["hi"] + 1e-6) & (F.abs(offset - F.round(offset)) < 0.01)
-        better = best_pressure(score_lines(live.join(ranges, "frame"), predict_lines(reflections, phases, fine), rel_tol, within))
+        # A frame meets the pressures in the cells of its own range; among these, those of its own finer grid.
+        cell = lambda p, k=k: F.floor(p * (n_grid - 1) * 8**k / p_max).cast("long")
+        ranges = at.select("frame", "phase", (lo - 1e-6).alias("lo"), (hi + 1e-6).alias("hi"), F.col("pressure").alias("base"), "step").filter("lo <= hi")
+        near = live.join(ranges, "frame").withColumn("cell", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))))
+        lines = predict_lines(reflections, phases, fine).withColumn("cell", cell(F.col("pressure")))
+        offset = (F.col("pressure") - F.col("base")) * 8 / F.col("step")
+        within = F.col("pressure").between(F.col("lo"), F.col("hi")) & (F.abs(offset - F.round(offset)) < 0.01)
+        better = best_pressure(score_lines(near, lines, rel_tol, within))
         both = best.unionByName(better).groupBy("frame", "phase").agg(F.max(F.struct("score", (-F.col("pressure")).alias("neg"), "n_near")).alias("t"))
         best = stored(both.select("frame", "phase", F.col("t.score").alias("score"), (-F.col("t.neg")).alias("pressure"), F.col("t.n_near").alias("n_near")))
     at = best.select("phase", "pressure").distinct()
