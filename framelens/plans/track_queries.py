@@ -96,11 +96,11 @@ def cluster_of_track(spark: SparkSession, sf: str) -> DataFrame:
     return O.labels_of_observations(obs, tracks, clusters)
 
 
-@query("SELECT name, coalesce(kind, 'bundled') AS origin FROM (SELECT p_name || p_partkey AS name, 'user' AS kind FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_name || p_partkey, 'bundled' FROM part WHERE p_partkey % 2 = 0 AND p_partkey % 3 <> 0)")
+@query("SELECT p_name || p_partkey AS name, CASE WHEN p_partkey % 3 = 0 THEN 'user' ELSE 'bundled' END AS origin FROM part")
 def library_union(spark: SparkSession, sf: str) -> DataFrame:
     own = table(spark, sf, "part").select(F.concat("p_name", F.col("p_partkey")).alias("name"), "p_partkey")
     user = own.filter("p_partkey % 3 = 0").select("name", F.lit("user").alias("origin"))
-    bundled = own.filter("p_partkey % 2 = 0").select("name", F.lit("bundled").alias("origin"))
+    bundled = own.select("name", F.lit("bundled").alias("origin"))
     return L.library_union(user, bundled)
 
 
