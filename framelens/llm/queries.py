@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelens.llm import byte_bpe, exact_dedup, license_scan, mixing, ngram_join, quality, secret_scan, sharding, suffix_dedup, url_filter
+from framelens.llm import byte_bpe, exact_dedup, license_scan, merkle, mixing, ngram_join, quality, secret_scan, sharding, suffix_dedup, token_align, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,15 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"), listed)
 
 
+def op11_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return token_align.align(_table(spark, sf_dir, "documents"), a, b)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proofs(_table(spark, sf_dir, "documents"))
+
+
 OP1_SQL = r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS cp, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS bare FROM documents),
 e AS (SELECT *, sha256(bare) AS text_sha256,
@@ -119,7 +128,7 @@ FROM pg a JOIN flags f ON a.host = f.host JOIN fit ON fit.host = a.host AND fit.
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_byte_bpe, op3_sharding, op4_quality_rules, op5_mixing, op6_suffix_dedup, op7_license_scan, op8_secret_scan, op9_ngram_join, op10_url_filter)
+    f.__name__: f for f in (op1_exact_dedup, op2_byte_bpe, op3_sharding, op4_quality_rules, op5_mixing, op6_suffix_dedup, op7_license_scan, op8_secret_scan, op9_ngram_join, op10_url_filter, op11_token_align, op13_merkle_manifest)
 }
 
 ORACLE_SQL: dict[str, str] = {
