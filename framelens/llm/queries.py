@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelens.llm import byte_bpe, exact_dedup, license_scan, merkle, mixing, ngram_join, quality, secret_scan, sharding, suffix_dedup, token_align, url_filter
+from framelens.llm import byte_bpe, compression_quality, exact_dedup, license_scan, merkle, mixing, ngram_join, quality, secret_scan, sharding, suffix_dedup, token_align, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,11 @@ def op11_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_align.align(_table(spark, sf_dir, "documents"), a, b)
 
 
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return compression_quality.score(docs, compression_quality.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.proofs(_table(spark, sf_dir, "documents"))
 
@@ -128,7 +133,7 @@ FROM pg a JOIN flags f ON a.host = f.host JOIN fit ON fit.host = a.host AND fit.
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_byte_bpe, op3_sharding, op4_quality_rules, op5_mixing, op6_suffix_dedup, op7_license_scan, op8_secret_scan, op9_ngram_join, op10_url_filter, op11_token_align, op13_merkle_manifest)
+    f.__name__: f for f in (op1_exact_dedup, op2_byte_bpe, op3_sharding, op4_quality_rules, op5_mixing, op6_suffix_dedup, op7_license_scan, op8_secret_scan, op9_ngram_join, op10_url_filter, op11_token_align, op12_quality_classifier, op13_merkle_manifest)
 }
 
 ORACLE_SQL: dict[str, str] = {

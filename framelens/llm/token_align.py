@@ -339,10 +339,8 @@ def _scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             pairs = np.asarray(row.pairs, dtype=np.int64)
             counts, best = np.zeros(len(pairs), dtype=np.int64), np.zeros(len(pairs), dtype=np.int64)
             if len(pairs):
-                found = row.found
-                at = np.searchsorted(pairs, np.array([x["pair"] for x in found], dtype=np.int64))
-                counts[at] = [x["count"] for x in found]
-                best[at] = [x["best"] for x in found]
+                at = np.searchsorted(pairs, np.asarray(row.found, dtype=np.int64))
+                counts[at], best[at] = row.counts, row.best
             n = np.asarray(row.n_groups, dtype=np.int64)  # a link ends a group
             before = np.concatenate([[0], np.cumsum(n)])
             sums = [np.concatenate([[0], np.cumsum(x[links])])[before] for x in (best, counts)]
@@ -407,4 +405,5 @@ def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).first()["n"]
     found = hot_join(sent.select("block", "pair"), counts, ["pair"], max(1, total))
     per_block = found.groupBy("block").agg(F.collect_list(F.struct("pair", "count", "best")).alias("found"))  # a block's different pairs
-    return blocks.join(per_block, "block", "left").mapInPandas(_scored, RESULT)
+    arrays = per_block.select("block", F.col("found.pair").alias("found"), F.col("found.count").alias("counts"), F.col("found.best").alias("best"))
+    return blocks.join(arrays, "block", "left").mapInPandas(_scored, RESULT)
