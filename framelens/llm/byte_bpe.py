@@ -20,7 +20,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import duckdb
 import numpy as np
@@ -51,41 +51,8 @@ WITH RECURSIVE rounds(w, ids) USING KEY (w) AS (
 SELECT w, ids FROM rounds ORDER BY w
 """
 
-#: Ids in a row of the decoder's table.
-WIDTH = 4
-
-#: A round contracts the leftmost pair of the lowest rank of each piece; pieces without a pair stay as they are.
-ENCODE = """
-WITH RECURSIVE rounds(w, ids) USING KEY (w) AS (
-  SELECT w, ids FROM start
-  UNION ALL
-  SELECT r.w, list_concat(list_append(r.ids[1 : (b & 2147483647) - 1], (b >> 31)::INT), r.ids[(b & 2147483647) + 2 : ])
-  FROM rounds r JOIN (
-    SELECT w, min((rank::BIGINT << 31) | p) AS b
-    FROM (SELECT w, unnest(ids[:-2]) AS t, unnest(ids[2:]) AS next, generate_subscripts(ids[2:], 1) AS p FROM rounds)
-    JOIN merges ON pair = ((t::BIGINT << 32) | next)
-    GROUP BY w) USING (w))
-SELECT w, ids FROM rounds ORDER BY w
-"""
-
-#: The same for long pieces, in fewer rounds: where a merged token takes part in no pair of a lower rank (``safe``), all
-#: pairs of the lowest rank that don't overlap, from the left, are next in any case, and one round contracts them all.
-ENCODE_LONG = """
-WITH RECURSIVE rounds(w, ids) USING KEY (w) AS (
-  SELECT w, ids FROM start
-  UNION ALL
-  SELECT w, list(CASE WHEN take THEN rank ELSE t END ORDER BY p) FROM (
-    SELECT w, p, t, rank, take, lag(take) OVER (PARTITION BY w ORDER BY p) AS gone FROM (
-      SELECT w, p, t, rank, hit AND (p - coalesce(other, 0)) % 2 = 1 AND (safe OR p = first) AS take FROM (
-        SELECT w, p, t, rank, safe, hit, max(CASE WHEN NOT hit THEN p END) OVER (PARTITION BY w ORDER BY p ROWS UNBOUNDED PRECEDING) AS other, min(CASE WHEN hit THEN p END) OVER (PARTITION BY w) AS first FROM (
-          SELECT w, p, t, rank, safe, low, coalesce(rank = low, false) AS hit FROM (
-            SELECT w, p, t, rank, safe, min(rank) OVER (PARTITION BY w) AS low FROM (
-              SELECT w, unnest(ids) AS t, unnest(list_append(ids[2:], -1)) AS next, generate_subscripts(ids, 1) AS p FROM rounds)
-            LEFT JOIN merges ON pair = ((t::BIGINT << 32) | next))
-          WHERE low IS NOT NULL))))
-  WHERE gone IS NOT TRUE GROUP BY w)
-SELECT w, ids FROM rounds ORDER BY w
-"""
+#: Ids in a row of the decoder's table, and ids and pieces that are worked on at once, also within one text.
+WIDTH, RUN_IDS, RUN_PIECES = 4, 1 << 18, 1 << 18
 
 DECODE = f"""
 SELECT d, string_agg({" || ".join(f"v{i}.hex" for i in range(WIDTH))}, '' ORDER BY p) AS hex
@@ -199,23 +166,48 @@ class Coder:
             which = [k for k, b in enumerate(raw) if (len(b) > CHUNK_BYTES) == long]
             self.recent.update(zip([unknown[k] for k in which], merge([raw[k] for k in which])))
 
-    def _pieces(self, texts: list[str]) -> list[list[str]]:
-        split = [self.pattern.findall(t) for t in texts]
+    def _encoded(self, split: list[list[str]]) -> list[bytes]:
         self._learn(set(chain.from_iterable(split)))
-        return split
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The token ids of each text."""
-        split = self._pieces(texts)
         get = self.recent.__getitem__
-        return [np.frombuffer(b"".join(map(get, pieces)), dtype=np.int32) for pieces in split]
+        return [b"".join(map(get, pieces)) for pieces in split]
 
-    def named(self, ids: np.ndarray) -> str:
-        """The ids as decimal numbers joined by commas."""
-        return ",".join(map(self.names.__getitem__, ids.tolist()))
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The token ids of each text; the pieces of a text that is longer than a block in runs."""
+        short = [len(t) <= BLOCK_BYTES for t in texts]
+        done = iter(self._encoded([self.pattern.findall(t) for t, s in zip(texts, short) if s]))
+        return [np.frombuffer(next(done) if s else self._long(t), dtype=np.int32) for t, s in zip(texts, short)]
+
+    def _long(self, text: str) -> bytes:
+        found, out = (m.group() for m in self.pattern.finditer(text)), []
+        while pieces := list(islice(found, RUN_PIECES)):
+            out.extend(self._encoded([pieces]))
+        return b"".join(out)
+
+    def digest(self, ids: np.ndarray) -> str:
+        """The digest of the ids as decimal numbers joined by commas."""
+        sha = hashlib.sha256()
+        for i in range(0, len(ids), RUN_IDS):
+            sha.update(b"," * (i > 0) + ",".join(map(self.names.__getitem__, ids[i : i + RUN_IDS].tolist())).encode())
+        return sha.hexdigest()
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
-        """The bytes of each array of ids."""
+        """The bytes of each array of ids, decoded in runs of RUN_IDS: ids may be cut anywhere."""
+        out: list[list[bytes]] = [[] for _ in ids]
+        owners, run, size = [], [], 0
+        for k, own in enumerate(ids):
+            for i in range(0, len(own), RUN_IDS):
+                owners.append(k)
+                run.append(own[i : i + RUN_IDS])
+                size += len(run[-1])
+                if size >= RUN_IDS:
+                    for at, data in zip(owners, self._decode(run)):
+                        out[at].append(data)
+                    owners, run, size = [], [], 0
+        for at, data in zip(owners, self._decode(run)):
+            out[at].append(data)
+        return [b"".join(x) for x in out]
+
+    def _decode(self, ids: list[np.ndarray]) -> list[bytes]:
         sizes = np.array([len(x) for x in ids], dtype=np.int64)
         n = -(-sizes // WIDTH)
         starts = np.cumsum(n) - n
@@ -305,7 +297,7 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str, with_ids: bool =
             out = {
                 "doc_id": _whole(block["doc_id"]),
                 "n_tokens": [len(x) for x in ids],
-                "ids_sha256": [hashlib.sha256(coder.named(x).encode()).hexdigest() for x in ids],
+                "ids_sha256": [coder.digest(x) for x in ids],
                 "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in coder.decode(ids)],
             }
             yield pd.DataFrame(out | ({"ids": ids} if with_ids else {}))

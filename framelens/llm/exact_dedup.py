@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelens.llm.common import HOT_PARTS, Shelf, hot_join, n_buckets, text_of
+from framelens.llm.common import HOT_PARTS, Shelf, hot_join, n_buckets, set_aside, text_of
 
 #: The characters that are deleted before texts are compared: fixed values.
 SPACES = " \t\n\x0b\x0c\r"
@@ -159,6 +159,7 @@ def drop_copies(docs: DataFrame, block_bytes: int = 1024) -> DataFrame:
     texts, ties and empty tables as in :func:`exact_dedup`.
     """
     kept = _decided(docs.select("doc_id", "text"), block_bytes).filter("stays").select("_row", "_cp")
-    packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"))
+    apart, names = set_aside(docs)
+    packed = apart.select(F.col(names["doc_id"]).alias("doc_id"), F.col(names["text"]).alias("text"), F.struct(*apart.columns).alias("_all"))
     rows = packed.select(_row_key(_of_bare(lambda b: F.sha2(b, 256))).alias("_row"), F.length(text_of()).cast("long").alias("_cp"), "_all")
-    return rows.join(kept, ["_row", "_cp"]).dropDuplicates(["_row", "_cp"]).select("_all.*")
+    return rows.join(kept, ["_row", "_cp"]).dropDuplicates(["_row", "_cp"]).select(*[F.col(f"_all.{v}").alias(k) for k, v in names.items()])

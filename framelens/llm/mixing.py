@@ -61,14 +61,9 @@ def rates(docs: DataFrame, weights: Mapping[str | None, float] | None = None, po
     return out
 
 
-def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, power: float = 0.7, rows: int | None = None, seed: int = 23) -> DataFrame:
-    """The rows of ``docs``, each as often as drawn, in a random order, with copy, n_copies and shuffle_key.
-
-    A null source is a source of its own. Rows with the same doc_id draw the same number if their source is the same. An empty
-    table, or weights that are all 0, give no rows. Columns of ``docs`` with the names of results are replaced.
-    """
-    own = [c for c in docs.columns if c not in ("copy", "n_copies", "shuffle_key")]
-    safe, at = set_aside(docs.select(*[F.col(f"`{c}`") for c in own]))
+def _drawn(docs: DataFrame, weights: Mapping[str | None, float] | None, power: float, rows: int | None, seed: int) -> tuple[DataFrame, dict[str, str]]:
+    """The copies in their order, with copy, n_copies and shuffle_key; the columns of ``docs`` are under the names in the dictionary."""
+    safe, at = set_aside(docs)
     doc_id = F.col(at["doc_id"])
     keyed = safe.withColumn("_stratum", F.coalesce(F.concat(F.lit("="), F.col(at["source"]).cast("string")), F.lit("~")))
     table = stored(rates(keyed, weights, power, rows))
@@ -78,5 +73,22 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, powe
     copies = drawn.filter("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
     keyed_out = copies.withColumn("shuffle_key", md5_number(F.lit(seed), F.lit("at"), doc_id, F.col("copy")))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = keyed_out.repartition(parts, "shuffle_key").sortWithinPartitions("shuffle_key")
+    return keyed_out.repartition(parts, "shuffle_key").sortWithinPartitions("shuffle_key"), at
+
+
+def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, power: float = 0.7, rows: int | None = None, seed: int = 23) -> DataFrame:
+    """The rows of ``docs``, each as often as drawn, in a random order, with copy, n_copies and shuffle_key.
+
+    A null source is a source of its own. Rows with the same doc_id draw the same number if their source is the same. An empty
+    table, or weights that are all 0, give no rows. Columns of ``docs`` with the names of results are replaced (:func:`resample`
+    keeps them). A source that would be repeated more than 600 times is an error.
+    """
+    dealt, at = _drawn(docs, weights, power, rows, seed)
+    own = [c for c in docs.columns if c not in ("copy", "n_copies", "shuffle_key")]
     return dealt.select(*[F.col(at[c]).alias(c) for c in own], "copy", "n_copies", "shuffle_key")
+
+
+def resample(docs: DataFrame, weights: Mapping[str | None, float] | None = None, power: float = 0.7, rows: int | None = None, seed: int = 23) -> DataFrame:
+    """The same rows as :func:`mix`, with just the columns of ``docs`` and their values, whatever their names."""
+    dealt, at = _drawn(docs, weights, power, rows, seed)
+    return dealt.select(*[F.col(v).alias(k) for k, v in at.items()])

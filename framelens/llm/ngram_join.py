@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelens.llm.common import Shelf, hot_join, n_buckets, text_of
+from framelens.llm.common import Shelf, hot_join, n_buckets, set_aside, text_of
 from framelens.operators.components import connected_components
 
 #: A block of documents has so many at most, and so many tokens beyond its last document's.
@@ -357,5 +357,6 @@ def keep_one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
     are in no group and stay, as do all rows with a null doc_id. An empty table gives no rows.
     """
     groups = similar_groups(docs.select("doc_id", "text"), n, percent)
-    gone = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
+    apart, names = set_aside(docs)
+    return apart.join(gone, F.col(names["doc_id"]) == F.col("_gone"), "left_anti").select(*[F.col(v).alias(k) for k, v in names.items()])

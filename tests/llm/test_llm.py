@@ -371,6 +371,38 @@ def test_pipeline(spark, odd, clashing, empty):
         assert Counter((r.doc_id, r.decoded_sha256) for r in last) == Counter((r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in out.collect())
 
 
+def test_pipeline_keeps_extra_columns(spark, odd):
+    """Columns with the names of results, of the operators' own columns, and with dots come back from every stage with their values."""
+    import corpus_pipeline as P
+
+    names = ("a.b", "copy", "n_copies", "shuffle_key", "component_id", "_n", "_gone", "_row", "_row_key", "rate", "kept", "in0__", "c`d")
+    own = odd.select("*", *[F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias(c) for c in names])
+    given = {tuple(r) for r in own.collect()}
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, own, TABLES)
+        assert out.columns == own.columns, name
+        rows = [tuple(r) for r in out.collect()]
+        assert rows and set(rows) <= given, name
+
+
+def test_op2_very_long_texts():
+    """Texts far above a block: one of many pieces and one of a single piece."""
+    import tiktoken
+
+    path, pattern = tokenizer()
+    ranks = byte_bpe.read_ranks(path)
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    coder = byte_bpe.Coder(ranks, pattern)
+    text = "the quick brown fox, 日本 jumped over 12 lazy dogs\n" * 1_200_000
+    ids = coder.encode([text, "tail"])
+    assert len(text.encode()) > 64e6 and ids[1].tolist() == library.encode_ordinary("tail")
+    one = library.encode_ordinary(text[:5000])
+    assert ids[0][: len(one) - 8].tolist() == one[:-8]
+    data = coder.decode(ids)
+    assert data == [text.encode(), b"tail"]
+    assert coder.digest(ids[0][:600_000]) == hashlib.sha256(",".join(map(str, ids[0][:600_000].tolist())).encode()).hexdigest()
+
+
 def test_pipeline_stages(spark):
     """Each stage on all that the one before kept, against brute force."""
     import corpus_pipeline as P
