@@ -34,7 +34,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources (null is one) weigh their number of documents to the power 0.7; a document may be left out or repeated."""
-    return mixing.mix(docs, power=0.7).select(*docs.columns)
+    return mixing.resample(docs, power=0.7)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
