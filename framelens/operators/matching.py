@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelens.functions import columns as C
-from framelens.operators.shared import stored
+from framelens.operators.identify import run_identification
+from framelens.operators.lattice import predict_lines
+
+__all__ = ["predict_lines", "run_identification"]
 
 PI2 = 2 * math.pi
 
@@ -85,47 +88,6 @@ def cubic_reflections(phases: DataFrame, most: int = 6, d_min: float = 0.25, top
     return kept.select(F.col("name").alias("phase"), F.row_number().over(Window.partitionBy("name").orderBy(F.desc("d0"))).alias("line"), "d0", "weight", "hkl")
 
 
-def predict_lines(reflections: DataFrame, phases: DataFrame, pressures: DataFrame) -> DataFrame:
-    """phase, pressure, line, d, weight for each pressure (phase, pressure): d0 scaled by the equation of state, if there is one."""
-    eos = phases.select(F.col("name").alias("phase"), "eos", "k0", "k0p", "p_max")
-    ratio = C.compression(F.col("eos"), F.least("pressure", "p_max"), F.col("k0"), F.col("k0p"))
-    scales = pressures.join(eos, "phase").withColumn("scale", F.when(F.col("k0").isNull(), 1.0).otherwise(F.pow(ratio, F.lit(1.0 / 3))))
-    return scales.select("phase", "pressure", "scale").join(reflections, "phase").select("phase", "pressure", "line", (F.col("d0") * F.col("scale")).alias("d"), "weight")
-
-
-def pressure_grid(phases: DataFrame, p_min: float, p_max: float, n: int) -> DataFrame:
-    """phase, pressure: n pressures from p_min to p_max or the phase's highest one; p_min only without a bulk modulus."""
-    top = F.when(F.col("k0").isNull(), p_min).otherwise(F.least(F.lit(p_max), F.col("p_max")))
-    points = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.round(p_min + (top - p_min) * i / (n - 1), 9))
-    return phases.select(F.col("name").alias("phase"), F.explode(F.array_distinct(points)).alias("pressure"))
-
-
-def score_lines(observed: DataFrame, lines: DataFrame, rel_tol: float, within: Column | None = None) -> DataFrame:
-    """frame, phase, pressure, score: sum over lines of weight * exp(-(gap / sigma)^2 / 2) to the nearest observed peak.
-
-    Pairs beyond 6 sigma add nothing; they are left out by the band join. ``observed`` is (frame, d, err); a line
-    takes part in a frame by its nearest peak only. ``within`` is a condition on phase, pressure and further columns
-    of ``observed``: which pressures a frame is compared with. Columns phase and cell of ``observed`` are keys of the join.
-    """
-    keys = [c for c in ("phase", "cell") if c in observed.columns]
-    more = [c for c in observed.columns if c not in ("frame", "obs", "d", "err")] if within is not None else keys
-    own = observed.select("frame", F.col("d").alias("od"), F.coalesce("err", F.lit(0.0)).alias("err"), *more)
-    reach = 6 * F.hypot(rel_tol * F.col("d"), F.lit(0.01))
-    near = band_join(own, lines, keys, "od", F.col("d") - reach, F.col("d") + reach, 0.05)
-    near = near if within is None else near.filter(within)
-    sigma = F.hypot(rel_tol * F.col("d"), "err")
-    gap = F.abs(F.col("od") - F.col("d"))
-    near = near.withColumn("gap", gap).withColumn("kernel", F.exp(-0.5 * F.pow(gap / sigma, 2))).filter(gap <= 6 * sigma)
-    best = near.groupBy("frame", "phase", "pressure", "line").agg(F.min(F.struct("gap", "od", "kernel", "weight")).alias("b"))
-    return best.groupBy("frame", "phase", "pressure").agg(F.sum(F.col("b.kernel") * F.col("b.weight")).alias("score"), F.count_if(F.col("b.gap") < 2 * rel_tol * F.col("b.od")).alias("n_near"))
-
-
-def best_pressure(scored: DataFrame) -> DataFrame:
-    """The pressure with the highest score of each frame and phase; the lowest one on ties."""
-    top = F.max(F.struct(F.round("score", 9).alias("score"), (-F.col("pressure")).alias("neg"), "n_near"))
-    return scored.groupBy("frame", "phase").agg(top.alias("t")).select("frame", "phase", F.col("t.score").alias("score"), (-F.col("t.neg")).alias("pressure"), F.col("t.n_near").alias("n_near"))
-
-
 def pressure_windows(frames: DataFrame, k: float = 2.0, default: float = 2.0) -> DataFrame:
     """frame, prior, half of the frames (frame, prior, prior_sigma) with a prior: k sigmas, ``default`` without a sigma, at least 0.3."""
     sigma = F.col("prior_sigma") if "prior_sigma" in frames.columns else F.lit(None).cast("double")
@@ -145,83 +107,6 @@ def phase_models(phases: DataFrame) -> DataFrame:
     return phases.select("name", model.alias("model"), F.when(known, own).when(model != "no_eos", "eos_based").otherwise("eos_missing").alias("assumption"))
 
 
-def _coarse(live: DataFrame, phases: DataFrame, reflections: DataFrame, windows: DataFrame | None, rel_tol: float, p_max: float, n_grid: int, n_window: int) -> DataFrame:
-    """Scores on the grid of pressures; frames with a prior window on the points of a finer grid inside it."""
-    wide = predict_lines(reflections, phases, pressure_grid(phases, 0.0, p_max, n_grid))
-    if windows is None:
-        return score_lines(live, wide, rel_tol)
-    # Without a bulk modulus a phase has the pressure 0 only, whatever the prior; its penalty tells.
-    free = phase_models(phases).filter("assumption = 'ignore_prior' OR model = 'no_eos'").select("name")
-    cell = lambda p: F.floor(p * (n_grid - 1) / p_max).cast("long")
-    narrow = predict_lines(reflections, phases, pressure_grid(phases.join(free, "name", "left_anti"), 0.0, p_max, n_window)).withColumn("cell", cell(F.col("pressure")))
-    known = windows.select("frame", (F.col("prior") - F.col("half")).alias("lo"), (F.col("prior") + F.col("half")).alias("hi"))
-    apart = score_lines(live.join(known, "frame", "left_anti"), wide, rel_tol)
-    loose = score_lines(live.join(known, "frame", "left_semi"), wide.join(free, F.col("phase") == F.col("name"), "left_semi"), rel_tol)
-    lo, hi = F.greatest("lo", F.lit(0.0)), F.least("hi", F.lit(p_max))
-    near = live.join(known.filter(lo <= hi), "frame").withColumn("cell", F.explode(F.sequence(cell(lo), cell(hi))))
-    inside = score_lines(near, narrow, rel_tol, F.col("pressure").between(F.col("lo"), F.col("hi")))
-    return apart.unionByName(loose).unionByName(inside)
-
-
-def run_identification(observed: DataFrame, frames: DataFrame, phases: DataFrame, reflections: DataFrame, rel_tol: float = 0.01, p_max: float = 60.0, n_grid: int = 61, zooms: int = 1, windows: DataFrame | None = None) -> DataFrame:
-    """frame, phase, pressure, score, n_matched, recall, precision, confidence of the best pressure of each phase.
-
-    Frames that are excluded have no peaks to match. The grid of pressures is followed by ``zooms`` finer ones
-    around each frame's own best, kept where the score isn't lower; so a frame's result doesn't depend on others.
-
-    ``windows`` (frame, prior, half) are the frames with a known pressure: they are searched within prior +- half, and
-    the confidence falls with the distance from the prior. Phases with the assumption ``ignore_prior`` are searched as
-    without a prior. A window above a phase's highest pressure holds none, so that phase isn't found there.
-    """
-    live = stored(observed.join(frames.filter("NOT excluded").select("frame"), "frame", "left_semi"))
-    n_window = max(8 * (n_grid - 1), math.ceil(2 * p_max)) + 1
-    best = stored(best_pressure(_coarse(live, phases, reflections, windows, rel_tol, p_max, n_grid, n_window)))
-    kinds = phase_models(phases).join(phases.select("name", F.least(F.lit(p_max), F.col("p_max")).alias("top")), "name").withColumnRenamed("name", "phase")
-    own = kinds.select("phase", "top", (F.col("assumption") != "ignore_prior").alias("bound"), (F.col("model") == "no_eos").alias("fixed"))
-    prior = F.when(F.col("bound"), F.col("prior"))
-
-    def with_priors(best: DataFrame) -> DataFrame:
-        """``best`` with the phase's top, and with the frame's prior and half where they hold for the phase."""
-        out = best.join(own, "phase")
-        if windows is None:
-            return out.withColumn("prior", F.lit(None).cast("double")).withColumn("half", F.lit(None).cast("double"))
-        return out.join(windows.select("frame", "prior", "half"), "frame", "left").withColumn("prior", prior)
-
-    for k in range(zooms):
-        step = F.col("top") / F.when(F.col("prior").isNull(), n_grid - 1).otherwise(n_window - 1) / 8**k
-        at = with_priors(best).filter("NOT fixed").withColumn("step", step)
-        lo, hi = F.greatest(F.lit(0.0), F.col("pressure") - F.col("step"), F.col("prior") - F.col("half")), F.least(F.col("top"), F.col("pressure") + F.col("step"), F.col("prior") + F.col("half"))
-        fine = at.select("phase", F.explode(F.transform(F.sequence(F.lit(-8), F.lit(8)), lambda i: F.round(F.col("pressure") + i * F.col("step") / 8, 6))).alias("pressure")).filter("pressure >= 0").distinct()
-        # A frame meets the pressures in the cells of its own range; among these, those of its own finer grid.
-        cell = lambda p, k=k: F.floor(p * (n_grid - 1) * 8**k / p_max).cast("long")
-        ranges = at.select("frame", "phase", (lo - 1e-6).alias("lo"), (hi + 1e-6).alias("hi"), F.col("pressure").alias("base"), "step").filter("lo <= hi")
-        near = live.join(ranges, "frame").withColumn("cell", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))))
-        lines = predict_lines(reflections, phases, fine).withColumn("cell", cell(F.col("pressure")))
-        offset = (F.col("pressure") - F.col("base")) * 8 / F.col("step")
-        within = F.col("pressure").between(F.col("lo"), F.col("hi")) & (F.abs(offset - F.round(offset)) < 0.01)
-        better = best_pressure(score_lines(near, lines, rel_tol, within))
-        both = best.unionByName(better).groupBy("frame", "phase").agg(F.max(F.struct("score", (-F.col("pressure")).alias("neg"), "n_near")).alias("t"))
-        best = stored(both.select("frame", "phase", F.col("t.score").alias("score"), (-F.col("t.neg")).alias("pressure"), F.col("t.n_near").alias("n_near")))
-    at = best.select("phase", "pressure").distinct()
-    lines = predict_lines(reflections, phases, at).join(best.select("frame", "phase", "pressure"), ["phase", "pressure"])
-    numbered = live.select("frame", "obs", "d", "err")
-    keyed = stored(lines.select(F.struct("frame", "phase").alias("frame"), "line", "d", "weight"))
-    seen = numbered.join(best.select("frame", "phase"), "frame").select(F.struct("frame", "phase").alias("frame"), "obs", "d", "err")
-    matched = match_one_to_one(keyed, seen, rel_tol).join(keyed.select("frame", "line", "weight"), ["frame", "line"])
-    edges = keyed.groupBy("frame").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
-    limits = seen.groupBy("frame").agg(F.min("d").alias("olo"), F.max("d").alias("ohi"))
-    in_range = seen.join(edges, "frame").filter(F.col("d").between(F.col("lo") * (1 - 2 * rel_tol), F.col("hi") * (1 + 2 * rel_tol))).groupBy("frame").agg(F.count(F.lit(1)).alias("n_obs"))
-    strong = keyed.join(limits, "frame").filter(F.col("d").between(F.col("olo") * (1 - 2 * rel_tol), F.col("ohi") * (1 + 2 * rel_tol)) & (F.col("weight") >= 0.1)).groupBy("frame").agg(F.sum("weight").alias("w_all"))
-    got = matched.groupBy("frame").agg(F.count(F.lit(1)).alias("n_matched"), F.sum(F.when(F.col("weight") >= 0.1, F.col("weight"))).alias("w_got"))
-    away = F.exp(-0.5 * F.pow((F.col("pressure") - F.col("prior")) / F.col("half"), 2))
-    judged = with_priors(best).select(*best.columns, F.coalesce(away, F.lit(1.0)).alias("penalty"))
-    out = judged.withColumn("key", F.struct("frame", "phase")).join(got.withColumnRenamed("frame", "key"), "key", "left").join(strong.withColumnRenamed("frame", "key"), "key", "left").join(in_range.withColumnRenamed("frame", "key"), "key", "left")
-    n = F.coalesce("n_matched", F.lit(0))
-    recall = F.when(F.col("w_all") > 0, F.least(F.lit(1.0), F.coalesce("w_got", F.lit(0.0)) / F.col("w_all"))).otherwise(0.0)
-    precision = F.when(F.col("n_obs") > 0, F.least(F.lit(1.0), n / F.col("n_obs"))).otherwise(0.0)
-    return out.select("frame", "phase", "pressure", "score", n.alias("n_matched"), recall.alias("recall"), precision.alias("precision"), C.confidence(recall, precision, n, F.col("penalty"), F.lit(1.0)).alias("confidence"))
-
-
 def reflection_tracks(frames: DataFrame, identify: DataFrame, reflections: DataFrame, phases: DataFrame) -> DataFrame:
     """q of every line of every phase in each frame, at the identified pressure, else the metadata's, else 0."""
     names = phases.select(F.col("name").alias("phase"))

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelens.functions import columns as C
+from framelens.operators import identify as I
+from framelens.operators import lattice
 from framelens.operators import matching as O
-from framelens.plans.catalog import query
-from framelens.plans.views import phases, table, view
+from framelens.plans.catalog import ORACLE_SQL, query
+from framelens.plans.views import phases, table, view, with_views
 
 
 def _r(*names: str, n: int = 6) -> list:
@@ -113,57 +115,155 @@ def lattice_scale(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_REFL = """hkl AS (SELECT name AS phase, a, h, k, l FROM v_phases, range(0, 7) x(h), range(0, 7) y(k), range(0, 7) z(l) WHERE h >= k AND k >= l AND h > 0 AND h % 2 = k % 2 AND k % 2 = l % 2),
-ln AS (SELECT phase, round(a / sqrt(h*h + k*k + l*l), 6) AS d0, sum(pow(2, (h > 0)::INT + (k > 0)::INT + (l > 0)::INT) * CASE WHEN h = k AND k = l THEN 1 WHEN h = k OR k = l THEN 3 ELSE 6 END) AS m FROM hkl GROUP BY 1, 2),
-wt AS (SELECT phase, d0, m / max(m) OVER (PARTITION BY phase) AS weight FROM ln WHERE d0 >= 25e-2), kept AS (SELECT * FROM wt WHERE weight >= 1e-2 QUALIFY row_number() OVER (PARTITION BY phase ORDER BY weight DESC, d0 DESC) <= 12),
-refl AS (SELECT phase, CAST(row_number() OVER (PARTITION BY phase ORDER BY d0 DESC) AS INT) AS line, d0, weight FROM kept)"""
+#: Which hkl reflect, by centring, and the lines of cells(phase, a, b, c, alpha, beta, gamma, centring): 1 / d^2 = h G^-1 h,
+#: with the inverse of the metric tensor by cofactors, over the whole sphere of hkl.
+_RULES = """CASE centring WHEN 'I' THEN (h + k + l) % 2 = 0 WHEN 'C' THEN (h + k) % 2 = 0 WHEN 'F' THEN (h + k) % 2 = 0 AND (k + l) % 2 = 0
+WHEN 'R' THEN (k + l - h) % 3 = 0 WHEN 'H' THEN (h + 2 * k) % 3 <> 0 OR l % 2 = 0 ELSE true END"""
 
 
-def reflections_of(spark: SparkSession, top: int = 12) -> DataFrame:
-    return O.cubic_reflections(phases(spark), top=top).select("phase", "line", "d0", "weight")
+def _refl(cells: str) -> str:
+    return f"""cells AS ({cells}),
+g AS (SELECT *, a * a AS g11, b * b AS g22, c * c AS g33, a * b * cos(radians(gamma)) AS g12, a * c * cos(radians(beta)) AS g13, b * c * cos(radians(alpha)) AS g23 FROM cells),
+co AS (SELECT phase, centring, g22 * g33 - g23 * g23 AS c11, g11 * g33 - g13 * g13 AS c22, g11 * g22 - g12 * g12 AS c33, g13 * g23 - g12 * g33 AS c12, g12 * g23 - g13 * g22 AS c13, g12 * g13 - g11 * g23 AS c23,
+  g11 * (g22 * g33 - g23 * g23) - g12 * (g12 * g33 - g23 * g13) + g13 * (g12 * g23 - g22 * g13) AS det FROM g),
+hkl AS (SELECT phase, h, k, l, sqrt(det / (h * h * c11 + k * k * c22 + l * l * c33 + 2 * (h * k * c12 + h * l * c13 + k * l * c23))) AS d
+  FROM co, range(-11, 12) x(h), range(-11, 12) y(k), range(-11, 12) z(l) WHERE NOT (h = 0 AND k = 0 AND l = 0) AND {_RULES}),
+ln AS (SELECT phase, round(d, 6) AS d0, count(*) AS m, max(struct_pack(h := h, k := k, l := l)) AS hkl FROM hkl GROUP BY 1, 2 HAVING round(d, 6) >= 1),
+wt AS (SELECT phase, d0, hkl, m / max(m) OVER (PARTITION BY phase) AS weight FROM ln), kept AS (SELECT * FROM wt WHERE weight >= 1e-2 QUALIFY row_number() OVER (PARTITION BY phase ORDER BY weight DESC, d0 DESC) <= 40),
+refl AS (SELECT phase, CAST(row_number() OVER (PARTITION BY phase ORDER BY d0 DESC) AS INT) AS line, d0, weight, hkl FROM kept)"""
 
 
-@query(f"WITH {_REFL} SELECT p_partkey AS id, r.phase, line, round(d0 * (1 - p_size * 1e-3), 6) AS d, round(weight, 6) AS weight FROM part, refl r")
+def _ratios(x: str) -> str:
+    """``ratio`` (id, r): V / V0 of x(id, p, eos, k0, k0p) by halving below the first crossing."""
+    return f"""x AS ({x}), crossed AS (SELECT id, any_value(p) AS p, any_value(eos) AS eos, any_value(k0) AS k0, any_value(k0p) AS k0p, max(r) AS lo FROM (SELECT x.*, 1 - i * 25e-4 AS r FROM x, range(1, 393) t(i)) WHERE {_EOS} >= p GROUP BY id),
+bis AS (SELECT id, p, eos, k0, k0p, lo, lo + 25e-4 AS hi, 0 AS n FROM crossed UNION ALL SELECT id, p, eos, k0, k0p, CASE WHEN v >= p THEN m ELSE lo END, CASE WHEN v >= p THEN hi ELSE m END, n + 1 FROM (SELECT *, {_P_OF} AS v FROM (SELECT *, (lo + hi) / 2 AS m FROM bis WHERE n < 48))),
+ratio AS (SELECT x.id, CASE WHEN x.p <= 0 THEN 1 ELSE coalesce((b.lo + b.hi) / 2, 2e-2) END AS r FROM x LEFT JOIN (SELECT * FROM bis WHERE n = 48) b ON b.id = x.id)"""
+
+
+def recursive(sql: str, *views: str):
+    """Register as :func:`query` does, for SQL with recursive tables."""
+
+    def register(f):
+        query()(f)
+        ORACLE_SQL[f.__name__] = with_views(sql, *views).replace("WITH ", "WITH RECURSIVE ", 1)
+        return f
+
+    return register
+
+
+#: Every part as a phase of one of seven crystal systems; its axes follow from its size and price.
+_CELL = [
+    "p_partkey % 7 AS kind", "p_partkey AS phase", "31e-1 + 1e-2 * (p_partkey % 90) AS a", "(31e-1 + 1e-2 * (p_partkey % 90)) * CASE WHEN p_partkey % 7 IN (2, 5, 6) THEN 11e-1 ELSE 1e0 END AS b",
+    "(31e-1 + 1e-2 * (p_partkey % 90)) * CASE p_partkey % 7 WHEN 0 THEN 1e0 WHEN 3 THEN 162e-2 WHEN 4 THEN 24e-1 ELSE 13e-1 END AS c",
+    "CASE p_partkey % 7 WHEN 6 THEN 82e0 ELSE 90e0 END AS alpha", "CASE p_partkey % 7 WHEN 5 THEN 105e0 WHEN 6 THEN 97e0 ELSE 90e0 END AS beta",
+    "CASE p_partkey % 7 WHEN 3 THEN 120e0 WHEN 4 THEN 120e0 WHEN 6 THEN 104e0 ELSE 90e0 END AS gamma",
+    "CASE p_partkey % 7 WHEN 0 THEN 'F' WHEN 1 THEN 'I' WHEN 2 THEN 'C' WHEN 3 THEN 'H' WHEN 4 THEN 'R' ELSE 'P' END AS centring",
+]
+#: The state of each part's phase: isotropic, with a softer c axis, with a linear compressibility of a, or rigid; a third is heated.
+_STATE = [
+    "p_size % 30 * 1e0 AS p", "CASE WHEN p_size % 3 = 0 THEN 298e0 + p_partkey % 500 END AS t", "CASE WHEN p_partkey % 4 < 3 THEN 1e2 + p_size * 4e0 END AS k0", "4e0 + p_size % 3 * 5e-1 AS k0p",
+    "CASE WHEN p_partkey % 4 = 1 THEN 6e1 + p_size END AS k0_c", "CASE WHEN p_partkey % 4 = 2 THEN (p_size % 5 - 3) * 1e-3 END AS beta_a", "2e-5 * (p_partkey % 3) AS alpha_v",
+]
+_PARTS = f"SELECT {', '.join(_CELL)} FROM part"
+
+
+def _parts(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "part").selectExpr(*_CELL, *_STATE).withColumnRenamed("phase", "name")
+
+
+_REFL = _refl("SELECT name AS phase, a, a AS b, c, 9e1 AS alpha, 9e1 AS beta, gamma, centring FROM v_phases")
+
+
+def reflections_of(spark: SparkSession, top: int | None = None) -> DataFrame:
+    """The ambient lines of the stand-in phases."""
+    return lattice.reflections(phases(spark), top=top)
+
+
+@query(f"WITH {_refl(_PARTS)} SELECT phase AS id, line, d0 AS d, round(weight, 6) AS weight, CAST(hkl.h AS INT) AS h, CAST(hkl.k AS INT) AS k, CAST(hkl.l AS INT) AS l FROM refl")
 def reflections(spark: SparkSession, sf: str) -> DataFrame:
-    own = table(spark, sf, "part").select("p_partkey", "p_size")
-    return own.join(F.broadcast(reflections_of(spark)), F.lit(True)).selectExpr("p_partkey AS id", "phase", "line", "round(d0 * (1 - p_size * 1e-3), 6) AS d", "round(weight, 6) AS weight")
+    """The lines of every part's crystal."""
+    return lattice.reflections(_parts(spark, sf)).select(F.col("phase").alias("id"), "line", F.col("d0").alias("d"), *_r("weight"), "hkl.h", "hkl.k", "hkl.l")
 
 
-@query()
+def _inverse_d(a: str, b: str, c: str) -> str:
+    """1 / d^2 of hkl in a cell with these axes, by cofactors, as in :func:`_refl`."""
+    g = {"11": f"({a})*({a})", "22": f"({b})*({b})", "33": f"({c})*({c})", "12": f"({a})*({b})*cg", "13": f"({a})*({c})*cb", "23": f"({b})*({c})*ca"}
+    co = {"11": "{22}*{33}-{23}*{23}", "22": "{11}*{33}-{13}*{13}", "33": "{11}*{22}-{12}*{12}", "12": "{13}*{23}-{12}*{33}", "13": "{12}*{23}-{13}*{22}", "23": "{12}*{13}-{11}*{23}"}
+    m = {k: "(" + _filled(v, g) + ")" for k, v in co.items()}
+    det = _filled("({11})*C11+({12})*C12+({13})*C13", g).replace("C11", m["11"]).replace("C12", m["12"]).replace("C13", m["13"])
+    return f"((h*h*{m['11']}+k*k*{m['22']}+l*l*{m['33']}+2*(h*k*{m['12']}+h*l*{m['13']}+k*l*{m['23']}))/({det}))"
+
+
+def _filled(pattern: str, values: dict[str, str]) -> str:
+    for k, v in values.items():
+        pattern = pattern.replace("{" + k + "}", f"({v})")
+    return pattern
+
+
+@recursive(f"""WITH {_refl(_PARTS)}, st AS (SELECT p_partkey AS phase, {', '.join(_STATE)} FROM part),
+{_ratios("SELECT phase * 2 AS id, p, 'BM3' AS eos, k0, k0p FROM st WHERE k0 IS NOT NULL UNION ALL SELECT phase * 2 + 1, p, 'BM3', k0_c, 4e0 FROM st WHERE k0_c IS NOT NULL")},
+sc AS (SELECT st.*, a, b, c, cos(radians(alpha)) AS ca, cos(radians(beta)) AS cb, cos(radians(gamma)) AS cg, coalesce(pow(i.r, 1/3), 1) AS iso, CASE WHEN p <= 0 THEN 1 WHEN beta_a IS NOT NULL THEN exp(beta_a * p) ELSE coalesce(pow(i.r, 1/3), 1) END AS sa, coalesce(pow(z.r, 1/3), pow(i.r, 1/3), 1) AS s3,
+  CASE WHEN t IS NULL THEN 1 ELSE pow(greatest(1e-6, 1 + alpha_v * (t - 298)), 1/3) END AS warm FROM st JOIN cells USING (phase) LEFT JOIN ratio i ON i.id = phase * 2 LEFT JOIN ratio z ON z.id = phase * 2 + 1),
+al AS (SELECT phase, line, d0, weight, p, iso, sa, CASE WHEN abs(a - b) < 1e-6 THEN sa ELSE iso END AS sb, s3, warm, beta_a IS NOT NULL OR k0_c IS NOT NULL AS axial, a, b, c, ca, cb, cg, CAST(hkl.h AS DOUBLE) AS h, CAST(hkl.k AS DOUBLE) AS k, CAST(hkl.l AS DOUBLE) AS l FROM refl JOIN sc USING (phase))
+SELECT phase AS id, p AS pressure, line, round(d0 * warm * CASE WHEN axial THEN sqrt({_inverse_d('a', 'b', 'c')} / {_inverse_d('a*sa', 'b*sb', 'c*s3')}) ELSE iso END, 6) AS d FROM al""")
 def predict_lines(spark: SparkSession, sf: str) -> DataFrame:
-    at = table(spark, sf, "part").selectExpr("p_size * 1e0 AS pressure").distinct().join(F.broadcast(phases(spark).select(F.col("name").alias("phase"))), F.lit(True))
-    return O.predict_lines(reflections_of(spark), phases(spark), at).select("phase", "pressure", "line", *_r("d"))
+    """The lines of every part's crystal at its own pressure and temperature."""
+    own = _parts(spark, sf).withColumn("k0p_c", F.lit(4.0)).withColumn("eos", F.lit("BM3"))
+    at = own.select(F.col("name").alias("phase"), F.col("p").alias("pressure"), F.col("t").alias("temperature"))
+    return lattice.predict_lines(lattice.reflections(own), own, at).select(F.col("phase").alias("id"), "pressure", "line", *_r("d"))
 
 
-_GRID = "lines AS (SELECT phase, i * 25e-1 AS pressure, line, d0 * (1 - i * 25e-4) AS d, weight FROM refl, range(0, 17) t(i))"
+def _eos_lines(n: int) -> str:
+    """lines(phase, pressure, line, d, weight) of the stand-in phases at n pressures from 0 to 100."""
+    return f"""{_REFL}, st AS (SELECT name AS phase, i AS step, i * 100 / {n - 1}e0 AS p, eos, k0, k0p FROM v_phases, range(0, {n}) t(i) WHERE i * 100 / {n - 1}e0 <= p_max), {_ratios("SELECT phase || ':' || step AS id, p, eos, k0, k0p FROM st")},
+lines AS (SELECT phase, p AS pressure, line, d0 * pow(r, 1/3) AS d, weight FROM refl JOIN st USING (phase) JOIN ratio ON id = phase || ':' || step)"""
 
 
-def _grid_lines(spark: SparkSession) -> DataFrame:
-    return reflections_of(spark).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(16)))).selectExpr("phase", "i * 25e-1 AS pressure", "line", "d0 * (1 - i * 25e-4) AS d", "weight")
+def grid_lines(spark: SparkSession, n: int) -> DataFrame:
+    """The same by the operators."""
+    points = spark.range(n).select((F.col("id") * 100 / F.lit(float(n - 1))).alias("pressure"))
+    at = phases(spark).select(F.col("name").alias("phase"), "p_max").join(F.broadcast(points), F.col("pressure") <= F.col("p_max")).drop("p_max")
+    return lattice.predict_lines(reflections_of(spark), phases(spark), at)
 
 
-_SCORE = f"""{_OBS1}, {_REFL}, {_GRID}, near AS (SELECT frame, phase, pressure, line, weight, o.d AS od, abs(o.d - l.d) AS gap, sqrt(pow(1e-2 * l.d, 2) + err * err) AS sigma FROM obs o JOIN lines l ON abs(o.d - l.d) <= 6 * sqrt(pow(1e-2 * l.d, 2) + err * err) AND abs(o.d - l.d) <= 6 * sqrt(pow(1e-2 * l.d, 2) + 1e-4)),
-best AS (SELECT frame, phase, pressure, line, any_value(weight) AS weight, min(struct_pack(g := gap, o := od, k := exp(-5e-1 * pow(gap / sigma, 2)))) AS b FROM near GROUP BY 1, 2, 3, 4),
-score AS (SELECT frame, phase, pressure, sum(weight * b.k) AS score, count(*) FILTER (b.g < 2 * 1e-2 * b.o) AS n_near FROM best GROUP BY 1, 2, 3)"""
+#: Pressures of the two scoring queries, and of the fingerprints.
+_FIT, _COARSE = 101, 21
+_GRID = _eos_lines(_COARSE)
 
 
-@query(f"WITH {_SCORE}, t AS (SELECT frame, phase, max(struct_pack(s := round(score, 9), p := -pressure, n := n_near)) AS t FROM score GROUP BY 1, 2) SELECT frame, phase, round(t.s, 6) AS score, abs(t.p) AS pressure, t.n AS n_near FROM t", "v_peaks")
+def _score(n: int) -> str:
+    return f"""{_OBS1}, {_eos_lines(n)}, near AS (SELECT frame, phase, pressure, line, weight, o.d AS od, abs(o.d - l.d) AS gap, sqrt(pow(1e-2 * l.d, 2) + err * err) AS sigma FROM obs o JOIN (SELECT *, d - 6 * sqrt(pow(1e-2 * d, 2) + 1e-4) AS lo, d + 6 * sqrt(pow(1e-2 * d, 2) + 1e-4) AS hi FROM lines) l ON o.d BETWEEN l.lo AND l.hi),
+best AS (SELECT frame, phase, pressure, line, any_value(weight) AS weight, min(struct_pack(g := gap, o := od, s := sigma)) AS b FROM near GROUP BY 1, 2, 3, 4),
+score AS (SELECT frame, phase, pressure, sum(weight * exp(-5e-1 * pow(b.g / b.s, 2))) AS score, count(*) AS n_near FROM best WHERE b.g <= 6 * b.s GROUP BY 1, 2, 3)"""
+
+
+@recursive(f"WITH {_score(_FIT)}, t AS (SELECT frame, phase, max(struct_pack(s := round(score, 9), p := -pressure, raw := score)) AS t FROM score GROUP BY 1, 2) SELECT frame, phase, round(t.raw, 6) AS score, abs(t.p) AS pressure FROM t", "v_peaks")
 def fit_pressure(spark: SparkSession, sf: str) -> DataFrame:
-    return O.best_pressure(O.score_lines(observed_once(spark, sf), _grid_lines(spark), 0.01)).select("frame", "phase", *_r("score"), "pressure", "n_near")
+    """The best pressure of each phase on a grid of whole GPa."""
+    out = I.best_on_grid(observed_once(spark, sf), phases(spark), reflections_of(spark), 0.01, n_grid=_FIT)
+    return out.filter("score > 0").select("frame", "phase", *_r("score"), "pressure")
 
 
-@query(f"WITH {_SCORE} SELECT frame, phase, pressure, round(score, 6) AS score, n_near FROM score", "v_peaks")
+@recursive(f"WITH {_score(_COARSE)} SELECT frame, phase, pressure, round(score, 6) AS score FROM score WHERE round(score, 6) > 0", "v_peaks")
 def score_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return O.score_lines(observed_once(spark, sf), _grid_lines(spark), 0.01).select("frame", "phase", "pressure", *_r("score"), "n_near")
+    out = I.score_grid(observed_once(spark, sf), phases(spark), reflections_of(spark), [i * 100 / (_COARSE - 1) for i in range(_COARSE)], 0.01)
+    return out.select("frame", "phase", "pressure", *_r("score")).filter("score > 0")
+
+
+def observed_with_amplitudes(spark: SparkSession, sf: str) -> DataFrame:
+    own = view(spark, sf, "v_peaks").filter("flag = 0").selectExpr("frame", "frame * 10000 + k1 * 10 + peak AS obs", "round(2 * pi() / center, 9) AS d", "center_err AS err", "amplitude")
+    return own.groupBy("frame", "obs").agg(F.min("d").alias("d"), F.min("err").alias("err"), F.max("amplitude").alias("amplitude"))
 
 
 @query()
 def run_identification(spark: SparkSession, sf: str) -> DataFrame:
-    own = observed_once(spark, sf)
-    frames = own.select("frame").distinct().withColumn("excluded", F.expr("frame % 17 = 0"))
+    """All frames against all phases: 300 pressures to 100 GPa or within the prior window, lines down to the data's smallest d."""
+    own = observed_with_amplitudes(spark, sf)
     windows = O.pressure_windows(view(spark, sf, "v_frames").selectExpr("frame", "pressure AS prior"))
-    out = O.run_identification(own, frames, phases(spark), reflections_of(spark), n_grid=21, zooms=1, windows=windows)
-    return out.select("frame", "phase", "pressure", *_r("score"), "n_matched", *_r("recall", "precision", "confidence"))
+    frames = own.select("frame").distinct().withColumn("excluded", F.expr("frame % 17 = 0"))
+    d_min = lattice.data_d_min(own.agg(F.min("d").alias("d")).first()["d"])
+    out = I.run_identification(own, frames, phases(spark), lattice.reflections(phases(spark), d_min), windows=windows)
+    return out.select("frame", "phase", *_r("pressure", "score"), "n_matched", *_r("recall", "precision", "intensity_corr", "confidence"))
 
 
 @query("""SELECT frame, pressure AS prior, round(greatest(CASE WHEN frame % 3 = 0 AND frame % 20 > 0 THEN 2e-1 * (frame % 20) ELSE 2e0 END, 3e-1), 9) AS half FROM v_frames WHERE pressure IS NOT NULL""", "v_frames")

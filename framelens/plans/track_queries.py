@@ -9,7 +9,7 @@ from framelens.operators import library as L
 from framelens.operators import peaks as P
 from framelens.operators import tracks as O
 from framelens.plans.catalog import query
-from framelens.plans.match_queries import _GRID, _REFL, _grid_lines
+from framelens.plans.match_queries import _GRID, grid_lines, recursive
 from framelens.plans.peak_queries import _SCORES, scores
 from framelens.plans.views import phases, table, view
 
@@ -148,11 +148,11 @@ def pending_downloads(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _DGRID = "dg AS (SELECT g, 12e-1 + g * 1e-2 AS gx FROM range(0, 300) t(g))"
-_FP = f"""{_REFL}, {_GRID}, {_DGRID}, raw AS (SELECT phase, pressure, g, sum(weight * exp(-5e-1 * pow((gx - d) / (6e-2 / 23548200450309493e-16), 2))) AS v FROM dg JOIN lines ON gx BETWEEN d - 5 * 6e-2 / 23548200450309493e-16 AND d + 5 * 6e-2 / 23548200450309493e-16 GROUP BY 1, 2, 3), fp AS (SELECT phase, pressure, g, v / max(v) OVER (PARTITION BY phase, pressure) AS v FROM raw)"""
+_FP = f"""{_GRID}, {_DGRID}, raw AS (SELECT phase, pressure, g, sum(weight * exp(-5e-1 * pow((gx - d) / (6e-2 / 23548200450309493e-16), 2))) AS v FROM dg JOIN lines ON gx BETWEEN d - 5 * 6e-2 / 23548200450309493e-16 AND d + 5 * 6e-2 / 23548200450309493e-16 GROUP BY 1, 2, 3), fp AS (SELECT phase, pressure, g, v / max(v) OVER (PARTITION BY phase, pressure) AS v FROM raw)"""
 
 
 def _prints(spark: SparkSession) -> DataFrame:
-    return L.fingerprints(_grid_lines(spark), spark.range(300).selectExpr("id AS g", "12e-1 + id * 1e-2 AS gx"), 0.06)
+    return L.fingerprints(grid_lines(spark, 21), spark.range(300).selectExpr("id AS g", "12e-1 + id * 1e-2 AS gx"), 0.06)
 
 
 _FEAT = "ft AS (SELECT frame, CAST(floor((2 * pi() / center - 12e-1) / 1e-2) AS BIGINT) AS g, sum(amplitude) AS v FROM v_peaks WHERE flag = 0 AND 2 * pi() / center BETWEEN 12e-1 AND 419e-2 GROUP BY 1, 2)"
@@ -163,7 +163,7 @@ def _features(spark: SparkSession, sf: str) -> DataFrame:
     return own.groupBy("frame", F.floor((F.col("d") - 1.2) / 0.01).cast("long").alias("g")).agg(F.sum("amplitude").alias("value"))
 
 
-@query(f"WITH {_FP}, {_FEAT} SELECT frame, ft.g, phase, pressure, round(fp.v, 6) AS value FROM ft JOIN fp ON fp.g = ft.g", "v_peaks")
+@recursive(f"WITH {_FP}, {_FEAT} SELECT frame, ft.g, phase, pressure, round(fp.v, 6) AS value FROM ft JOIN fp ON fp.g = ft.g", "v_peaks")
 def fingerprint_library(spark: SparkSession, sf: str) -> DataFrame:
     own = _features(spark, sf).select("frame", "g")
     return own.join(_prints(spark), "g").select("frame", "g", "phase", "pressure", *_r("value"))
@@ -176,7 +176,7 @@ def frame_features(spark: SparkSession, sf: str) -> DataFrame:
     return _features(spark, sf).select("frame", "g", F.round(F.col("value") / F.max("value").over(Window.partitionBy("frame")), 6).alias("value"))
 
 
-@query(f"""WITH {_FP}, {_FEAT}, fn AS (SELECT frame, sqrt(sum(v*v)) AS fn FROM ft GROUP BY 1), pn AS (SELECT phase, pressure, sqrt(sum(v*v)) AS pn FROM fp GROUP BY 1, 2), dt AS (SELECT frame, phase, pressure, sum(ft.v * fp.v) AS dot FROM ft JOIN fp ON fp.g = ft.g GROUP BY 1, 2, 3),
+@recursive(f"""WITH {_FP}, {_FEAT}, fn AS (SELECT frame, sqrt(sum(v*v)) AS fn FROM ft GROUP BY 1), pn AS (SELECT phase, pressure, sqrt(sum(v*v)) AS pn FROM fp GROUP BY 1, 2), dt AS (SELECT frame, phase, pressure, sum(ft.v * fp.v) AS dot FROM ft JOIN fp ON fp.g = ft.g GROUP BY 1, 2, 3),
 s AS (SELECT frame, phase, max(struct_pack(s := round(dot / (fn * pn), 9), p := -pressure)) AS b FROM dt JOIN fn USING (frame) JOIN pn USING (phase, pressure) GROUP BY 1, 2), r AS (SELECT frame, phase, b.s AS score, abs(b.p) AS pressure, row_number() OVER (PARTITION BY frame ORDER BY b.s DESC, phase) AS rank FROM s)
 SELECT frame, phase, round(score, 6) AS score, pressure, CAST(rank AS INT) AS rank FROM r WHERE rank <= 3""", "v_peaks")
 def rank_candidates(spark: SparkSession, sf: str) -> DataFrame:
@@ -186,7 +186,7 @@ def rank_candidates(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def rank_then_verify(spark: SparkSession, sf: str) -> DataFrame:
     """The shortlist of the ranking is the candidate set of the identification."""
-    from framelens.operators.matching import run_identification
+    from framelens.operators.identify import run_identification
     from framelens.operators.shared import stored
     from framelens.plans.match_queries import observed_once, reflections_of
 
@@ -194,7 +194,7 @@ def rank_then_verify(spark: SparkSession, sf: str) -> DataFrame:
     own = observed_once(spark, sf)
     frames = own.select("frame").distinct().withColumn("excluded", F.lit(False))
     few = phases(spark).join(ranked, F.col("name") == F.col("phase"), "left_semi")
-    return run_identification(own, frames, few, reflections_of(spark), n_grid=13, zooms=0).select("frame", "phase", "pressure", *_r("score"), "n_matched", *_r("confidence"))
+    return run_identification(own, frames, few, reflections_of(spark)).select("frame", "phase", "pressure", *_r("score"), "n_matched", *_r("confidence"))
 
 
 def _truth(spark: SparkSession, sf: str) -> DataFrame:

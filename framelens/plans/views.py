@@ -39,15 +39,15 @@ _DUCK_SOURCES = {
     "#events": "(SELECT *, epoch(ts) AS s FROM events)",
 }
 
-#: Phases as (name, category, crystal axes a and c, equation of state, K0, K0', highest pressure): fixed values.
+#: Phases as (name, category, crystal axes a and c, equation of state, K0, K0', highest pressure, angle gamma, centring): fixed values.
 PHASES = (
-    ("Au", "marker", 4.0782, 4.0782, "BM3", 167.0, 5.5, 200.0),
-    ("Pt", "marker", 3.9231, 3.9231, "Vinet", 273.0, 5.2, 200.0),
-    ("W", "marker", 3.1652, 3.1652, "BM3", 308.0, 4.2, 150.0),
-    ("MgO", "sample", 4.2117, 4.2117, "BM3", 160.2, 3.99, 150.0),
-    ("Re", "gasket", 2.761, 4.456, "BM3", 353.0, 4.8, 150.0),
+    ("Au", "marker", 4.0782, 4.0782, "BM3", 167.0, 5.5, 200.0, 90.0, "F"),
+    ("Pt", "marker", 3.9231, 3.9231, "Vinet", 273.0, 5.2, 200.0, 90.0, "F"),
+    ("W", "marker", 3.1652, 3.1652, "BM3", 308.0, 4.2, 150.0, 90.0, "I"),
+    ("MgO", "sample", 4.2117, 4.2117, "BM3", 160.2, 3.99, 150.0, 90.0, "F"),
+    ("Re", "gasket", 2.761, 4.456, "BM3", 353.0, 4.8, 150.0, 120.0, "H"),
 )
-PHASE_COLUMNS = "name string, category string, a double, c double, eos string, k0 double, k0p double, p_max double"
+PHASE_COLUMNS = "name string, category string, a double, c double, eos string, k0 double, k0p double, p_max double, gamma double, centring string"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,7 +72,7 @@ def phases(spark: SparkSession) -> DataFrame:
 
 def phases_sql() -> str:
     rows = ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else f"{x!r}::DOUBLE" for x in p) + ")" for p in PHASES)
-    return f"v_phases(name, category, a, c, eos, k0, k0p, p_max) AS (VALUES {rows})"
+    return f"v_phases(name, category, a, c, eos, k0, k0p, p_max, gamma, centring) AS (VALUES {rows})"
 
 
 def with_views(sql: str, *views: str) -> str:
