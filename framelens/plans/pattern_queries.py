@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framelens.functions import columns as C
+from framelens.operators import joint_fit as J
 from framelens.operators import patterns as O
 from framelens.plans.catalog import query
 from framelens.plans.views import table, view
@@ -167,6 +168,15 @@ def _candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def peak_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """Joint fits of all candidates, with the frame's own noise."""
+    bins = view(spark, sf, "v_bins")
+    out = J.fit_jointly(bins, _candidates(spark, sf), "mean", O.mad_sigma(bins, "mean"))
+    return out.select("frame", "id", *_r("height", "center", "fwhm", "eta", "area", "chi2", "chi2_local", "rel_misfit", "center_err", "height_err", "fwhm_err", n=4), "flag", "n_group")
+
+
+@query()
+def peak_fit_alone(spark: SparkSession, sf: str) -> DataFrame:
+    """Each candidate alone on a grid of shapes, by columns only."""
     out = O.fit_peaks(view(spark, sf, "v_bins"), _candidates(spark, sf), "mean", rounds=1)
     return out.select("frame", "id", *_r("height", "center", "fwhm", "eta", "area", n=5), "flag")
 
@@ -182,11 +192,12 @@ def subtract_profiles(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def subtract_and_refit(spark: SparkSession, sf: str) -> DataFrame:
     bins = view(spark, sf, "v_bins")
-    fitted = O.fit_peaks(bins, _candidates(spark, sf), "mean", rounds=1).filter("flag % 2 = 0")
+    fitted = J.fit_jointly(bins, _candidates(spark, sf), "mean", O.mad_sigma(bins, "mean")).filter("flag < 16 AND height > 0")
     rest = O.subtract_profiles(bins, fitted, "mean")
     maxima = O.local_maxima(rest, "residual", O.mad_sigma(rest, "residual"), 8.0)
     again = maxima.selectExpr("frame", "bin AS id", "1e0 + 1e-1 * bin AS center", "25e-2 AS fwhm")
-    return O.fit_peaks(rest, again, "residual", rounds=1).filter("flag % 2 = 0").select("frame", "id", *_r("height", "center", n=5))
+    kept = J.fit_jointly(rest, again, "residual", O.mad_sigma(rest, "residual")).filter("flag = 0")
+    return kept.select("frame", "id", *_r("height", "center", n=4))
 
 
 @query("SELECT o_orderkey AS id, o_totalprice AS v FROM orders WHERE o_totalprice BETWEEN 2e3 AND 3e5")
