@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,24 +29,40 @@ def band_join(left: DataFrame, right: DataFrame, keys: list[str], x: str, lo: Co
 
 
 def nearest_match(predicted: DataFrame, observed: DataFrame) -> DataFrame:
-    """For each predicted line (frame, line, d) the nearest observed d of its frame; the smaller one on ties."""
-    lists = observed.groupBy("frame").agg(F.collect_list("d").alias("ds"))
-    best = F.array_min(F.transform("ds", lambda o: F.struct(F.abs(o - F.col("d")).alias("gap"), o.alias("near"))))
-    return predicted.join(lists, "frame", "left").select("frame", "line", "d", best["near"].alias("near"), best["gap"].alias("gap"))
+    """For each predicted line (frame, line, d) the nearest observed d of its frame; the smaller one on ties, null without any.
 
+    Both are sorted together by frame and d; the nearest is the last observed d up to the line or the first one after it.
+    """
+    none = F.lit(None).cast(predicted.schema["line"].dataType)
+    both = predicted.select("frame", "line", "d", F.lit(None).cast("double").alias("o"), F.lit(1).alias("kind")).unionByName(observed.filter("d IS NOT NULL").select("frame", none.alias("line"), "d", F.col("d").alias("o"), F.lit(0).alias("kind")))
+    sorted_ = Window.partitionBy("frame").orderBy("d", "kind")  # an observed d before a line at the same place
+    below = F.last("o", ignorenulls=True).over(sorted_.rowsBetween(Window.unboundedPreceding, 0))
+    above = F.first("o", ignorenulls=True).over(sorted_.rowsBetween(0, Window.unboundedFollowing))
+    lines = both.select("frame", "line", "d", "kind", below.alias("below"), above.alias("above")).filter("kind = 1")
+    near = F.when(F.col("above").isNull() | (F.col("d") - F.col("below") <= F.col("above") - F.col("d")), F.col("below")).otherwise(F.col("above"))
+    return lines.select("frame", "line", "d", near.alias("near"), F.abs(near - F.col("d")).alias("gap"))
 
-def greedy_pairs(candidates: DataFrame, group: list[str], gap: str, left: str, right: str) -> DataFrame:
-    """One-to-one pairs, closest first, of (group, left, right, gap): an exact fold over the sorted candidates of a group."""
-    packed = candidates.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(F.col(gap).alias("g"), F.col(left).alias("i"), F.col(right).alias("j")))).alias("c"))
-    kind = packed.schema["c"].dataType
-    item = kind.elementType
-    empty = F.struct(F.array().cast(kind).alias("kept"), F.array().cast(f"array<{item['i'].dataType.simpleString()}>").alias("is"), F.array().cast(f"array<{item['j'].dataType.simpleString()}>").alias("js"))
 
-    def step(s: Column, x: Column) -> Column:
-        free = ~F.array_contains(s["is"], x["i"]) & ~F.array_contains(s["js"], x["j"])
-        return F.when(free, F.struct(F.array_append(s["kept"], x).alias("kept"), F.array_append(s["is"], x["i"]).alias("is"), F.array_append(s["js"], x["j"]).alias("js"))).otherwise(s)
+def _closest_first(lefts: pd.Series, rights: pd.Series) -> pd.Series:
+    """The places of the candidates that are taken: each whose two sides are still free when it comes up."""
+
+    def taken(left: list, right: list) -> list[int]:
+        used, out = (set(), set()), []
+        for k, (i, j) in enumerate(zip(left, right)):
+            if i not in used[0] and j not in used[1]:
+                used[0].add(i)
+                used[1].add(j)
+                out.append(k)
+        return out
 
-    kept = packed.select(*group, F.explode(F.aggregate("c", empty, step, lambda s: s["kept"])).alias("x"))
+    return pd.Series([taken(a, b) for a, b in zip(lefts, rights)])
+
+
+def greedy_pairs(candidates: DataFrame, group: list[str], gap: str, left: str, right: str) -> DataFrame:
+    """One-to-one pairs, closest first, of (group, left, right, gap), ties by left and right: one pass over a group's sorted candidates."""
+    packed = candidates.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(F.col(gap).alias("g"), F.col(left).alias("i"), F.col(right).alias("j")))).alias("c"))
+    sides = [F.transform("c", lambda x: x.getField("i").cast("string")), F.transform("c", lambda x: x.getField("j").cast("string"))]
+    kept = packed.withColumn("k", F.pandas_udf(_closest_first, "array<int>")(*sides)).select(*group, F.explode(F.transform("k", lambda k: F.get(F.col("c"), k))).alias("x"))
     return kept.select(*group, F.col("x.i").alias(left), F.col("x.j").alias(right), F.col("x.g").alias(gap))
 
 

@@ -33,6 +33,13 @@ def link_tracks(spark: SparkSession, sf: str) -> DataFrame:
     return O.link_tracks(observations(spark, sf), least=3).select("grp", "island", "track", "id", "x", *_r("center"))
 
 
+@query()
+def link_sloped_tracks(spark: SparkSession, sf: str) -> DataFrame:
+    """Tracks that follow the slope of their last four points, with at most six samples of the axis between two points."""
+    out = O.link_tracks(observations(spark, sf), max_gap=2, least=3, max_axis_gap=6.0, predictor=True)
+    return out.select("grp", "island", "track", "id", "x", *_r("center"))
+
+
 _POINTS = "pts AS (SELECT DISTINCT track, o % 60 + 60 * (track % 7) AS frame FROM (SELECT (l_partkey + l_suppkey) % 13 * 40 + l_suppkey % 40 AS track, l_orderkey AS o FROM lineitem))"
 
 
