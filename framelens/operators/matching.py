@@ -196,7 +196,7 @@ def diamond_lines(a: float = 3.56683, q_max: float = 8.0, most: int = 8):
 
     def build(frames: DataFrame, low: float = 0.02, high: float = 0.04) -> DataFrame:
         index = F.sequence(F.lit(0), F.lit(most))
-        one = frames.limit(1).select(F.explode(index).alias("h")).withColumn("k", F.explode(index)).withColumn("l", F.explode(index)).filter("h >= k AND k >= l AND h > 0")
+        one = frames.sparkSession.range(1).select(F.explode(index).alias("h")).withColumn("k", F.explode(index)).withColumn("l", F.explode(index)).filter("h >= k AND k >= l AND h > 0")
         odd = F.expr("h % 2 = 1 AND k % 2 = 1 AND l % 2 = 1")
         even = F.expr("h % 2 = 0 AND k % 2 = 0 AND l % 2 = 0 AND (h + k + l) % 4 = 0")
         q = F.round(PI2 / a * F.sqrt(F.expr("h * h + k * k + l * l")), 6)

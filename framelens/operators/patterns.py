@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,23 +125,56 @@ def local_maxima(bins: DataFrame, y: str, sigma: DataFrame, snr: float, edge: in
     return peaks.select("frame", middle.alias("bin"), F.col("y").alias("height")).join(sigma, "frame").filter(F.col("height") >= snr * F.col("sigma")).select("frame", "bin", "height")
 
 
+def _bases(y: list[float]) -> list[float]:
+    """For each value the lowest one back to the last higher value, itself included: one pass with a falling stack."""
+    out, stack = [], []
+    for v in y:
+        low = v
+        while stack and stack[-1][0] <= v:
+            low = min(low, stack.pop()[1])
+        stack.append((v, low))
+        out.append(low)
+    return out
+
+
+SHAPES = "frame long, bin int, height double, prominence double, width int"
+
+
+def _shapes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for frame, at, y, peaks, heights in batch[["frame", "at", "y", "peaks", "heights"]].itertuples(index=False, name=None):
+            at, y, peaks, heights = np.asarray(at), np.asarray(y, dtype=float), np.asarray(peaks), np.asarray(heights, dtype=float)
+            left, right = np.array(_bases(y.tolist())), np.array(_bases(y[::-1].tolist())[::-1])
+            place = np.searchsorted(at, peaks)
+            widths = []
+            for k, h in zip(place, heights):
+                low = np.flatnonzero(y <= h / 2)
+                i, j = np.searchsorted(low, k), np.searchsorted(low, k, side="right")
+                widths.append(int(at[low[j]] - at[low[i - 1]]) if 0 < i and j < len(low) else None)
+            rows = pd.DataFrame({"frame": frame, "bin": peaks, "height": heights, "prominence": heights - np.maximum(left[place], right[place])})
+            yield rows.assign(width=pd.array(widths, dtype="Int32"))
+
+
+def peak_shapes(bins: DataFrame, maxima: DataFrame, y: str) -> DataFrame:
+    """frame, bin, height, prominence, width of maxima (frame, bin, height) of a pattern.
+
+    The prominence is the height over the higher of the two lowest points before a higher bin on each side, the width the
+    distance in bins of the nearest bins at or below half height, null without one. A frame's pattern is one row.
+    """
+    pattern = bins.filter(F.col(y).isNotNull()).groupBy("frame").agg(F.array_sort(F.collect_list(F.struct("bin", F.col(y).cast("double").alias("y")))).alias("b"))
+    tops = maxima.groupBy("frame").agg(F.array_sort(F.collect_list(F.struct("bin", F.col("height").cast("double").alias("height")))).alias("m"))
+    packed = tops.join(pattern, "frame").select(F.col("frame").cast("long").alias("frame"), F.col("b.bin").alias("at"), F.col("b.y").alias("y"), F.col("m.bin").alias("peaks"), F.col("m.height").alias("heights"))
+    return packed.mapInPandas(_shapes, SHAPES)
+
+
 def prominence(bins: DataFrame, maxima: DataFrame, y: str) -> DataFrame:
-    """frame, bin, height, prominence: height over the higher of the two lowest points before a higher bin on each side."""
-    own = bins.select("frame", F.col("bin").alias("j"), F.col(y).alias("y"))
-    joined = maxima.join(own, "frame")
-    walls = joined.groupBy("frame", "bin", "height").agg(F.max(F.when((F.col("j") < F.col("bin")) & (F.col("y") > F.col("height")), F.col("j"))).alias("wl"), F.min(F.when((F.col("j") > F.col("bin")) & (F.col("y") > F.col("height")), F.col("j"))).alias("wr"))
-    low = walls.join(own, "frame").groupBy("frame", "bin", "height").agg(
-        F.min(F.when((F.col("j") <= F.col("bin")) & (F.col("j") > F.coalesce("wl", F.lit(-1))), F.col("y"))).alias("l"), F.min(F.when((F.col("j") >= F.col("bin")) & (F.col("j") < F.coalesce("wr", F.lit(1 << 30))), F.col("y"))).alias("r")
-    )
-    return low.select("frame", "bin", "height", (F.col("height") - F.greatest("l", "r")).alias("prominence"))
+    """frame, bin, height, prominence of :func:`peak_shapes`."""
+    return peak_shapes(bins, maxima, y).drop("width")
 
 
 def half_widths(bins: DataFrame, maxima: DataFrame, y: str) -> DataFrame:
-    """frame, bin, width: distance in bins of the nearest bins at or below half height on both sides."""
-    own = bins.select("frame", F.col("bin").alias("j"), F.col(y).alias("y"))
-    half = F.col("y") <= F.col("height") / 2
-    sides = maxima.join(own, "frame").groupBy("frame", "bin", "height").agg(F.max(F.when(half & (F.col("j") < F.col("bin")), F.col("j"))).alias("l"), F.min(F.when(half & (F.col("j") > F.col("bin")), F.col("j"))).alias("r"))
-    return sides.select("frame", "bin", "height", (F.col("r") - F.col("l")).alias("width"))
+    """frame, bin, height, width of :func:`peak_shapes`."""
+    return peak_shapes(bins, maxima, y).drop("prominence")
 
 
 def resample(bins: DataFrame, grid: DataFrame, x: str, y: str, width: float, outside: float | None = 0.0) -> DataFrame:

@@ -15,9 +15,12 @@ HOT_PARTS = 1000
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared place that the session names; a temporary one only where none is named."""
+    """A new folder in the shared place that the session names; without one a temporary folder, in a single local process only."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"

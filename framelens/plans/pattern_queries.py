@@ -97,8 +97,7 @@ SELECT w.frame, w.bin, round(height - greatest(min(mean) FILTER (b.bin <= w.bin
 def peak_prominence(spark: SparkSession, sf: str) -> DataFrame:
     bins = view(spark, sf, "v_bins")
     maxima = O.local_maxima(bins, "mean", O.mad_sigma(bins, "mean"), 8.0)
-    widths = O.half_widths(bins, maxima, "mean").select("frame", "bin", "width")
-    return O.prominence(bins, maxima, "mean").join(widths, ["frame", "bin"]).select("frame", "bin", *_r("prominence"), "width")
+    return O.peak_shapes(bins, maxima, "mean").select("frame", "bin", *_r("prominence"), "width")
 
 
 _GRID = "grid AS (SELECT g, 12e-1 + g * 17e-2 AS gx FROM range(0, 40) t(g))"
