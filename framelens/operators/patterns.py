@@ -190,6 +190,44 @@ def resample(bins: DataFrame, grid: DataFrame, x: str, y: str, width: float, out
     return every.join(inside, ["frame", "g"], "left").select("frame", "g", F.coalesce("value", F.lit(outside).cast("double")).alias("value"))
 
 
+def common_axis(points: DataFrame, x: str, least: int = 16) -> tuple[DataFrame, DataFrame]:
+    """The frames of ``points`` with ``least`` points or more, and the axis (g, gx) that they share.
+
+    It reaches from the smallest to the largest x of these frames, in steps of the median of their median steps. Its length
+    is that of an axis; without any such frame it is empty.
+    """
+    steps = points.filter(F.col(x).isNotNull()).select("frame", F.col(x).cast("double").alias("x")).withColumn("dx", F.col("x") - F.lag("x").over(Window.partitionBy("frame").orderBy("x")))
+    per = steps.groupBy("frame").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.median("dx").alias("step")).filter(F.col("n") >= least)
+    whole = per.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.median("step").alias("step")).filter("step > 0")
+    last = F.ceil((F.col("hi") - F.col("lo")) / F.col("step") - 0.5 + 1)
+    numbers = whole.select("lo", "hi", "step", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("g"))
+    axis = numbers.withColumn("gx", F.col("lo") + F.col("g") * F.col("step")).filter(F.col("gx") < F.col("hi") + F.col("step") / 2)
+    return per.select("frame"), axis.select("g", "gx")
+
+
+def onto_common_axis(points: DataFrame, x: str, y: str, least: int = 16) -> DataFrame:
+    """frame, g, gx, value: every frame of :func:`common_axis` at every place of the axis, between its points by lines, outside its own range null."""
+    frames, axis = common_axis(points, x, least)
+    own = points.join(frames, "frame", "left_semi")
+    width = 8.0 * (axis.agg((F.max("gx") - F.min("gx")).alias("w"), F.count(F.lit(1)).alias("n")).select((F.col("w") / F.col("n")).alias("s")).first()["s"] or 1.0)
+    return resample(own, axis, x, y, width, outside=None).join(F.broadcast(axis), "g").select("frame", "g", "gx", "value")
+
+
+def in_range(points: DataFrame, x: str, lo: float | None = None, hi: float | None = None) -> DataFrame:
+    """The rows whose x lies in [lo, hi]; a limit that is None is open. Rows without an x go where there is a limit."""
+    out = points if lo is None else points.filter(F.col(x) >= lo)
+    return out if hi is None else out.filter(F.col(x) <= hi)
+
+
+def fit_window(bins: DataFrame, edge: int, lo: float | None = None, hi: float | None = None) -> DataFrame:
+    """``bins`` (bin, radial) with valid: not within ``edge`` bins of either end of the axis, and in [lo, hi]."""
+    last = bins.agg(F.max("bin").alias("_last"))  # one row
+    inside = F.col("bin").between(F.lit(edge), F.col("_last") - edge)
+    for limit, ok in ((lo, F.col("radial") >= F.lit(lo)), (hi, F.col("radial") <= F.lit(hi))):
+        inside = inside if limit is None else inside & ok
+    return bins.join(F.broadcast(last), F.lit(True)).withColumn("valid", inside).drop("_last")
+
+
 def fit_source(separated: DataFrame, kind: str) -> DataFrame:
     """frame, y: the channel that peaks are fitted on."""
     add = lambda a, b: F.zip_with(a, b, lambda x, z: x + z)

@@ -147,16 +147,29 @@ def best_frame_per_pressure(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT frame, bin, radial, bin BETWEEN 2 AND 63 - 2 AND radial BETWEEN 15e-1 AND 6 AS valid FROM v_bins", "v_bins")
 def fit_window(spark: SparkSession, sf: str) -> DataFrame:
-    return view(spark, sf, "v_bins").select("frame", "bin", "radial", (F.col("bin").between(2, 61) & F.col("radial").between(1.5, 6)).alias("valid"))
+    return O.fit_window(view(spark, sf, "v_bins"), 2, 1.5, 6.0).select("frame", "bin", "radial", "valid")
 
 
-@query("WITH r AS (SELECT frame, min(radial) AS lo, max(radial) AS hi, any_value(1e-1) AS step FROM v_bins WHERE bin BETWEEN frame % 5 AND 60 GROUP BY frame) SELECT round(min(lo), 6) AS lo, round(max(hi), 6) AS hi, round(median(step), 6) AS step FROM r", "v_bins")
+@query("SELECT frame, round(sum(mean), 6) AS total, round(max(mean), 6) AS top FROM v_bins WHERE radial BETWEEN 2 AND 4 GROUP BY frame", "v_bins")
+def roi_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Total and highest value of each frame in a radial window."""
+    return O.in_range(view(spark, sf, "v_bins"), "radial", 2.0, 4.0).groupBy("frame").agg(F.round(F.sum("mean"), 6).alias("total"), F.round(F.max("mean"), 6).alias("top"))
+
+
+#: Patterns whose axes begin and end at different places and lie between each other's points; every eleventh is short.
+_OWN_AXES = ["frame", "radial + 1e-2 * (frame % 3) AS x", "mean AS y"]
+_OWN_BINS = "bin BETWEEN frame % 5 AND 60 - frame % 3 AND (frame % 11 > 0 OR bin < 15)"
+
+
+@query(f"""WITH o AS (SELECT {', '.join(_OWN_AXES)} FROM v_bins WHERE {_OWN_BINS}), s AS (SELECT frame, x, y, x - lag(x) OVER w AS dx, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM o WINDOW w AS (PARTITION BY frame ORDER BY x)),
+p AS (SELECT frame, min(x) AS lo, max(x) AS hi, median(dx) AS step FROM s GROUP BY frame HAVING count(*) >= 16), a AS (SELECT min(lo) AS lo, max(hi) AS hi, median(step) AS step FROM p),
+ax AS (SELECT i AS g, lo + i * step AS gx FROM a, range(0, 1000) t(i) WHERE lo + i * step < hi + step / 2),
+v AS (SELECT frame, g, arg_max(y + (y1 - y) * (gx - x) / (x1 - x), x) AS value FROM s JOIN p USING (frame) JOIN ax ON gx BETWEEN x AND x1 GROUP BY 1, 2)
+SELECT p.frame, ax.g, round(gx, 6) AS radial, round(value, 6) AS value FROM p CROSS JOIN ax LEFT JOIN v ON v.frame = p.frame AND v.g = ax.g""", "v_bins")
 def common_axis_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    """The common axis of many patterns: union of their ranges, median of their median steps."""
-    own = view(spark, sf, "v_bins").filter("bin BETWEEN frame % 5 AND 60")
-    steps = own.withColumn("s", F.col("radial") - F.lag("radial").over(Window.partitionBy("frame").orderBy("radial")))
-    per = steps.groupBy("frame").agg(F.count(F.lit(1)).alias("n"), F.min("radial").alias("lo"), F.max("radial").alias("hi"), F.median("s").alias("step")).filter("n >= 16")
-    return per.agg(F.round(F.min("lo"), 6).alias("lo"), F.round(F.max("hi"), 6).alias("hi"), F.round(F.median("step"), 6).alias("step"))
+    """Many patterns on one axis: union of their ranges, median of their median steps, nothing outside a pattern's own range."""
+    own = view(spark, sf, "v_bins").filter(_OWN_BINS).selectExpr(*_OWN_AXES)
+    return O.onto_common_axis(own, "x", "y").select("frame", "g", F.round("gx", 6).alias("radial"), *_r("value"))
 
 
 def _candidates(spark: SparkSession, sf: str) -> DataFrame:
