@@ -98,3 +98,33 @@ def test_greedy_with_many_candidates(spark):
             right.add(j)
             want.append((i, j, g))
     assert sorted((r.i, r.j, r.gap) for r in got) == sorted(want)
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.6, 0.9])
+def test_clusters_by_hand(spark, threshold):
+    """Random sets of frames, one frame that all tracks share, equal sets, single frames."""
+    rng = random.Random(9)
+    sets = {t: {0, *rng.sample(range(1, 12), rng.randrange(0, 6))} for t in range(1, 160)} | {500 + t: {0} for t in range(30)}
+    for t in range(160, 200):
+        sets[t] = set(sets[t - 150])
+    parent = {t: t for t in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= threshold:
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    points = spark.createDataFrame([(t, f) for t, own in sets.items() for f in own] * 2, "track long, frame long")
+    assert {r.track: r.cluster for r in tracks.cluster_tracks(points, threshold).collect()} == {t: find(t) for t in sets}
+
+
+def test_a_frame_of_very_many_tracks(spark):
+    """100,000 tracks that share one frame and have two of their own: no pair of them is made, each is its own cluster."""
+    points = spark.range(100_000).selectExpr("id AS track", "explode(array(0L, 2 * id + 1, 2 * id + 2)) AS frame")
+    got = tracks.cluster_tracks(points)
+    assert got.filter("track = cluster").count() == 100_000
