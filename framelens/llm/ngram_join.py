@@ -126,9 +126,11 @@ def _blocks(n: int, bits: int) -> Callable:
         sizes = np.array([len(s) for s in sets], dtype=np.int64)
         rows = pd.DataFrame({"row": begin + np.arange(len(sets)), "doc_id": np.array(ids, dtype=np.int64), "class_key": keys, "n": sizes, "block": begin})
         yield rows.assign(part=pd.array([None] * len(rows), dtype="Int64"), counts=None, tokens=None)
-        # Of equal sets of a block one is counted; which one stands for all others anywhere is known later.
+        # Of equal sets of a block that of the smallest doc_id is counted: no other can stand for all of them everywhere.
         first: dict[bytes, int] = {}
-        own = np.array([first.setdefault(k, i) == i for i, k in enumerate(keys)])
+        for i in np.lexsort((np.arange(len(ids)), np.array(ids, dtype=np.int64))).tolist():
+            first.setdefault(keys[i], i)
+        own = np.array([first[k] == i for i, k in enumerate(keys)])
         all_tokens = np.concatenate([s if o else s[:0] for s, o in zip(sets, own)])
         owner = np.repeat(np.arange(len(sets)), np.where(own, sizes, 0))
         parts = (all_tokens >> part_of).astype(np.int64)
