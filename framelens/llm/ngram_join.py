@@ -8,12 +8,14 @@ many share stands at the end of the first order.
 
 Counts: texts stay where they are and are read once. A block of documents sends its tokens, five bytes each, to the
 range of hashes that each lies in; the range counts them over all different sets, and returns to each block the shared
-ones and how many each set has alone. A set with too few shared tokens for any partner is out.
+ones and how many each set has alone. Rows are written only for ranges that a block has tokens in, so they are never more
+than the tokens. A set with too few shared tokens for any partner is out.
 
 The result is the connected components, so copies and large groups need no list of pairs. Equal sets are one
 node. All nodes of a token's list are compared with its centre, the node that has least before this token; that
 joins most of a large group at the cost of one pair a node and list, and the centre is then done in this list. After that
-only pairs across components are made, each of a node outside the centre's component.
+only pairs across components are made, each of a node outside the centre's component, by bands of sizes and with long lists
+dealt to several tasks.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ BLOCK_DOCS, BLOCK_TOKENS = 2048, 2_000_000
 TOKEN_BYTES, RANGE_TOKENS = 5, 2_000_000
 #: The pairs of a centre are dealt to so many tasks at most.
 SPREAD = 256
+#: Rows that a block hands over at once, and nodes of a list that meet its others in one task.
+ROWS_AT_ONCE, LIST_NODES = 4096, 1000
 #: The id that stands for a null doc_id.
 NO_ID = -(1 << 63)
 STAR_ROUNDS = 2
@@ -110,13 +114,14 @@ def _from_low_bytes(x: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-BLOCKS = "row long, doc_id long, class_key binary, n long, block long, part long, counts binary, tokens binary"
+BLOCKS = "row long, doc_id long, class_key binary, n long, block long, part long, who binary, counts binary, tokens binary"
 
 
 def _blocks(n: int, bits: int) -> Callable:
-    """A row for each document (its number ``row``, digest and size of its set), and one for each block and range of hashes.
+    """A row for each document (its number ``row``, digest and size of its set), and one for each block and range of hashes that it has tokens in.
 
-    ``counts`` has how many tokens each document of the block has in this range, ``tokens`` their lower bytes.
+    ``who`` has the documents of the block with tokens in this range, ``counts`` how many each has, ``tokens`` their lower bytes.
+    So a block's rows are at most as many as its tokens, however many ranges there are.
     """
     part_of, below = np.uint64(64 - bits), np.uint64(64 - bits - 8 * TOKEN_BYTES)
     mask = np.uint64((1 << (8 * TOKEN_BYTES)) - 1)
@@ -125,22 +130,26 @@ def _blocks(n: int, bits: int) -> Callable:
         keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
         sizes = np.array([len(s) for s in sets], dtype=np.int64)
         rows = pd.DataFrame({"row": begin + np.arange(len(sets)), "doc_id": np.array(ids, dtype=np.int64), "class_key": keys, "n": sizes, "block": begin})
-        yield rows.assign(part=pd.array([None] * len(rows), dtype="Int64"), counts=None, tokens=None)
+        yield rows.assign(part=pd.array([None] * len(rows), dtype="Int64"), who=None, counts=None, tokens=None)
         # Of equal sets of a block that of the smallest doc_id is counted: no other can stand for all of them everywhere.
         first: dict[bytes, int] = {}
         for i in np.lexsort((np.arange(len(ids)), np.array(ids, dtype=np.int64))).tolist():
             first.setdefault(keys[i], i)
         own = np.array([first[k] == i for i, k in enumerate(keys)])
         all_tokens = np.concatenate([s if o else s[:0] for s, o in zip(sets, own)])
-        owner = np.repeat(np.arange(len(sets)), np.where(own, sizes, 0))
-        parts = (all_tokens >> part_of).astype(np.int64)
-        order = np.argsort(parts.astype(np.uint32), kind="stable")
-        low = (all_tokens[order] >> below) & mask
-        counts = np.bincount(parts * len(sets) + owner, minlength=len(sets) << bits).reshape(1 << bits, len(sets)).astype(np.uint32)
-        ends = np.concatenate([[0], np.cumsum(counts.sum(axis=1, dtype=np.int64))])
-        some = np.flatnonzero(np.diff(ends))
-        out = pd.DataFrame({"part": some, "counts": [_packed(counts[p]) for p in some], "tokens": [_low_bytes(low[ends[p] : ends[p + 1]]) for p in some]})
-        yield out.assign(row=pd.array([None] * len(out), dtype="Int64"), doc_id=pd.array([None] * len(out), dtype="Int64"), class_key=None, n=0, block=begin)[list(rows.columns) + ["part", "counts", "tokens"]]
+        owner = np.repeat(np.arange(len(sets), dtype=np.int64), np.where(own, sizes, 0))
+        order = np.argsort((all_tokens >> part_of).astype(np.uint32), kind="stable")
+        parts, owner, low = (all_tokens[order] >> part_of).astype(np.int64), owner[order], (all_tokens[order] >> below) & mask
+        runs = np.flatnonzero((np.diff(parts, prepend=-1) != 0) | (np.diff(owner, prepend=-1) != 0))  # of one range and document
+        who, counts = owner[runs].astype(np.uint16), np.diff(np.append(runs, len(order))).astype(np.uint32)
+        cuts = np.flatnonzero(np.diff(parts[runs], prepend=-1))  # where a range's runs begin
+        for at in range(0, len(cuts), ROWS_AT_ONCE):
+            begins = cuts[at : at + ROWS_AT_ONCE]
+            ends = np.append(cuts[at + 1 : at + 1 + ROWS_AT_ONCE], len(runs))[: len(begins)]
+            spans = list(zip(begins, ends, runs[begins], np.append(runs, len(order))[ends]))
+            out = pd.DataFrame({"part": parts[runs[begins]], "who": [_packed(who[a:b]) for a, b, _, _ in spans], "counts": [_packed(counts[a:b]) for a, b, _, _ in spans]})
+            out["tokens"] = [_low_bytes(low[c:d]) for _, _, c, d in spans]
+            yield out.assign(row=pd.array([None] * len(out), dtype="Int64"), doc_id=pd.array([None] * len(out), dtype="Int64"), class_key=None, n=0, block=begin)[list(rows.columns) + ["part", "who", "counts", "tokens"]]
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[bytes, int] = {}
@@ -159,55 +168,56 @@ def _blocks(n: int, bits: int) -> Callable:
     return blocks
 
 
-def _kept_rows(bits: int) -> Callable:
-    def kept_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """For each range of hashes a block's documents that stand for their sets."""
-        for batch in batches:
-            for block, at in zip(batch["block"], batch["at"]):
-                flags = np.zeros(int(max(at)) + 1, dtype=np.uint8)
-                flags[np.asarray(at, dtype=np.int64)] = 1
-                yield pd.DataFrame({"block": block, "part": np.arange(1 << bits), "kept": _packed(flags)})
-
-    return kept_rows
+def _gone_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For each block and range of hashes the documents that have tokens there and don't stand for their sets (``others`` of the block)."""
+    for batch in batches:
+        out = []
+        for block, part, who, others in zip(batch["block"], batch["part"], batch["who"], batch["others"]):
+            gone = np.intersect1d(_unpacked(who, np.uint16), np.asarray(others, dtype=np.uint16))
+            if len(gone):
+                out.append((block, part, _packed(gone)))
+        yield pd.DataFrame(out, columns=["block", "part", "gone"])
 
 
-COUNTED = "block long, part long, alone binary, shared binary, tokens binary, often binary"
+COUNTED = "block long, part long, who binary, alone binary, shared binary, tokens binary, often binary"
 
 
 def _count(rows: pd.DataFrame) -> pd.DataFrame:
     """Counts a range's tokens over all different sets: what each block's documents have alone there, and their shared tokens."""
-    kept = {b: _unpacked(x, np.uint8) for b, x in zip(rows["block"], rows["kept"]) if x is not None}
+    gone = {b: _unpacked(x, np.uint16) for b, x in zip(rows["block"], rows["gone"]) if x is not None}
     owners, tokens, blocks, base = [], [], [], 0
-    for block, counts, data in zip(rows["block"], rows["counts"], rows["tokens"]):
-        if data is None or block not in kept:
+    for block, who, counts, data in zip(rows["block"], rows["who"], rows["counts"], rows["tokens"]):
+        if data is None:
+            continue
+        who, counts = _unpacked(who, np.uint16), _unpacked(counts, np.uint32)
+        flags = ~np.isin(who, gone[block]) if block in gone else np.ones(len(who), dtype=bool)
+        if not flags.any():
             continue
-        counts = _unpacked(counts, np.uint32)
-        flags = np.zeros(len(counts), dtype=bool)
-        flags[: len(kept[block])] = kept[block].astype(bool)
-        owner = np.repeat(np.arange(len(counts)), counts)
-        stay = flags[owner]
-        owners.append(base + owner[stay])
-        tokens.append(_from_low_bytes(data)[stay])
-        blocks.append((block, base, len(counts)))
-        base += len(counts)
+        low = _from_low_bytes(data)
+        tokens.append(low if flags.all() else low[np.repeat(flags, counts)])
+        who, counts = who[flags], counts[flags]
+        owners.append(base + np.repeat(np.arange(len(who)), counts))
+        blocks.append((block, base, who))
+        base += len(who)
     if not blocks:
-        return pd.DataFrame({c: [] for c in ("block", "part", "alone", "shared", "tokens", "often")})
+        return pd.DataFrame({c: [] for c in ("block", "part", "who", "alone", "shared", "tokens", "often")})
     all_tokens, owner = np.concatenate(tokens), np.concatenate(owners)
     order = np.argsort(all_tokens, kind="stable")
     sorted_tokens = all_tokens[order]
-    new = np.concatenate([[True], sorted_tokens[1:] != sorted_tokens[:-1]]) if len(order) else np.zeros(0, dtype=bool)
+    groups = np.append(np.flatnonzero(np.concatenate([[True], sorted_tokens[1:] != sorted_tokens[:-1]])), len(order))
     often = np.empty(len(order), dtype=np.uint32)
-    often[order] = np.repeat(np.diff(np.append(np.flatnonzero(new), len(order))), np.diff(np.append(np.flatnonzero(new), len(order)))) if len(order) else 0
+    often[order] = np.repeat(np.diff(groups), np.diff(groups))
     alone = np.bincount(owner[often == 1], minlength=base).astype(np.uint32)
     more = often > 1
     shared = np.bincount(owner[more], minlength=base).astype(np.uint32)
     all_tokens, often = all_tokens[more], often[more]
     ends = np.concatenate([[0], np.cumsum(shared, dtype=np.int64)])
     out = []
-    for block, begin, n in blocks:
-        a, b = ends[begin], ends[begin + n]
-        out.append((block, rows["part"].iloc[0], _packed(alone[begin : begin + n]), _packed(shared[begin : begin + n]), _low_bytes(all_tokens[a:b]), _packed(often[a:b])))
-    return pd.DataFrame(out, columns=["block", "part", "alone", "shared", "tokens", "often"])
+    for block, begin, who in blocks:
+        end = begin + len(who)
+        a, b = ends[begin], ends[end]
+        out.append((block, rows["part"].iloc[0], _packed(who), _packed(alone[begin:end]), _packed(shared[begin:end]), _low_bytes(all_tokens[a:b]), _packed(often[a:b])))
+    return pd.DataFrame(out, columns=["block", "part", "who", "alone", "shared", "tokens", "often"])
 
 
 SETS = "row long, n long, low long, tokens array<long>, second array<int>, third array<int>, second_bits long, third_bits long"
@@ -219,14 +229,16 @@ def _survivors(percent: int) -> Callable:
 
         Size, number of tokens alone, the shared ones in the first order, and the prefixes under the others without the tokens alone.
         """
-        alone = sum(_unpacked(x, np.uint32).astype(np.int64) for x in rows["alone"])
+        who = [_unpacked(x, np.uint16).astype(np.int64) for x in rows["who"]]
         per_part = [_unpacked(x, np.uint32) for x in rows["shared"]]
-        shared = sum(x.astype(np.int64) for x in per_part)
+        everyone = np.concatenate(who)
+        alone = np.bincount(everyone, np.concatenate([_unpacked(x, np.uint32) for x in rows["alone"]]), BLOCK_DOCS).astype(np.int64)
+        shared = np.bincount(everyone, np.concatenate(per_part), BLOCK_DOCS).astype(np.int64)
         n = alone + shared
         stay = (n > 0) & (shared * 100 >= percent * n)
         owner, tokens, often = [], [], []
-        for part, counts, data, df in zip(rows["part"], per_part, rows["tokens"], rows["often"]):
-            own = np.repeat(np.arange(len(counts)), counts)
+        for part, ids, counts, data, df in zip(rows["part"], who, per_part, rows["tokens"], rows["often"]):
+            own = np.repeat(ids, counts)
             good = stay[own]
             owner.append(own[good])
             tokens.append((_from_low_bytes(data)[good] | (np.uint64(part) << np.uint64(8 * TOKEN_BYTES))).astype(np.int64))
@@ -273,6 +285,22 @@ def _total(counted: DataFrame) -> int:
 LIST = ["token", "node", "n", "place", "second_bits", "third_bits"]
 
 
+def _across(others: DataFrame, open_lists: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) across components of every list; each has a node outside the centre's component (``others``).
+
+    A node meets those in its band of sizes and the two next to it only. The nodes on one side of a long list are dealt to
+    tasks of ``LIST_NODES`` each, to which the other side goes as a whole.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / (percent - 1e-6)))).cast("int") if percent < 100 else F.col("n").cast("int")
+    deals = F.ceil(F.col("_n") / LIST_NODES).cast("int")
+    sides = [F.col(c) for c in (*LIST[1:], "component")]
+    left = others.select("token", band.alias("band"), F.pmod(F.xxhash64("node"), deals).cast("int").alias("deal"), *[c.alias(f"{k}_a") for c, k in zip(sides, (*LIST[1:], "component"))])
+    right = open_lists.select("token", F.explode(F.array(band - 1, band, band + 1) if percent < 100 else F.array(band)).alias("band"), deals.alias("deals"), (F.col("component") == F.col("component_c")).alias("central"), *[c.alias(f"{k}_b") for c, k in zip(sides, (*LIST[1:], "component"))])
+    right = right.withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)))
+    fits = (F.col("component_a") != F.col("component_b")) & (F.col("central") | (F.col("node_a") < F.col("node_b"))) & _close("_a", "_b", percent)
+    return left.join(right, ["token", "band", "deal"]).filter(fits).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+
+
 def _components_of(lists: DataFrame, sets: DataFrame, links: DataFrame, percent: int, shelf: Shelf) -> DataFrame:
     """The components of the nodes that are linked by ``links`` or similar; lists is used up."""
     components = shelf.put(connected_components(links))
@@ -287,11 +315,7 @@ def _components_of(lists: DataFrame, sets: DataFrame, links: DataFrame, percent:
         shelf.drop(lists, marked, mixed)
         others = open_lists.filter("component <> component_c")
         if last:
-            # Every pair across components has a node outside the centre's.
-            left = others.select(*[F.col(c).alias(c if c == "token" else f"{c}_a") for c in (*LIST, "component")])
-            right = open_lists.select(*[F.col(c).alias(c if c == "token" else f"{c}_b") for c in (*LIST, "component")])
-            fits = (F.col("component_a") != F.col("component_b")) & _close("_a", "_b", percent)
-            pairs = left.join(right, "token").filter(fits).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+            pairs = _across(others, open_lists, percent)
         else:
             own = others.toDF(*[f"{c}_a" if c in LIST[1:] else c for c in others.columns])
             pairs = own.filter(_close("_a", "_c", percent)).select(F.col("node_a").alias("a"), F.col("node_c").alias("b"))
@@ -329,10 +353,13 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     twins = named.filter("_n > 1")
     links = shelf.put(hot_join(nodes.select("doc_id", F.col("node").alias("b")), twins, ["doc_id"], _total(twins)).filter("a <> b").select("a", "b"))
 
-    at = classes.groupBy("block").agg(F.collect_list((F.col("node") - F.col("block")).cast("int")).alias("at"))  # BLOCK_DOCS at most
-    kept = at.mapInPandas(_kept_rows(bits), "block long, part long, kept binary")
-    sent = blocks.filter("part IS NOT NULL").select("part", "block", F.lit(None).cast("binary").alias("kept"), "counts", "tokens")
-    both = sent.unionByName(kept.select("part", "block", "kept", *[F.lit(None).cast("binary").alias(c) for c in ("counts", "tokens")]))
+    # Rows that don't stand for their sets, BLOCK_DOCS a block at most; each range is told those with tokens in it.
+    others = own.filter("n > 0").join(classes.select(F.col("node").alias("row")), "row", "left_anti")
+    others = others.groupBy("block").agg(F.collect_list((F.col("row") - F.col("block")).cast("int")).alias("others"))
+    sent = blocks.filter("part IS NOT NULL")
+    gone = sent.select("block", "part", "who").join(others, "block").mapInPandas(_gone_rows, "block long, part long, gone binary")
+    none = F.lit(None).cast("binary")
+    both = sent.select("part", "block", none.alias("gone"), "who", "counts", "tokens").unionByName(gone.select("part", "block", "gone", *[none.alias(c) for c in ("who", "counts", "tokens")]))
     counted = both.groupBy("part").applyInPandas(_count, COUNTED)
     found = counted.groupBy("block").applyInPandas(_survivors(percent), SETS)
     sets = shelf.put(found.withColumnRenamed("row", "node"))
