@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,19 +69,55 @@ def fingerprints(lines: DataFrame, grid: DataFrame, fwhm: float) -> DataFrame:
     return raw.withColumn("value", F.col("value") / F.max("value").over(Window.partitionBy("phase", "pressure")))
 
 
+#: Frames that are compared with the fingerprints at once: a fixed value.
+FRAMES_AT_ONCE = 2000
+
+
 def rank_candidates(features: DataFrame, prints: DataFrame, top: int = 5) -> DataFrame:
     """frame, phase, score, pressure, rank: the best cosine over a phase's pressures; frames without signal are left out.
 
-    ``features`` (frame, g, value) and ``prints`` (phase, pressure, g, value) are sparse: only shared grid
-    points meet. The fingerprints are bounded by the library and its grid, the frames are not.
+    ``features`` (frame, g, value) and ``prints`` (phase, pressure, g, value) are sparse: only shared grid points count, and a
+    phase without any has no row. The fingerprints are bounded by the library and its grid: they go to every task as one matrix.
+    A frame's features are packed into one row, so nothing of the size of frames x fingerprints is ever shuffled.
     """
-    own = features.filter("value > 0")
-    norms = own.groupBy("frame").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("fn"))
-    pnorms = prints.groupBy("phase", "pressure").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("pn"))
-    dots = own.join(prints.withColumnRenamed("value", "p"), "g").groupBy("frame", "phase", "pressure").agg(F.sum(F.col("value") * F.col("p")).alias("dot"))
-    scored = dots.join(norms, "frame").join(pnorms, ["phase", "pressure"]).withColumn("score", F.round(F.col("dot") / (F.col("fn") * F.col("pn")), 9))
-    best = scored.groupBy("frame", "phase").agg(F.max(F.struct("score", (-F.col("pressure")).alias("neg"))).alias("b")).select("frame", "phase", F.col("b.score").alias("score"), (-F.col("b.neg")).alias("pressure"))
-    return best.withColumn("rank", F.row_number().over(Window.partitionBy("frame").orderBy(F.desc("score"), "phase"))).filter(F.col("rank") <= top)
+    rows = prints.select("phase", F.col("pressure").cast("double").alias("pressure"), "g", F.col("value").cast("double").alias("value")).toPandas()
+    rows["of"] = rows.groupby(["phase", "pressure"], sort=True).ngroup()
+    of = rows[["of", "phase", "pressure"]].drop_duplicates().sort_values("of")
+    names, pressures, grid = of["phase"].to_numpy(), of["pressure"].to_numpy(), np.sort(rows["g"].unique())
+    place = (np.searchsorted(grid, rows["g"].to_numpy()), rows["of"].to_numpy())
+    matrix, seen = np.zeros((len(grid), len(of))), np.zeros((len(grid), len(of)))
+    np.add.at(matrix, place, rows["value"].to_numpy())
+    seen[place] = 1.0
+    norms = np.sqrt((matrix * matrix).sum(axis=0))
+    starts = np.flatnonzero(np.append(True, names[1:] != names[:-1])) if len(names) else np.zeros(0, dtype=int)
+
+    def ranked(frames: np.ndarray, gs: list, values: list) -> pd.DataFrame:
+        row, g, v = np.repeat(np.arange(len(frames)), [len(x) for x in gs]), np.concatenate(gs), np.concatenate(values)
+        own = np.sqrt(np.bincount(row, v * v, minlength=len(frames)))
+        col = np.searchsorted(grid, g)
+        known = np.flatnonzero((col < len(grid)) & (grid[np.minimum(col, len(grid) - 1)] == g))
+        x = np.zeros((len(frames), len(grid)))
+        np.add.at(x, (row[known], col[known]), v[known])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            score = np.round(x @ matrix / (own[:, None] * norms), 9)
+        score[((x > 0) @ seen == 0) | np.isnan(score)] = -np.inf
+        # Of equal scores the lowest pressure, which comes first, and then the first name.
+        best = np.stack([i + np.argmax(score[:, i:j], axis=1) for i, j in zip(starts, [*starts[1:], len(names)])], axis=1)
+        scores = np.take_along_axis(score, best, axis=1)
+        order = np.argsort(-scores, axis=1, kind="stable")[:, :top]
+        best, scores = np.take_along_axis(best, order, axis=1).ravel(), np.take_along_axis(scores, order, axis=1).ravel()
+        out = pd.DataFrame({"frame": np.repeat(frames, order.shape[1]), "phase": names[best], "score": scores, "pressure": pressures[best], "rank": np.tile(np.arange(1, order.shape[1] + 1, dtype="int32"), len(frames))})
+        return out[np.isfinite(scores)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k in range(0, len(batch) if len(names) else 0, FRAMES_AT_ONCE):
+                part = batch.iloc[k : k + FRAMES_AT_ONCE]
+                yield ranked(part["frame"].to_numpy(), part["g"].tolist(), part["value"].tolist())
+
+    own = features.filter("value > 0").groupBy("frame").agg(F.collect_list(F.struct("g", F.col("value").cast("double").alias("value"))).alias("p"))
+    types = {k: d.schema[k].dataType.simpleString() for d, k in ((features, "frame"), (prints, "phase"))}
+    return own.select("frame", F.col("p.g").alias("g"), F.col("p.value").alias("value")).mapInPandas(run, f"frame {types['frame']}, phase {types['phase']}, score double, pressure double, rank int")
 
 
 def uniform(seed: int, *parts: Column) -> Column:
