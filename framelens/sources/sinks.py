@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +23,12 @@ def pattern_lines(bins: DataFrame, frames: DataFrame, windows: DataFrame | None
             own = own.join(hit, ["frame", "bin"], "left_anti")
         else:
             own = own.join(hit.withColumn("zero", F.lit(True)), ["frame", "bin"], "left").withColumn("y", F.when(F.col("zero"), 0.0).otherwise(F.col("y"))).drop("zero")
-    return own.select("frame", "bin", F.format_string("%.6f %.6f", "radial", "y").alias("line"))
+    return own.select("frame", "bin", F.when(F.col("radial").isNotNull() & F.col("y").isNotNull(), F.pandas_udf(_two_numbers, "string")("radial", "y")).alias("line"))
+
+
+def _two_numbers(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Six decimals each, rounded as C and SQL do: by the whole binary value, not by its shortest decimal form."""
+    return pd.Series([f"{x:.6f} {y:.6f}" for x, y in zip(a, b)], dtype=object)
 
 
 def write_patterns(lines: DataFrame, path: str) -> None:
