@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from framelens.operators.shared import scratch
+from framelens.operators.tracks import closest_first
 
 
 def watch_source(spark: SparkSession, folder: str, schema: str, files_per_trigger: int = 64) -> DataFrame:
@@ -109,12 +110,7 @@ def stream_tracks(obs: DataFrame, factor: float = 1.5, max_gap: int = 1) -> Data
         for x, rows in pd.concat(list(batches)).groupby("x", sort=True):
             live = [t for t in live if x - t[1] <= max_gap + 1]
             peaks = list(rows.sort_values(["center", "id"])[["id", "center", "fwhm"]].itertuples(index=False, name=None))
-            pairs = sorted((abs(t[2] - c), i, j) for i, t in enumerate(live) for j, (_, c, w) in enumerate(peaks) if abs(t[2] - c) <= factor * max(w, t[3]))
-            used_i: dict[int, int] = {}
-            used_j: dict[int, int] = {}
-            for _, i, j in pairs:
-                if i not in used_i and j not in used_j:
-                    used_i[i], used_j[j] = j, i
+            used_j = {j: i for i, j in closest_first([t[2] for t in live], [t[3] for t in live], [p[1] for p in peaks], [p[2] for p in peaks], factor)}
             for j, (pid, c, w) in enumerate(peaks):
                 if j in used_j:
                     i = used_j[j]

@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from framelens.operators import lattice, library, matching
+from framelens.operators import lattice, library, matching, tracks
+from framelens.sources import sinks
 
 
 def plan(df):
@@ -79,3 +80,37 @@ def test_attribution_by_hand(spark):
     out = matching.attribute_peaks(spark.createDataFrame(seen, "frame long, obs long, d double, err double"), ours, 0.05)
     assert "_bucket" not in plan(out)
     assert sorted((r.frame, (r.phase_order, r.line), r.obs, r.gap) for r in out.collect()) == want
+
+
+@pytest.mark.parametrize("grid", [5, 50, 1_000_000])
+def test_closest_first_of_many(grid):
+    """Copies at one place, ties and unequal widths: what going through all pairs gives; 20,000 on each side are a moment's work."""
+    rng = random.Random(grid)
+    for _ in range(200):
+        place, center = ([round(1 + rng.randrange(grid) / grid * 0.3, 4) for _ in range(rng.randrange(17, 40))] for _ in range(2))
+        center.sort()
+        width, wide = ([rng.choice([0.001, 0.02, 0.03]) for _ in x] for x in (place, center))
+        near = [(abs(p - c), t, j) for t, p in enumerate(place) for j, c in enumerate(center) if abs(p - c) <= 1.5 * max(width[t], wide[j])]
+        used, want = set(), []
+        for _, t, j in sorted(near):
+            if ("t", t) not in used and ("j", j) not in used:
+                used |= {("t", t), ("j", j)}
+                want.append((t, j))
+        assert sorted(tracks.closest_first(place, width, center, wide, 1.5)) == sorted(want)
+    many = sorted(round(1 + rng.expovariate(2), 4) for _ in range(20_000))
+    assert len(tracks.closest_first(many, [0.025] * 20_000, many, [0.025] * 20_000, 1.5)) == 20_000
+
+
+def test_an_axis_is_not_copied_to_each_row(spark, monkeypatch):
+    """Linking along a slope stores no row that holds the whole axis but one a group."""
+    obs = spark.range(200).selectExpr("id % 2 AS grp", "id", "id DIV 2 AS x", "2e0 + 1e-3 * id AS center", "2e-2 AS fwhm", "1e0 AS amplitude")
+    kept, joined = tracks.stored, []
+    monkeypatch.setattr(tracks, "stored", lambda df: joined.append(plan(df)) or kept(df))
+    assert tracks.link_tracks(obs, predictor=True).count() == 200
+    assert not [p for p in joined if "FlatMapGroupsInPandas" in p]  # islands and axes meet as two sides
+
+
+def test_text_of_numbers_is_rounded_as_sql_does(spark):
+    own = spark.createDataFrame([(1, 0, 3.5, 0.0000005), (1, 1, 3.6, None)], "frame long, bin int, radial double, y double")
+    live = spark.createDataFrame([(1, False)], "frame long, excluded boolean")
+    assert {r.bin: r.line for r in sinks.pattern_lines(own, live).collect()} == {0: "3.500000 0.000000", 1: None}
