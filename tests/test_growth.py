@@ -3,10 +3,12 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framelens.operators import lattice, library, matching, tracks
+from framelens.operators import identify, lattice, library, matching, tracks
+from framelens.plans.views import phases
 from framelens.sources import sinks
 
 
@@ -114,3 +116,24 @@ def test_text_of_numbers_is_rounded_as_sql_does(spark):
     own = spark.createDataFrame([(1, 0, 3.5, 0.0000005), (1, 1, 3.6, None)], "frame long, bin int, radial double, y double")
     live = spark.createDataFrame([(1, False)], "frame long, excluded boolean")
     assert {r.bin: r.line for r in sinks.pattern_lines(own, live).collect()} == {0: "3.500000 0.000000", 1: None}
+
+
+def test_sorted_grid_scores_as_all_lines_do(spark):
+    """Equal d's, errors, wide gaps: the score of each pressure is that of going through all lines, and a zero score can be left out."""
+    own = identify.library_of(phases(spark), lattice.reflections(phases(spark)))
+    points = [np.linspace(0, 100, 21) for _ in own]
+    grids = [x.lines(p, exact=True) for x, p in zip(own, points)]
+    grid = identify.Grid(grids, own, 0.01)
+    rng = random.Random(8)
+    for _ in range(60):
+        d = [round(rng.uniform(0.8, 6), 3) for _ in range(rng.randrange(1, 12))]
+        peaks = identify.Peaks(d + d[:1], [rng.choice([0.0, 0.003, 0.05]) for _ in range(len(d) + 1)])
+        score, near = grid.scores(peaks, 0.02)
+        for k, (x, lines) in enumerate(zip(own, grids)):
+            kernel, gap = identify.kernels(peaks, lines, 0.01)
+            rows = slice(grid.cuts[k], grid.cuts[k + 1])
+            assert np.allclose(score[rows], kernel @ x.weight, rtol=0, atol=1e-12) and (near[rows] == (gap < 0.02 * lines).sum(axis=1)).all()
+    seen = spark.createDataFrame([(1, 1, 2.0, 0.0)], "frame long, obs long, d double, err double")
+    found = identify.score_grid(seen, phases(spark), lattice.reflections(phases(spark)), [0.0, 50.0], above=0.0)
+    whole = identify.score_grid(seen, phases(spark), lattice.reflections(phases(spark)), [0.0, 50.0])
+    assert whole.count() == 10 and sorted(found.collect()) == sorted(whole.filter("score > 0").collect())
