@@ -89,3 +89,39 @@ def test_where_single_fits_fail(spark):
     alone = {r.id: r for r in patterns.fit_peaks(frame.filter("frame = 1 AND y IS NOT NULL"), candidates.filter("frame = 1"), "y", rounds=3).collect()}
     assert abs(alone[1].height - 60) > 5 * abs(got[1, 1].height - 60) + 1
     assert J.fit_jointly(frame.limit(0), candidates, "y").count() == 0
+
+
+def test_groups_take_their_steps_together(monkeypatch):
+    """Sixty groups of other lengths need hardly more solver calls than the slowest of them, and give what each alone gives."""
+    rng = random.Random(8)
+    groups = []
+    for g in range(60):
+        peaks = [(rng.uniform(20, 100), 1 + 0.13 * k, rng.uniform(0.09, 0.13), rng.uniform(0.1, 0.9)) for k in range(3)]
+        x, y = pattern(peaks, 0.3, rng.uniform(1.8, 2.4), noise=0.1, seed=g)
+        groups.append((x, y, *guessed(peaks, rng), 0.1))
+    calls, solve = [0], np.linalg.solve
+
+    def counted(*a):
+        calls[0] += 1
+        return solve(*a)
+
+    monkeypatch.setattr(J.np.linalg, "solve", counted)
+    alone, most = [], 0
+    for g in groups:
+        calls[0] = 0
+        alone.append(J.fit_group(*g))
+        most = max(most, calls[0])
+    calls[0] = 0
+    together = J.fit_groups([*groups, (x[:5], y[:5], *groups[0][2:])])
+    assert calls[0] <= 4 * most and [r["flag"] for r in together[-1]] == [J.FAILED] * 3
+    for a, b in zip(alone, together):
+        for p, q in zip(a, b):
+            assert p["flag"] == q["flag"] and all(p[k] == pytest.approx(q[k], rel=1e-5, abs=1e-6) for k in p)
+
+
+def test_profiles_at_one_place():
+    """Two candidates at the same place share a peak, as the smallest solution has it, alone or beside another group."""
+    x, y = pattern([(50.0, 1.0, 0.1, 0.5)], 0, 2)
+    twins = (x, y, np.array([1.0, 1.0]), np.array([0.1, 0.1]), 1.0)
+    got = J.fit_groups([twins, (x, y, np.array([1.0, 1.5]), np.array([0.1, 0.1]), 1.0)])
+    assert [r["height"] for r in got[0]] == pytest.approx([25, 25], rel=1e-3) and got[1][0]["height"] == pytest.approx(50, rel=1e-3)
