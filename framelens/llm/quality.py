@@ -191,26 +191,33 @@ PACKED = "block long, model_lang string, part int, data binary"
 
 
 def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The model's rows of each block and language as compressed arrays: order, key, and the numbers of ROW."""
+    """The model's rows of each block and language as compressed arrays: order, key, and the numbers of ROW.
+
+    Rows wait as whole numbers, a language as its place in ``langs``: some 150 bytes a row at most.
+    """
     pack = zstandard.ZstdCompressor(level=1).compress
-    waiting, size = [], 0
+    waiting, size, langs = [], 0, {}
 
     def told() -> pd.DataFrame:
-        rows = pd.concat(waiting)
-        out = []
-        for (block, lang), own in rows.groupby(["block", "model_lang"]):
-            own = own.sort_values(["ord", "key"])
-            table = np.stack([own[x].to_numpy(np.int64) for x in ("ord", "key", *ROW)])
-            table[1] = np.diff(table[1], prepend=0)
-            out.append((block, lang, table.shape[1], pack(table.tobytes())))
+        table = np.concatenate(waiting, axis=1)
+        waiting.clear()
+        table = table[:, np.lexsort((table[3], table[2], table[1], table[0]))]
+        cuts = np.flatnonzero((np.diff(table[0]) != 0) | (np.diff(table[1]) != 0)) + 1
+        names, out = list(langs), []
+        for lo, hi in zip([0, *cuts], [*cuts, table.shape[1]]):
+            own = table[2:, lo:hi].copy()
+            own[1] = np.diff(own[1], prepend=0)
+            out.append((int(table[0, lo]), names[table[1, lo]], hi - lo, pack(own.tobytes())))
         return pd.DataFrame(out, columns=["block", "model_lang", "part", "data"])
 
     for batch in batches:
-        waiting.append(batch)
+        codes, met = pd.factorize(batch["model_lang"])
+        codes = np.array([langs.setdefault(x, len(langs)) for x in met], dtype=np.int64)[codes]
+        waiting.append(np.stack([batch["block"].to_numpy(np.int64), codes, *[batch[x].to_numpy(np.int64) for x in ("ord", "key", *ROW)]]))
         size += len(batch)
         if size >= PACKED_ROWS:
             yield told()
-            waiting, size = [], 0
+            size = 0
     if size:
         yield told()
 
