@@ -40,23 +40,28 @@ def corpus_dedupe(corpus: DataFrame, max_sites: int = 200, tolerance: float = 0.
     """file, reason: parse failure, too big, near duplicate of a kept entry, or null for those that stay.
 
     Near: same formula and space group and a volume within ``tolerance`` of an entry that is already kept, in the
-    order of files. Only entries of one chain of close volumes can meet, so the chains are folded, not the groups.
+    order of files. Of equal volumes only the first can stay, and only entries of one chain of close volumes can meet, so
+    the different volumes of a chain are folded, not the groups. What a fold carries are the kept entries: volumes of
+    a chain that lie ``tolerance`` apart, however many entries there are.
     """
     reason = F.when(~F.col("parse_ok"), "parse").when(F.col("n_sites") > max_sites, "sites")
     checked = corpus.withColumn("reason", reason)
-    good = checked.filter("reason IS NULL")
+    # Without a volume, below zero and at infinity an entry isn't near itself.
+    own = F.when((F.col("volume") < 0) | (F.col("volume") == float("inf")), F.col("file"))
+    first = checked.filter("reason IS NULL AND volume IS NOT NULL").groupBy("formula", "spacegroup", "volume", own.alias("own")).agg(F.min("file").alias("file"))
     by = Window.partitionBy("formula", "spacegroup").orderBy("volume", "file")
     apart = F.col("volume") - F.lag("volume").over(by) > tolerance * F.col("volume") * 1.02
-    chained = good.withColumn("chain", F.sum(F.when(apart, 1).otherwise(0)).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    chained = first.withColumn("chain", F.sum(F.when(apart, 1).otherwise(0)).over(by.rowsBetween(Window.unboundedPreceding, 0)))
     packed = chained.groupBy("formula", "spacegroup", "chain").agg(F.array_sort(F.collect_list(F.struct("file", "volume"))).alias("v"))
-    empty = F.struct(F.array().cast("array<double>").alias("kept"), F.array().cast("array<bigint>").alias("gone"))
 
-    def step(s: Column, x: Column) -> Column:
-        near = F.exists(s["kept"], lambda k: F.abs(k - x["volume"]) <= tolerance * k)
-        return F.when(near, F.struct(s["kept"].alias("kept"), F.array_append(s["gone"], x["file"].cast("bigint")).alias("gone"))).otherwise(F.struct(F.array_append(s["kept"], x["volume"]).alias("kept"), s["gone"].alias("gone")))
+    def step(kept: Column, x: Column) -> Column:
+        near = F.exists(kept, lambda k: F.abs(k["volume"] - x["volume"]) <= tolerance * k["volume"])
+        return F.when(near, kept).otherwise(F.array_append(kept, x))
 
-    gone = packed.select(F.explode(F.aggregate("v", empty, step, lambda s: s["gone"])).alias("file")).withColumn("dup", F.lit(True))
-    return checked.join(gone, "file", "left").select("file", F.coalesce("reason", F.when(F.col("dup"), "duplicate")).alias("reason"))
+    kept = F.aggregate("v", F.array().cast(packed.schema["v"].dataType), step, lambda k: F.transform(k, lambda x: x["file"]))
+    stays = packed.select(F.explode(kept).alias("file")).withColumn("stays", F.lit(True))
+    gone = F.when(F.col("stays").isNull() & F.col("volume").isNotNull(), "duplicate")
+    return checked.join(stays, "file", "left").select("file", F.coalesce("reason", gone).alias("reason"))
 
 
 def fingerprints(lines: DataFrame, grid: DataFrame, fwhm: float) -> DataFrame:
