@@ -251,39 +251,76 @@ def best_frame_per_pressure(bins: DataFrame, frames: DataFrame, y: str) -> DataF
 def fit_peaks(bins: DataFrame, candidates: DataFrame, y: str, widths: tuple[float, ...] = (0.7, 1.0, 1.4), shifts: tuple[float, ...] = (-0.5, 0.0, 0.5), etas: tuple[float, ...] = (0.0, 0.5, 1.0), rounds: int = 1) -> DataFrame:
     """frame, id, height, center, fwhm, eta, area, chi2, rel_misfit, flag of candidates (frame, id, center, fwhm).
 
-    Variable projection as a join: every candidate meets a small grid of shifts, widths and shapes; for each of
-    them the height and a linear background follow from sums over the bins of the window, and the best sum of
-    squares wins. More rounds repeat this with a finer grid around the winner. Flags: 1 a height that isn't positive,
-    2 a misfit above one twentieth of the height.
+    Variable projection on a grid: for each of a few shifts, widths and shapes the height and a linear background
+    follow from sums over the bins of the window, and the best sum of squares wins. More rounds repeat this with a
+    finer grid around the winner. A frame's pattern and candidates are one row, so the grid is never rows of a table; bins
+    without a value are left out. Flags: 1 a height that isn't positive, 2 a misfit above one twentieth of the height.
     """
-    from framelens.functions.columns import pseudo_voigt
-
-    best = candidates.select("frame", "id", "center", "fwhm", F.lit(0.5).alias("eta"))
-    out = None
-    for k in range(rounds):
-        scale = 0.5**k
-        grid = F.array(*[F.struct(F.lit(s * scale).alias("s"), F.lit(w**scale).alias("w"), F.lit(e).alias("e")) for s in shifts for w in widths for e in etas])
-        tried = best.withColumn("g", F.explode(grid)).select("frame", "id", F.col("center").alias("c0"), F.col("fwhm").alias("w0"), (F.col("center") + F.col("g.s") * F.col("fwhm")).alias("center"), (F.col("fwhm") * F.col("g.w")).alias("fwhm"), F.col("g.e").alias("eta"))
-        near = bins.select("frame", "radial", F.col(y).alias("y")).join(tried, "frame").filter(F.abs(F.col("radial") - F.col("c0")) <= 3 * F.col("w0"))
-        p, x, v = F.col("p"), F.col("x"), F.col("y")
-        own = near.withColumn("p", pseudo_voigt(F.col("radial"), F.lit(1.0), F.col("center"), F.col("fwhm"), F.col("eta"))).withColumn("x", F.col("radial") - F.col("c0"))
-        sums = own.groupBy("frame", "id", "center", "fwhm", "eta").agg(
-            F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(x * x).alias("sxx"), F.sum(p).alias("sp"), F.sum(p * x).alias("spx"), F.sum(p * p).alias("spp"), F.sum(v).alias("sy"), F.sum(v * x).alias("sxy"), F.sum(v * p).alias("spy"), F.sum(v * v).alias("syy")
-        ).filter("n >= 5")
-        n, sx, sxx, sp, spx, spp, sy, sxy, spy, syy = (F.col(c) for c in ("n", "sx", "sxx", "sp", "spx", "spp", "sy", "sxy", "spy", "syy"))
-        # The background is projected out first: what is left of profile and data gives the height.
-        det = n * sxx - sx * sx
-        pp = spp - (sxx * sp * sp - 2 * sx * sp * spx + n * spx * spx) / det
-        py = spy - (sxx * sp * sy - sx * (sp * sxy + spx * sy) + n * spx * sxy) / det
-        yy = syy - (sxx * sy * sy - 2 * sx * sy * sxy + n * sxy * sxy) / det
-        solved = sums.filter(F.abs(det) > 1e-12).withColumn("height", F.when(pp > 1e-12, py / pp)).withColumn("chi2", F.round(F.greatest(yy - F.when(pp > 1e-12, py * py / pp).otherwise(0.0), F.lit(0.0)), 9)).filter("height IS NOT NULL")
-        out = solved.groupBy("frame", "id").agg(F.min(F.struct("chi2", "center", "fwhm", "eta", "height", "n")).alias("b")).select("frame", "id", "b.*")
-        best = out.select("frame", "id", "center", "fwhm", "eta")
+    pattern = bins.filter(F.col(y).isNotNull() & F.col("radial").isNotNull()).groupBy("frame").agg(F.array_sort(F.collect_list(F.struct(F.col("radial").cast("double").alias("x"), F.col(y).cast("double").alias("y")))).alias("b"))
+    item = F.struct(F.col("center").cast("double").alias("center"), F.col("fwhm").cast("double").alias("fwhm"), "id")
+    peaks = candidates.filter("center IS NOT NULL AND fwhm > 0").groupBy("frame").agg(F.array_sort(F.collect_list(item)).alias("c"))
+    packed = peaks.join(pattern, "frame").select("frame", F.col("b.x").alias("x"), F.col("b.y").alias("y"), *[F.col(f"c.{k}").alias(k) for k in ("id", "center", "fwhm")])
+    names = ["height", "center", "fwhm", "eta", "chi2", "n"]
+    types = {k: candidates.schema[k].dataType.simpleString() for k in ("frame", "id")}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for frame, x, v, ids, center, fwhm in batch[["frame", "x", "y", "id", "center", "fwhm"]].itertuples(index=False, name=None):
+                x, v, ids = np.asarray(x), np.asarray(v), np.asarray(ids)
+                best = np.stack([np.asarray(center), np.asarray(fwhm), np.full(len(ids), 0.5)], axis=1)
+                found = np.zeros((0, len(names)))
+                for k in range(rounds):
+                    found = _fit_on_grid(x, v, best, 0.5**k, widths, shifts, etas)
+                    ids, found = ids[~np.isnan(found[:, -1])], found[~np.isnan(found[:, -1])]
+                    best = found[:, 1:4]
+                out.append(pd.DataFrame(found, columns=names).assign(frame=frame, id=ids))
+            if out:
+                yield pd.concat(out)[["frame", "id", *names]]
+
+    out = packed.mapInPandas(run, f"frame {types['frame']}, id {types['id']}, " + ", ".join(f"{c} double" for c in names))
     area = F.col("height") * F.col("fwhm") * (F.col("eta") * 1.5707963267948966 + (1 - F.col("eta")) * 1.0644670194312262)
-    misfit = F.sqrt(F.col("chi2") / F.col("n")) / F.abs("height")
+    misfit = F.try_divide(F.sqrt(F.col("chi2") / F.col("n")), F.abs("height"))
     return out.select("frame", "id", "height", "center", "fwhm", "eta", area.alias("area"), "chi2", misfit.alias("rel_misfit"), (F.when(F.col("height") > 0, 0).otherwise(1) + F.when(misfit > 0.05, 2).otherwise(0)).alias("flag"))
 
 
+#: Numbers of candidates, grid points and bins that meet at once: a fixed value.
+GRID_CELLS = 1 << 20
+
+
+def _fit_on_grid(x: np.ndarray, v: np.ndarray, peaks: np.ndarray, scale: float, widths: tuple[float, ...], shifts: tuple[float, ...], etas: tuple[float, ...]) -> np.ndarray:
+    """height, center, fwhm, eta, chi2, n of the best grid point of each peak (center, fwhm, eta); n is NaN without one."""
+    shift, width, eta = (a.ravel() for a in np.meshgrid(np.multiply(shifts, scale), np.power(widths, scale), np.asarray(etas, dtype=float), indexing="ij"))
+    out, at = np.full((len(peaks), 6), np.nan), 0
+    while at < len(peaks):
+        several = max(1, GRID_CELLS // (len(x) * len(eta) + 1))
+        own = peaks[at : at + several]
+        c0, w0 = own[:, :1], own[:, 1:2]
+        inside = (x >= (c0 - 3 * w0).min() - 1e-6 * w0.max()) & (x <= (c0 + 3 * w0).max() + 1e-6 * w0.max())
+        u, y = x[inside], v[inside]
+        m = (np.abs(u - c0) <= 3 * w0).astype(float)
+        center, fwhm = c0 + shift * w0, w0 * width
+        t = (u - center[..., None]) / fwhm[..., None]
+        p = (eta[:, None] / (1 + 4 * t * t) + (1 - eta)[:, None] * np.exp(-4 * np.log(2.0) * t * t)) * m[:, None, :]
+        d, z = (u - c0) * m, np.where(m > 0, y, 0.0)
+        n, sx, sxx, sy, sxy, syy = (a.sum(axis=1, keepdims=True) for a in (m, d, d * d, z, z * d, z * z))
+        sp, spx, spp, spy = p.sum(axis=2), (p @ d[..., None])[..., 0], (p * p).sum(axis=2), (p @ z[..., None])[..., 0]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            # The background is projected out first: what is left of profile and data gives the height.
+            det = n * sxx - sx * sx
+            pp = spp - (sxx * sp * sp - 2 * sx * sp * spx + n * spx * spx) / det
+            py = spy - (sxx * sp * sy - sx * (sp * sxy + spx * sy) + n * spx * sxy) / det
+            yy = syy - (sxx * sy * sy - 2 * sx * sy * sxy + n * sxy * sxy) / det
+            height, chi2 = py / pp, np.round(np.maximum(yy - py * py / pp, 0.0), 9)
+            ok = (n >= 5) & (np.abs(det) > 1e-12) & (pp > 1e-12)
+        for j in np.flatnonzero(ok.any(axis=1)):
+            g = np.flatnonzero(ok[j])
+            g = g[np.lexsort((eta[g], fwhm[j, g], center[j, g], chi2[j, g]))[0]]
+            out[at + j] = height[j, g], center[j, g], fwhm[j, g], eta[g], chi2[j, g], n[j, 0]
+        at += several
+    return out
+
+
 def subtract_profiles(bins: DataFrame, peaks: DataFrame, y: str, reach: float = 5.0) -> DataFrame:
     """frame, bin, radial, residual: the pattern without the profiles of (frame, height, center, fwhm, eta)."""
     from framelens.functions.columns import pseudo_voigt

@@ -32,3 +32,34 @@ def test_corpus_folds_different_volumes(spark):
     want[1002] = "duplicate"  # infinity is near everything but itself
     assert {r.file: r.reason for r in out.collect()} == want
     assert "partial_min(file" in plan(out)
+
+
+def test_grid_of_shapes_is_no_table(spark):
+    """The best point of the grid by least squares; bins without a value don't count, candidates with few bins have no row."""
+    rng = np.random.default_rng(5)
+    frames = {f: (x := np.sort(rng.uniform(0, 6, 70)), 3 + x + 40 / (1 + 4 * ((x - 3) / 0.6) ** 2) + rng.normal(size=70)) for f in range(3)}
+    bins = [(f, float(a), float(b)) for f, (x, y) in frames.items() for a, b in zip(x, y)] + [(0, 3.01, None), (1, 2.9, None)]
+    tops = [(f, i, c, w) for f in range(4) for i, (c, w) in enumerate([(2.9, 0.5), (1.0, 0.3), (9.0, 0.5), (3.3, 0.8)])] + [(0, 9, None, 0.5), (0, 10, 3.0, None)]
+    out = patterns.fit_peaks(spark.createDataFrame(bins, "frame long, radial double, y double"), spark.createDataFrame(tops, "frame long, id int, center double, fwhm double"), "y")
+    assert "Generate" not in plan(out) and dict(out.dtypes)["id"] == "int"
+    want = {}
+    for f, i, c, w in tops:
+        if f not in frames or c is None or w is None:
+            continue
+        x, y = frames[f]
+        x, y = x[(near := np.abs(x - c) <= 3 * w)], y[near]
+        for s in (-0.5, 0.0, 0.5):
+            for k in (0.7, 1.0, 1.4):
+                for e in (0.0, 0.5, 1.0):
+                    if len(x) < 5:
+                        continue
+                    t = (x - c - s * w) / (w * k)
+                    a = np.stack([e / (1 + 4 * t * t) + (1 - e) * np.exp(-4 * math.log(2) * t * t), np.ones_like(x), x - c], axis=1)
+                    solution = np.linalg.lstsq(a, y, rcond=None)[0]
+                    chi2 = float(((y - a @ solution) ** 2).sum())
+                    if (f, i) not in want or chi2 < want[f, i][0]:
+                        want[f, i] = (chi2, c + s * w, w * k, e, float(solution[0]))
+    got = {(r.frame, r.id): (r.chi2, r.center, r.fwhm, r.eta, r.height) for r in out.collect()}
+    assert got.keys() == want.keys() and len(got) == 9
+    for k in want:
+        assert got[k] == pytest.approx(want[k], rel=1e-6, abs=1e-6)
