@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Frames whose peaks meet in one task: a fixed value.
+FRAMES_OF_PART = 100_000
+
+
 def good_peaks(peaks: DataFrame) -> DataFrame:
     return peaks.filter("flag = 0")
 
@@ -22,13 +28,24 @@ def phase_fractions(peaks: DataFrame, frames: DataFrame, rir: DataFrame | None =
     if rir is not None:
         factor = F.when(F.col("rir") > 0, F.col("rir")).otherwise(1.0)
         own = own.join(rir.select("phase", "rir"), "phase", "left").withColumn("area", F.col("area") / factor)
-    sums = own.groupBy("frame", "phase").agg(F.sum("area").alias("area"))
-    if identify is not None and min_conf is not None:
-        seen = identify.groupBy("frame", "phase").agg(F.max("confidence").alias("confidence"))
+    # Areas, confidences and frames are rows of one table, dealt out once by frame: the parts grow in number, not in size.
+    no, none = F.lit(None).cast("double"), F.lit(None).cast("long")
+    rows = own.filter("frame IS NOT NULL").select("frame", "phase", F.col("area").cast("double").alias("area"), none.alias("passed"), none.alias("copies"))
+    one = F.lit(1).cast("long")
+    rows = rows.unionByName(frames.select("frame", F.lit(None).cast("string").alias("phase"), no.alias("area"), none.alias("passed"), one.alias("copies")))
+    gate = identify is not None and min_conf is not None
+    if gate:
+        sure = identify.filter(F.col("frame").isNotNull() & F.col("phase").isNotNull() & (F.col("confidence") > min_conf))
+        rows = rows.unionByName(sure.select("frame", "phase", no.alias("area"), one.alias("passed"), none.alias("copies")))
+    parts = max(int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(frames.count() / FRAMES_OF_PART))
+    sums = rows.repartition(parts, "frame").groupBy("frame", "phase").agg(F.sum("area").alias("area"), F.max("passed").alias("passed"), F.sum("copies").alias("copies"))
+    if gate:
         gated = identify.select("phase").distinct().withColumn("gated", F.lit(True))
-        sums = sums.join(seen, ["frame", "phase"], "left").join(gated, "phase", "left").filter(F.col("gated").isNull() | (F.col("confidence") > min_conf))
-    share = F.col("area") / F.sum("area").over(Window.partitionBy("frame"))
-    return frames.select("frame").join(sums.select("frame", "phase", share.alias("fraction")), "frame", "left")
+        sums = sums.join(F.broadcast(gated), "phase", "left").withColumn("area", F.when(F.col("gated").isNull() | F.col("passed").isNotNull(), F.col("area")))
+    sums = sums.filter("area IS NOT NULL OR copies IS NOT NULL")
+    whole = Window.partitionBy("frame")
+    shares = sums.select("frame", "phase", "area", F.sum("area").over(whole).alias("total"), F.sum("copies").over(whole).alias("copies")).filter("copies IS NOT NULL AND (area IS NOT NULL OR total IS NULL)")
+    return shares.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("frame", "phase", (F.col("area") / F.col("total")).alias("fraction"))
 
 
 def fraction_summary(fractions: DataFrame, present: float = 0.05) -> DataFrame:

@@ -63,3 +63,27 @@ def test_grid_of_shapes_is_no_table(spark):
     assert got.keys() == want.keys() and len(got) == 9
     for k in want:
         assert got[k] == pytest.approx(want[k], rel=1e-6, abs=1e-6)
+
+
+def test_fractions_are_grouped_once(spark):
+    """Shares of a frame by hand: repeated, empty and null frames, gated and unknown phases, areas that don't count; nothing is joined by frame."""
+    rng = random.Random(6)
+    own = [(rng.choice([*range(40), None]), rng.choice(["Au", "Re", "W", "", None]), rng.choice([1.0, 2.5, 0.0, -1.0]), int(rng.random() < 0.2)) for _ in range(400)]
+    seen = [(rng.choice([*range(60), None]), rng.choice(["Au", "Re", None]), rng.random()) for _ in range(80)]
+    at = [*range(5, 50), 7, 7, None]
+    make = spark.createDataFrame
+    out = peaks.phase_fractions(make(own, "frame long, phase string, area double, flag int"), make([(f,) for f in at], "frame long"), make([("Au", 2.0), ("Re", -1.0)], "phase string, rir double"), make(seen, "frame long, phase string, confidence double"), 0.5)
+    best, area = {}, {}
+    for f, p, c in seen:
+        if f is not None and p is not None:
+            best[f, p] = max(c, best.get((f, p), 0.0))
+    for f, p, a, flag in own:
+        if f is not None and p and a > 0 and not flag and (p == "W" or best.get((f, p), 0.0) > 0.5):
+            area.setdefault(f, {}).setdefault(p, []).append(a / (2 if p == "Au" else 1))
+    want = []
+    for f in at:
+        sums = {p: sum(x) for p, x in area.get(f, {}).items()}
+        want += [(f, p, round(s / sum(sums.values()), 9)) for p, s in sums.items()] or [(f, None, None)]
+    key = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted([(r.frame, r.phase, r.fraction if r.fraction is None else round(r.fraction, 9)) for r in out.collect()], key=key) == sorted(want, key=key)
+    assert plan(out).count("Join") <= 2 * 2  # the ratios and the gated phases, which are lists of phases
