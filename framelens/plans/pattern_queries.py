@@ -188,7 +188,7 @@ def peak_fit(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def peak_fit_alone(spark: SparkSession, sf: str) -> DataFrame:
-    """Each candidate alone on a grid of shapes, by columns only."""
+    """Each candidate alone on a grid of shapes."""
     out = O.fit_peaks(view(spark, sf, "v_bins"), _candidates(spark, sf), "mean", rounds=1)
     return out.select("frame", "id", *_r("height", "center", "fwhm", "eta", "area", n=5), "flag")
 
