@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from framelens.llm.common import md5_number, stored, text_of
 
 K = 24
-#: Starts of strings that are handled at once in a long text.
-CHUNK = 1 << 20
+#: Starts of strings that are handled at once.
+CHUNK = 1 << 16
 #: Surroundings that are compared at once, beyond the last whole group.
 COMPARED = 4000
 NO_ID = -(1 << 63)
@@ -68,62 +68,99 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _sliding_least(keys: np.ndarray, w: int) -> np.ndarray:
-    """The least of every w neighbours, by running minima within blocks of w from both sides."""
-    n = len(keys)
-    padded = np.full(-(-n // w) * w, np.iinfo(np.uint64).max, dtype=np.uint64)
-    padded[:n] = keys
-    rows = padded.reshape(-1, w)
-    forward = np.minimum.accumulate(rows, axis=1).reshape(-1)
-    backward = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    return np.minimum(backward[: n - w + 1], forward[w - 1 : n])
-
-
-def owners(data: np.ndarray, length: int, k: int = K) -> tuple[np.ndarray, np.ndarray]:
-    """For each start of a string of ``length`` bytes the position and the hash of its anchor."""
-    n = len(data) - length + 1
-    if n <= 0:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    places, hashes = [], []
-    for begin in range(0, n, CHUNK):
-        part = data[begin : min(begin + CHUNK, n) + length - 1]
-        prefix = prefix_hashes(part)
-        with np.errstate(over="ignore"):
-            h = _mixed((prefix[k:] - prefix[:-k]) * _power(_INVERSE, len(prefix))[: len(part) - k + 1])
-        # The upper 42 bits order the k-grams; the position decides ties, which the content decides alike.
-        keys = (h & ~np.uint64((1 << 22) - 1)) | np.arange(len(h), dtype=np.uint64)
-        at = (_sliding_least(keys, length - k + 1) & np.uint64((1 << 22) - 1)).astype(np.int64)
-        places.append(at + begin)
-        hashes.append(h[at].view(np.int64))
-    return np.concatenate(places), np.concatenate(hashes)
+    """The least of every w neighbours: of every 1, 2, 4 and so on, the last two overlapping."""
+    size = 1
+    while size < w:
+        step = min(size, w - size)
+        keys = np.minimum(keys[:-step], keys[step:])
+        size += step
+    return keys
 
 
-def _bytes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+#: Bits of a position within a block.
+_PLACE = 22
+
+
+def owners(texts: list[bytes], length: int, k: int = K) -> dict[str, np.ndarray]:
+    """The anchors of all strings of ``length`` bytes: text (its number), place, hash, lo and hi, the first and the last start that it owns.
+
+    The starts of an anchor follow each other. Texts are handled in blocks, so that short ones share the calls and long ones stay in the cache.
+    """
+    found: dict[str, list[np.ndarray]] = {c: [] for c in ("text", "place", "hash", "lo", "hi")}
+    pieces: list[bytes] = []
+    numbers: list[int] = []
+    offsets: list[int] = []
+
+    def block() -> None:
+        sizes = np.array([len(x) for x in pieces])
+        begin = np.cumsum(sizes) - sizes
+        part = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+        prefix = prefix_hashes(part)
+        h = prefix[k:] - prefix[:-k]
+        h *= _power(_INVERSE, len(prefix))[: len(h)]
+        h = _mixed(h)
+        # The upper 42 bits order the k-grams; the position decides ties, which the content decides alike.
+        keys = h & ~np.uint64((1 << _PLACE) - 1)
+        keys |= np.arange(len(h), dtype=np.uint64)
+        at = (_sliding_least(keys, length - k + 1) & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
+        head = np.zeros(len(at), dtype=bool)  # where a run of starts with one anchor begins, also one that crosses texts and is none
+        head[0] = True
+        np.not_equal(at[1:], at[:-1], out=head[1:])
+        stop = begin + sizes - length + 1
+        head[begin] = True
+        head[stop[:-1]] = True
+        lo = np.flatnonzero(head)
+        hi = np.append(lo[1:], len(at)) - 1
+        text = np.searchsorted(begin, lo, side="right") - 1
+        inside = lo < stop[text]
+        lo, hi, text = lo[inside], hi[inside], text[inside]
+        shift = np.array(offsets)[text] - begin[text]
+        for c, v in (("text", np.array(numbers)[text]), ("place", at[lo] + shift), ("hash", h[at[lo]].view(np.int64)), ("lo", lo + shift), ("hi", hi + shift)):
+            found[c].append(v)
+        pieces.clear(), numbers.clear(), offsets.clear()
+
+    held = 0
+    for i, raw in enumerate(texts):
+        for begin in range(0, len(raw) - length + 1, CHUNK):
+            piece = raw[begin : begin + CHUNK + length - 1]
+            if pieces and held + len(piece) > CHUNK + length:
+                block()
+                held = 0
+            pieces.append(piece), numbers.append(i), offsets.append(begin)
+            held += len(piece)
+    if pieces:
+        block()
+    out = {c: np.concatenate([np.zeros(0, dtype=np.int64), *v]) for c, v in found.items()}
+    # An anchor whose starts lie in two pieces of its text is one.
+    new = np.append(True, (out["text"][1:] != out["text"][:-1]) | (out["place"][1:] != out["place"][:-1]))[: len(out["text"])]
+    return {c: v[new] for c, v in out.items() if c != "hi"} | {"hi": out["hi"][np.append(new[1:], True)[: len(new)]]}
+
+
+def anchor_hashes(data: np.ndarray, places: np.ndarray, k: int = K) -> np.ndarray:
+    """The hashes that :func:`owners` has for the k-grams at ``places``."""
+    return _mixed(((data[places[:, None] + np.arange(k)].astype(np.uint64) + np.uint64(1)) * _power(_BASE, k)).sum(axis=1, dtype=np.uint64)).view(np.int64)
+
+
+def coded(place: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int) -> np.ndarray:
+    """An anchor and its starts as one number, in the order of places: starts lie within ``length`` before their anchor."""
+    return (place * length + (place - lo)) * length + (place - hi)
+
+
+def decoded(code: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """place, lo and hi of :func:`coded` numbers."""
+    place = code // (length * length)
+    return place, place - code // length % length, place - code % length
 
 
 def _anchors(length: int):
     def anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            hashes, ids, digests, places, size = [], [], [], [], 0
-
-            def rows() -> pd.DataFrame:
-                return pd.DataFrame({"hash": np.concatenate(hashes), "doc_id": np.concatenate(ids), "digest": np.concatenate(digests), "place": np.concatenate(places)})
-
-            for doc_id, digest, text in zip(batch["doc_id"], batch["digest"], batch["text"]):
-                at, h = owners(_bytes(text), length)
-                if not len(at):
-                    continue
-                new = np.concatenate([[True], at[1:] != at[:-1]])
-                hashes.append(h[new])
-                places.append(at[new])
-                ids.append(np.full(int(new.sum()), doc_id, dtype=np.int64))
-                digests.append(np.full(len(ids[-1]), digest, dtype=np.int64))
-                size += len(ids[-1])
-                if size >= 200_000:
-                    yield rows()
-                    hashes, ids, digests, places, size = [], [], [], [], 0
-            if size:
-                yield rows()
+            for begin in range(0, len(batch), 500):
+                part = batch.iloc[begin : begin + 500]
+                found = owners([t.encode("utf-8", "surrogatepass") for t in part["text"]], length)
+                ids, digests = (part[c].to_numpy()[found["text"]] for c in ("doc_id", "digest"))
+                rows = pd.DataFrame({"hash": found["hash"], "doc_id": ids, "digest": digests, "anchor": coded(found["place"], found["lo"], found["hi"], length)})
+                yield from (rows.iloc[i : i + 200_000] for i in range(0, len(rows), 200_000))
 
     return anchors
 
@@ -139,29 +176,24 @@ def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _around(length: int):
     def around(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """hash, bytes around, bytes before the anchor, document and place: the first of equal ones in the batch.
+        """hash, bytes around, bytes before the anchor, document and anchor: the first of equal ones in the batch.
 
         The bytes are those of the strings that belong to the anchor, so their starts are all but the last length - 1.
         """
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             firsts: dict[tuple[int, bytes, int], tuple[int, int, int]] = {}
-            for doc_id, digest, packed, places in zip(batch["doc_id"], batch["digest"], batch["packed"], batch["places"]):
-                raw = unpack(packed)
-                at, h = owners(np.frombuffer(raw, dtype=np.uint8), length)
-                own = np.flatnonzero(np.isin(at, np.asarray(places, dtype=np.int64)))
-                if not len(own):
-                    continue
-                # The starts of an anchor follow each other.
-                first = own[np.concatenate([[True], at[own[1:]] != at[own[:-1]]])]
-                last = own[np.concatenate([at[own[1:]] != at[own[:-1]], [True]])]
-                for p, x, lo, hi in zip(at[first].tolist(), h[first].tolist(), first.tolist(), last.tolist()):
-                    key = (x, raw[lo : hi + length], p - lo)
-                    if key not in firsts or (doc_id, digest, p) < firsts[key]:
-                        firsts[key] = (doc_id, digest, p)
+            for doc_id, digest, packed, anchors in zip(batch["doc_id"], batch["digest"], batch["packed"], batch["anchors"]):
+                raw, anchors = unpack(packed), np.asarray(anchors, dtype=np.int64)
+                place, lo, hi = decoded(anchors, length)
+                h = anchor_hashes(np.frombuffer(raw, dtype=np.uint8), place)
+                for x, a, before, begin, end in zip(h.tolist(), anchors.tolist(), (place - lo).tolist(), lo.tolist(), (hi + length).tolist()):
+                    key, value = (x, raw[begin:end], before), (doc_id, digest, a)
+                    if firsts.setdefault(key, value) > value:
+                        firsts[key] = value
             if firsts:
                 keys, values = list(zip(*firsts)), list(zip(*firsts.values()))
-                yield pd.DataFrame({"hash": keys[0], "around": keys[1], "before": keys[2], "doc_id": values[0], "digest": values[1], "place": values[2]})
+                yield pd.DataFrame({"hash": keys[0], "around": keys[1], "before": keys[2], "doc_id": values[0], "digest": values[1], "anchor": values[2]})
 
     return around
 
@@ -219,12 +251,13 @@ def suffix_sort(data: np.ndarray, h: np.ndarray, starts: np.ndarray, lists: np.n
 
 def _compare(rows: pd.DataFrame, length: int) -> pd.DataFrame:
     """For the first occurrence of each surrounding of whole groups: the starts that an earlier string repeats."""
-    rows = rows.sort_values(["doc_id", "digest", "place"], kind="stable").drop_duplicates(["hash", "around", "before"]).reset_index(drop=True)
+    rows = rows.sort_values(["doc_id", "digest", "anchor"], kind="stable").drop_duplicates(["hash", "around", "before"]).reset_index(drop=True)
     texts = rows["around"].tolist()
     size = np.array([len(t) for t in texts], dtype=np.int64)
     base = np.cumsum(size) - size
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    place, before = rows["place"].to_numpy(np.int64), rows["before"].to_numpy(np.int64)
+    anchor, before = rows["anchor"].to_numpy(np.int64), rows["before"].to_numpy(np.int64)
+    lo = decoded(anchor, length)[1]
     _, group, members = np.unique(rows["hash"].to_numpy(np.int64), return_inverse=True, return_counts=True)
     # Strings of surroundings whose group has others; equal ones stand alike to their anchors.
     own = np.where(members[group] > 1, size - length + 1, 0)
@@ -232,6 +265,15 @@ def _compare(rows: pd.DataFrame, length: int) -> pd.DataFrame:
     inside = np.arange(len(row)) - np.repeat(np.cumsum(own) - own, own)
     start, offset = base[row] + inside, before[row] - inside
     starts: list = [()] * len(rows)
+    h = prefix_hashes(data)
+    if len(row):
+        # A string whose hash no other one of its list has is equal to none: it needs no place in the order.
+        key = _mixed(string_hashes(h, start, length) + _mixed((group[row] * (length + 1) + offset).astype(np.uint64)))
+        ordered = np.sort(key)
+        again = ordered[1:][ordered[1:] == ordered[:-1]]
+        again = again[np.append(True, again[1:] != again[:-1])[: len(again)]]
+        several = again[np.minimum(np.searchsorted(again, key), len(again) - 1)] == key if len(again) else np.zeros(len(key), dtype=bool)
+        row, start, offset = row[several], start[several], offset[several]
     if len(row):
         by = np.lexsort((row, offset, group[row]))
         row, start, offset = row[by], start[by], offset[by]
@@ -239,7 +281,6 @@ def _compare(rows: pd.DataFrame, length: int) -> pd.DataFrame:
         several = np.bincount(lists)[lists] > 1
         row, start, lists = row[several], start[several], lists[several]
     if len(row):
-        h = prefix_hashes(data)
         order = suffix_sort(data, h, start, lists, length)
         row, start, lists = row[order], start[order], lists[order]
         equal = np.zeros(len(row), dtype=bool)
@@ -254,11 +295,11 @@ def _compare(rows: pd.DataFrame, length: int) -> pd.DataFrame:
         late = np.flatnonzero(row > low)
         late = late[np.lexsort((start[late], row[late]))]
         at = row[late]
-        where = place[at] - before[at] + start[late] - base[at]
+        where = lo[at] + start[late] - base[at]
         cuts = np.flatnonzero(np.diff(at)) + 1
         for r, found in zip(at[np.concatenate([[0], cuts])].tolist() if len(at) else [], np.split(where, cuts)):
             starts[r] = found
-    return pd.DataFrame({"doc_id": rows["doc_id"], "digest": rows["digest"], "place": place, "starts": [np.asarray(x, dtype=np.int32) for x in starts]})
+    return pd.DataFrame({"doc_id": rows["doc_id"], "digest": rows["digest"], "anchor": anchor, "starts": [np.asarray(x, dtype=np.int32) for x in starts]})
 
 
 def _compared(length: int):
@@ -292,17 +333,13 @@ def _groups(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         begin = end
 
 
-def removed_bytes(raw: bytes, length: int, places: list[int], firsts: dict) -> np.ndarray:
-    """Which bytes go: all strings of a repeated anchor, but for a first surrounding only those that were found."""
-    data = np.frombuffer(raw, dtype=np.uint8)
-    at, _ = owners(data, length)
-    gone = np.isin(at, np.array([p for p in places if p not in firsts], dtype=np.int64))
-    found = np.concatenate([np.asarray(firsts.get(p, ()), dtype=np.int64) for p in places] or [np.zeros(0, dtype=np.int64)])
-    gone[found[found < len(gone)]] = True
-    edge = np.zeros(len(data) + 1, dtype=np.int64)
-    starts = np.flatnonzero(gone)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + length, -1)
+def removed_bytes(size: int, length: int, anchors: np.ndarray, firsts: dict[int, np.ndarray]) -> np.ndarray:
+    """Which bytes of a text go: all strings of a repeated anchor, but for a first surrounding only those that were found."""
+    _, lo, hi = decoded(np.array([a for a in anchors.tolist() if a not in firsts], dtype=np.int64), length)
+    found = np.concatenate([np.zeros(0, dtype=np.int64), *firsts.values()])
+    edge = np.zeros(size + 1, dtype=np.int64)
+    np.add.at(edge, np.concatenate([lo, found]), 1)
+    np.add.at(edge, np.concatenate([hi, found]) + length, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -311,12 +348,12 @@ def _finish(length: int, with_bytes: bool):
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             rows = []
-            for doc_id, packed, places, firsts in zip(batch["doc_id"], batch["packed"], batch["places"], batch["firsts"]):
+            for doc_id, packed, anchors, firsts in zip(batch["doc_id"], batch["packed"], batch["anchors"], batch["firsts"]):
                 raw = unpack(packed)
                 kept, n_removed, n_spans = raw, 0, 0
-                if places is not None and len(raw) >= length:
-                    known = {} if firsts is None else {x["place"]: x["starts"] for x in firsts}
-                    gone = removed_bytes(raw, length, [int(p) for p in places], known)
+                if anchors is not None and len(raw) >= length:
+                    known = {} if firsts is None else {x["anchor"]: np.asarray(x["starts"], dtype=np.int64) for x in firsts}
+                    gone = removed_bytes(len(raw), length, np.asarray(anchors, dtype=np.int64), known)
                     kept = np.frombuffer(raw, dtype=np.uint8)[~gone].tobytes()
                     n_removed, n_spans = int(gone.sum()), int((gone & ~np.concatenate([[False], gone[:-1]])).sum())
                 rows.append((doc_id, len(raw), n_removed, n_spans, hashlib.sha256(kept).hexdigest(), *[kept] * with_bytes))
@@ -337,17 +374,17 @@ def remove_repeated(docs: DataFrame, length: int = 100, with_bytes: bool = True)
     """
     slim = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("doc_id"), md5_number(text_of()).alias("digest"), text_of().alias("text"))
     row = ["doc_id", "digest"]
-    anchors = slim.mapInPandas(_anchors(length), "hash long, doc_id long, digest long, place int")
+    anchors = slim.mapInPandas(_anchors(length), "hash long, doc_id long, digest long, anchor long")
     shared = stored(anchors.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash"))
     # One scan of the anchors; partitions with very frequent ones are split by the adaptive join.
-    met = stored(anchors.join(shared.hint("merge"), "hash").select(*row, "place"))
-    hits = stored(met.groupBy(*row).agg(F.collect_set("place").alias("places")))
+    met = stored(anchors.join(shared.hint("merge"), "hash").select(*row, "anchor"))
+    hits = stored(met.groupBy(*row).agg(F.collect_set("anchor").alias("anchors")))
 
     packed = slim.mapInPandas(_packed, "doc_id long, digest long, packed binary")
-    around = packed.join(hits, row).mapInPandas(_around(length), "hash long, around binary, before int, doc_id long, digest long, place int")
+    around = packed.join(hits, row).mapInPandas(_around(length), "hash long, around binary, before int, doc_id long, digest long, anchor long")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    firsts = stored(around.repartition(parts, "hash").sortWithinPartitions("hash").mapInPandas(_compared(length), "doc_id long, digest long, place int, starts array<int>"))
-    found = firsts.groupBy(*row).agg(F.collect_list(F.struct("place", "starts")).alias("firsts"))
+    firsts = stored(around.repartition(parts, "hash").sortWithinPartitions("hash").mapInPandas(_compared(length), "doc_id long, digest long, anchor long, starts array<int>"))
+    found = firsts.groupBy(*row).agg(F.collect_list(F.struct("anchor", "starts")).alias("firsts"))
     result = packed.join(hits.join(found, row, "left"), row, "left").mapInPandas(_finish(length, with_bytes), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes)
     own_id = F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id")
     return result.select(own_id, "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_bytes)
