@@ -1,6 +1,13 @@
 """Steps that failed on tables sixty or more times sf0.1: their plans, and their results against plain passes."""
 
-from framelens.operators import lattice
+import math
+import random
+
+import numpy as np
+import pandas as pd
+import pytest
+
+from framelens.operators import identify, lattice
 
 
 def plan(df):
@@ -14,3 +21,39 @@ def test_many_phases_are_never_broadcast(spark, tmp_path):
     out = lattice.predict_lines(lattice.reflections(own), own, own.selectExpr("name AS phase", "10e0 AS pressure"))
     assert "Broadcast" not in plan(out)
     assert out.select("phase").distinct().count() == 300
+
+
+def _library():
+    cell = {"a": 4.1, "eos": "BM3", "k0": 160.0, "k0p": 4.5, "p_max": 80.0, "alpha_v": 2e-5}
+    lines = [(round(4.1 / (h * h + k * k) ** 0.5, 6), w, (h, k, 0)) for (h, k), w in {(1, 0): 0.5, (1, 1): 1.0, (2, 0): 0.05, (2, 1): 0.7, (3, 0): 0.3, (3, 1): 0.6}.items()]
+    rows = [{"name": "a", **cell}, {"name": "b", **cell, "beta_a": 1e-3, "alpha_v": None, "assumption": "ignore_prior"}, {"name": "c", "a": 4.1}, {"name": "d", **cell}]
+    return [identify.Phase(row, [] if row["name"] == "d" else [(d * (1 + 0.01 * i), w, hkl) for d, w, hkl in lines]) for i, row in enumerate(rows)]
+
+
+def test_frames_fitted_together_as_alone(monkeypatch):
+    """With ties, equal d's, missing values, priors in and out of range, temperatures, no peaks, and more peaks than go together."""
+    rng = random.Random(9)
+    search = identify.Searcher(_library(), 0.01, 0.0, 100.0, 60, 2)
+    rows = []
+    for f in range(120):
+        n = f % 7 if f % 40 else rng.choice([0, 70, 100])
+        d = [None if rng.random() < 0.03 else rng.choice([1.2, 2.0, -1.0, math.nan, round(rng.uniform(1, 4.2), 3), round(rng.uniform(1, 4.2), 3), round(rng.uniform(1, 4.2), 3)]) for _ in range(n)]
+        d += [x for x in d if rng.random() < 0.2]
+        pick = lambda some: [rng.choice(some) for _ in d]
+        prior, half, temperature = rng.choice([(math.nan, math.nan, math.nan), (20.0, 3.0, math.nan), (95.0, 2.0, 400.0), (-5.0, 1.0, math.nan), (math.nan, math.nan, 900.0), (10.0, math.nan, math.nan), (40.0, 200.0, 298.0)])
+        rows.append((f, np.array(d, dtype=float), np.array(pick([0.0, 0.0, 0.02, None]), dtype=float), np.array(pick([1.0, 5.0, -1.0, None]), dtype=float), prior, half, temperature))
+    batch = pd.DataFrame(rows, columns=["frame", "d", "err", "amplitude", "prior", "half", "temperature"])
+    alone = search.fit
+    calls = []
+    monkeypatch.setattr(search, "fit", lambda *x: calls.append(x) or alone(*x))
+    got = identify._fit_batch(search, identify.Kept(search.grid), batch)
+    assert len(calls) <= 4 * sum(len(r[1]) > identify.MOST_PEAKS for r in rows)
+    at = iter(got.itertuples(index=False))
+    for f, d, err, amplitude, *more in rows:
+        peaks = identify.Peaks(d, err, amplitude)
+        scores = search.grid.scores(peaks)[0] if len(peaks.d) else np.zeros(0)
+        for k, phase in enumerate(search.library):
+            want, row = alone(k, peaks, scores, *(identify._number(x) for x in more)), next(at)
+            assert (row.frame, row.phase, row.n_matched) == (f, phase.name, want["n_matched"])
+            for c in ("pressure", "score", "recall", "precision", "penalty", "confidence", "intensity_corr"):
+                assert getattr(row, c) == pytest.approx(math.nan if want[c] is None else want[c], abs=1e-9, nan_ok=True), (f, phase.name, c)
