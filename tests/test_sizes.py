@@ -7,7 +7,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from framelens.operators import identify, lattice
+from framelens.operators import identify, lattice, tracks
+from test_tracks import linked_by_hand
 
 
 def plan(df):
@@ -57,3 +58,35 @@ def test_frames_fitted_together_as_alone(monkeypatch):
             assert (row.frame, row.phase, row.n_matched) == (f, phase.name, want["n_matched"])
             for c in ("pressure", "score", "recall", "precision", "penalty", "confidence", "intensity_corr"):
                 assert getattr(row, c) == pytest.approx(math.nan if want[c] is None else want[c], abs=1e-9, nan_ok=True), (f, phase.name, c)
+
+
+@pytest.mark.parametrize("predictor", [False, True])
+def test_dense_islands_are_followed_sample_by_sample(monkeypatch, predictor):
+    """One island of many samples: tracks as of a plain pass, numbered as they begin, and only the last samples held, however rows are cut into batches."""
+    monkeypatch.setattr(tracks, "WAITING", 60)
+    monkeypatch.setattr(tracks, "POINTS_AT_ONCE", 50)
+    most = []
+    step = tracks._Links.step
+    monkeypatch.setattr(tracks._Links, "step", lambda self, *x: step(self, *x) or most.append(self.held + sum(len(v[0]) for v in self.out)))
+    rng = random.Random(6)
+    rows = [(k * 12 + i, float(k), 0.5 * i + rng.uniform(-0.15, 0.15) + (0.01 * k if i % 3 else 0.0), rng.uniform(0.05, 0.15)) for k in range(300) for i in range(12) if rng.random() < 0.8]
+    table = pd.DataFrame(sorted(rows, key=lambda r: (r[1], r[2], r[0])), columns=["id", "x", "center", "fwhm"]).assign(grp=1, island=0, widest=max(r[3] for r in rows))
+    axis = sorted(set(table["x"]))
+    table["sample"] = table["x"].map({x: k for k, x in enumerate(axis, 1)})
+    if predictor:
+        table = pd.concat([table.iloc[:1].assign(x=math.nan, center=math.nan, fwhm=math.nan), table], ignore_index=True)
+        table["samples"] = [axis] + [None] * (len(table) - 1)
+    batches = (table.iloc[i : i + 97] for i in range(0, len(table), 97))
+    out = pd.concat(tracks._linked(1.5, 1, 3, None, predictor)(batches))
+    out = out[out["track"].notna()]
+    got = {t: frozenset(own["id"]) for t, own in out.groupby("track")}
+    assert set(got.values()) == linked_by_hand(rows, 1.5, 1, 3, None, predictor)
+    first = {r[0]: (r[1], r[2]) for r in rows}
+    assert sorted(got) == list(range(len(got)))
+    assert [got[t] for t in sorted(got)] == sorted(got.values(), key=lambda ids: min(first[i] for i in ids))
+    assert len(out) > 1000 and max(most) < 300
+
+
+def test_linking_gathers_no_island(spark):
+    own = spark.createDataFrame([(0, i, float(i), 1.0, 0.1, 1.0) for i in range(5)], "grp long, id long, x double, center double, fwhm double, amplitude double")
+    assert "InPandas" in (shown := plan(tracks.link_tracks(own))) and "FlatMap" not in shown
