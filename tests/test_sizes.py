@@ -8,6 +8,8 @@ import pandas as pd
 import pytest
 
 from framelens.operators import identify, lattice, tracks
+from framelens.plans import track_queries
+from compare import TABLES
 from test_tracks import linked_by_hand
 
 
@@ -90,3 +92,12 @@ def test_dense_islands_are_followed_sample_by_sample(monkeypatch, predictor):
 def test_linking_gathers_no_island(spark):
     own = spark.createDataFrame([(0, i, float(i), 1.0, 0.1, 1.0) for i in range(5)], "grp long, id long, x double, center double, fwhm double, amplitude double")
     assert "InPandas" in (shown := plan(tracks.link_tracks(own))) and "FlatMap" not in shown
+
+
+def test_tracks_of_large_islands_stay_apart(spark, monkeypatch):
+    """More than a thousand tracks of an island, and more than a million of a group: no two have one name."""
+    ids = [r.id for r in track_queries.observations(spark, TABLES).select("id").orderBy("id").limit(12).collect()]
+    places = [(0, 0, 1000), (0, 1, 0), (0, 0, 1_000_000), (1, 0, 0)]
+    links = spark.createDataFrame([(*p, ids[3 * k + i], float(10 * k + i), 1.0) for k, p in enumerate(places) for i in range(3)], tracks.TRACK)
+    monkeypatch.setattr(track_queries.O, "link_tracks", lambda obs: links)
+    assert [r.n_obs for r in track_queries.run_unknowns(spark, TABLES).collect()] == [3, 3, 3, 3]
